@@ -20,31 +20,38 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_GROUPS = 2000
 
 
-def _bucket_of(cuts: Column, key: Column, n_cuts: int) -> list[tuple[str, Column]]:
-    """Binary search: number of cut points <= key, as a chain of projections."""
+def _bucket_of(cuts: Column, key: Column, n_cuts: int) -> Column:
+    """Binary search in one expression: number of cut points <= key."""
     steps = []
     step = 1
     while step * 2 <= n_cuts:
         step *= 2
-    steps.append(("_pos", F.lit(0)))
     while step >= 1:
-        nxt = F.col("_pos") + step
-        cond = (nxt <= F.size(cuts)) & (F.element_at(cuts, nxt) <= key)
-        steps.append(("_pos", F.when(cond, nxt).otherwise(F.col("_pos"))))
+        steps.append(step)
         step //= 2
-    return steps
+
+    def probe(pos, st):
+        nxt = pos + st
+        return F.when((nxt <= F.size(cuts)) & (F.element_at(cuts, nxt) <= key), nxt).otherwise(pos)
+
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), probe)
 
 
 def prefix_sums(df: DataFrame, order: str | Column, sums: Sequence[str],
                 groups: Sequence[str] = (), descending: bool = False,
                 tiebreak: Sequence[str] = (), inclusive: bool = True,
-                buckets: int = 1024, suffix: str = "_cum") -> DataFrame:
+                buckets: int | None = None, suffix: str = "_cum") -> DataFrame:
     """Add ``<c><suffix>`` = running sum of ``c`` per group in key order.
 
     ``inclusive=False`` gives the sum over strictly earlier rows.  Rows with a
     NULL key are dropped.  ``order`` must be numeric; ``(order, tiebreak)``
-    should be unique per group for a deterministic result.
+    should be unique per group for a deterministic result.  ``buckets``
+    defaults to 4 x spark.sql.shuffle.partitions (16 .. 4096), so the ordered
+    windows spread over the whole shuffle parallelism of the cluster.
     """
+    if buckets is None:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        buckets = max(16, min(4096, 4 * parts))
     key = F.col(order) if isinstance(order, str) else order
     key = key.cast("double")
     if descending:
@@ -59,9 +66,7 @@ def prefix_sums(df: DataFrame, order: str | Column, sums: Sequence[str],
         d = d.join(cuts_side, list(groups))
     else:
         d = d.crossJoin(F.broadcast(cuts))  # one row
-    for name, expr in _bucket_of(F.col("_cuts"), F.col("_k"), buckets - 1):
-        d = d.withColumn(name, expr)
-    d = d.drop("_cuts").withColumnRenamed("_pos", "_b")
+    d = d.withColumn("_b", _bucket_of(F.col("_cuts"), F.col("_k"), buckets - 1)).drop("_cuts")
 
     tot = d.groupBy(*groups, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     wb = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
