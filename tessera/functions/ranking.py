@@ -40,7 +40,8 @@ def _bucket_of(cuts: Column, key: Column, n_cuts: int) -> Column:
 def prefix_sums(df: DataFrame, order: str | Column, sums: Sequence[str],
                 groups: Sequence[str] = (), descending: bool = False,
                 tiebreak: Sequence[str] = (), inclusive: bool = True,
-                buckets: int | None = None, suffix: str = "_cum") -> DataFrame:
+                buckets: int | None = None, suffix: str = "_cum",
+                lead: Sequence[str] = ()) -> DataFrame:
     """Add ``<c><suffix>`` = running sum of ``c`` per group in key order.
 
     ``inclusive=False`` gives the sum over strictly earlier rows.  Rows with a
@@ -48,6 +49,8 @@ def prefix_sums(df: DataFrame, order: str | Column, sums: Sequence[str],
     should be unique per group for a deterministic result.  ``buckets``
     defaults to 4 x spark.sql.shuffle.partitions (16 .. 4096), so the ordered
     windows spread over the whole shuffle parallelism of the cluster.
+    ``lead`` columns get ``<c>_next``: the value on the next row in key order
+    (NULL on the last row of the group), also across bucket borders.
     """
     if buckets is None:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -68,16 +71,21 @@ def prefix_sums(df: DataFrame, order: str | Column, sums: Sequence[str],
         d = d.crossJoin(F.broadcast(cuts))  # one row
     d = d.withColumn("_b", _bucket_of(F.col("_cuts"), F.col("_k"), buckets - 1)).drop("_cuts")
 
-    tot = d.groupBy(*groups, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    order_key = F.struct("_k", *tiebreak)
+    firsts = [F.min_by(F.struct(*lead), order_key).alias("_first")] if lead else []
+    tot = d.groupBy(*groups, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums], *firsts)
     wb = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    nxt = [F.lead("_first").over(Window.partitionBy(*groups).orderBy("_b")).alias("_nb")] if lead else []
     off = tot.select(*groups, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}")
-                                      for c in sums])
+                                      for c in sums], *nxt)
     if not groups or n_groups <= MAX_BROADCAST_GROUPS:
         off = F.broadcast(off)  # at most groups x buckets rows
     d = d.join(off, [*groups, "_b"])
     end = 0 if inclusive else -1
     wr = (Window.partitionBy(*groups, "_b").orderBy("_k", *tiebreak)
           .rowsBetween(Window.unboundedPreceding, end))
+    wl = Window.partitionBy(*groups, "_b").orderBy("_k", *tiebreak)
     out = d.select("*", *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(wr), F.lit(0))).alias(f"{c}{suffix}")
-                          for c in sums])
-    return out.drop("_k", "_b", *[f"_o_{c}" for c in sums])
+                          for c in sums],
+                   *[F.coalesce(F.lead(c).over(wl), F.col("_nb")[c]).alias(f"{c}_next") for c in lead])
+    return out.drop("_k", "_b", "_nb", *[f"_o_{c}" for c in sums])
