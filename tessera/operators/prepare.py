@@ -159,8 +159,9 @@ class FittedPrep:
         """keep columns + one vector column (numeric block then one-hot block)."""
         from pyspark.ml.functions import array_to_vector
         wide = self.transform(df, keep)
+        kept = [F.col(_quoted(c)) for c in wide.columns[:len(keep)]]  # keep items are evaluated once, above
         arr = F.array(*[F.col(_quoted(n)) for n in self.feature_names])
-        return wide.select(*keep, array_to_vector(arr).alias(output))
+        return wide.select(*kept, array_to_vector(arr).alias(output))
 
 
 def fit_prep(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
