@@ -24,12 +24,13 @@ def query(name: str, sql: str | None = None):
 
 def r6(c: str | Column, digits: int = 6) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), digits)
+    return F.round(c.cast("double"), digits) + 0.0
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every floating column (both engines round the same way)."""
-    return df.select(*[F.round(F.col(f.name), digits).alias(f.name)
+    """Round every floating column (both engines round the same way); ``+ 0.0``
+    turns a negative zero into zero."""
+    return df.select(*[(F.round(F.col(f.name), digits) + 0.0).alias(f.name)
                        if f.dataType.typeName() in ("double", "float") else F.col(f.name)
                        for f in df.schema.fields])
 
@@ -55,3 +56,29 @@ LINEITEM_GAPS_SQL = """
          CASE WHEN l_linenumber = 5 THEN NULL ELSE l_discount END AS l_discount, l_tax,
          CASE WHEN l_linenumber = 6 THEN NULL ELSE l_returnflag END AS l_returnflag, l_linestatus, l_shipdate
   FROM lineitem"""
+
+
+def positive_zero_rounds(sql: str) -> str:
+    """Append ``+ 0.0`` to every ``round(...)`` call of an oracle query so that
+    a value rounding to zero from below is 0.0, not -0.0, as on the Spark side."""
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while k < len(sql):
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j] + "(" + sql[j:j + 6] + positive_zero_rounds(sql[j + 6:k]) + ") + 0.0)")
+        i = k + 1
