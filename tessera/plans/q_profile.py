@@ -255,3 +255,38 @@ def src_named_table(spark, sf):
     nation = load_table(spark, f"{sf}/nation.parquet")
     region = load_table(spark, f"{sf}/region.parquet")
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_name", "r_name")
+
+
+_CSV_SQL = """
+SELECT * FROM (VALUES
+  ('o_orderkey', 'bigint'), ('o_custkey', 'bigint'), ('o_orderstatus', 'string'), ('o_totalprice', 'double'),
+  ('o_orderdate', 'string'), ('o_orderpriority', 'string'), ('o_flag', 'boolean')) AS t(column_name, inferred_type)
+JOIN (SELECT 'o_totalprice' AS column_name, count_if(o_orderkey % 7 = 0) AS n_missing FROM orders
+      UNION ALL SELECT 'o_orderpriority', count_if(o_orderkey % 11 = 0) FROM orders
+      UNION ALL SELECT c, 0 FROM (VALUES ('o_orderkey'), ('o_custkey'), ('o_orderstatus'), ('o_orderdate'),
+                                         ('o_flag')) AS v(c)) m USING (column_name)"""
+
+
+@query("src_csv_roundtrip", _CSV_SQL)
+def src_csv_roundtrip(spark, sf):
+    """orders written as CSV with missing-value tokens, read back with type inference:
+    one row per column with the inferred type and the number of missing values."""
+    import os
+
+    from tessera.session import shared_dir
+    from tessera.sources.csv import read_csv
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    out = o.select("o_orderkey", "o_custkey", "o_orderstatus",
+                   F.when(k % 7 == 0, F.lit("NA")).otherwise(F.col("o_totalprice").cast("string")).alias("o_totalprice"),
+                   F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"),
+                   F.when(k % 11 == 0, F.lit("null")).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
+                   F.when(k % 2 == 0, "True").otherwise("False").alias("o_flag"))
+    path = os.path.join(shared_dir(spark), f"csv-{os.urandom(4).hex()}")
+    out.write.mode("overwrite").option("header", True).csv(path)
+    back = read_csv(spark, path)
+    types = {f.name: f.dataType.simpleString() for f in back.schema.fields}
+    one = back.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in back.columns])
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("inferred_type"), F.col(c).alias("n_missing"))
+        for c in back.columns])))

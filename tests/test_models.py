@@ -100,3 +100,30 @@ def test_cv_ols_closed_form(spark):
         b, a = np.polyfit(tr.feature_0, tr.target, 1)
         scores.append(-np.mean((te.target - a - b * te.feature_0) ** 2))
     assert cvr["True"].mean_test_score == pytest.approx(np.mean(scores))
+
+
+def test_stream_scoring_matches_batch(spark):
+    from tessera.streaming.scoring import score_stream, to_table
+    df = _cls100(spark)
+    res = TR.train_model(df, FEATS, [], "target", "Logistic Regression", keys=["k"])
+    base = os.path.join(shared_dir(spark), f"stream-{os.urandom(3).hex()}")
+    df.write.parquet(os.path.join(base, "in"))
+    stream = spark.readStream.schema(df.schema).parquet(os.path.join(base, "in"))
+    q = to_table(score_stream(res, stream, keep=["k"]), "scored_test", os.path.join(base, "ckpt"))
+    q.awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.table("scored_test").collect())
+    exp = sorted(tuple(r) for r in res.transform(df, keep=["k"]).select("k", "prediction").collect())
+    assert got == exp
+
+
+def test_csv_reader_tokens_and_types(spark):
+    from tessera.sources.csv import read_csv, write_predictions_csv
+    base = os.path.join(shared_dir(spark), f"csv-{os.urandom(3).hex()}")
+    os.makedirs(base)
+    with open(os.path.join(base, "t.csv"), "w") as f:
+        f.write("a,b,c,d,e\n1,1.5,x,True,NA\n2,NaN,NA,False,\n3,,null,true,N/A\n")
+    df = read_csv(spark, os.path.join(base, "t.csv"))
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["bigint", "double", "string", "boolean", "double"]
+    assert df.where("b IS NULL").count() == 2 and df.where("c IS NULL").count() == 2
+    write_predictions_csv(df, os.path.join(base, "pred"), "a", "b")
+    assert spark.read.option("header", True).csv(os.path.join(base, "pred")).columns == ["Actual", "Predicted"]
