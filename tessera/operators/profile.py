@@ -308,3 +308,26 @@ def analyze(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.withColumnRenamed("column_name", "feature")
+
+
+# --------------------------------------------------------------------------- projections
+
+def preview(df: DataFrame, cols: Sequence[str] | None, n: int = 10, key: Sequence[str] = ()) -> DataFrame:
+    """First ``n`` rows of the selected columns (all when none) in key order;
+    a top-n (TakeOrderedAndProject), not a full sort."""
+    sel = list(cols) if cols else df.columns
+    ordered = df.orderBy(*key) if key else df
+    return ordered.select(*sel).limit(n)
+
+
+def feature_projection(df: DataFrame, roles: ColumnRoles, target: str | None, keep: Sequence[str] = ()) -> DataFrame:
+    """keep + numeric + categorical features, the target removed from the features."""
+    feats = roles.without(target).features
+    return df.select(*keep, *[c for c in feats if c not in keep])
+
+
+def unpivot_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], variable: str = "variable",
+                 value: str = "value") -> DataFrame:
+    """Wide -> long (one row per id and value column), values cast to double."""
+    casted = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in values])
+    return casted.unpivot(list(ids), list(values), variable, value)

@@ -290,3 +290,27 @@ def src_csv_roundtrip(spark, sf):
     return one.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("inferred_type"), F.col(c).alias("n_missing"))
         for c in back.columns])))
+
+
+@query("preview_topn", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10""")
+def preview_topn(spark, sf):
+    o = table(spark, sf, "orders")
+    return P.preview(o, ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"], 10, key=["o_orderkey"])
+
+
+@query("feature_projection", """
+SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders""")
+def feature_projection(spark, sf):
+    """Roles of orders (o_orderstatus has 3 values -> categorical; timestamp in
+    neither), target o_orderstatus removed from the features."""
+    o = table(spark, sf, "orders")
+    return P.feature_projection(o, P.infer_roles(o), "o_orderstatus")
+
+
+@query("reshape_unpivot", """
+SELECT o_orderkey, variable, value FROM (
+  SELECT o_orderkey, 'o_totalprice' AS variable, CAST(o_totalprice AS DOUBLE) AS value FROM orders
+  UNION ALL SELECT o_orderkey, 'o_custkey', CAST(o_custkey AS DOUBLE) FROM orders)""")
+def reshape_unpivot(spark, sf):
+    return P.unpivot_long(table(spark, sf, "orders"), ["o_orderkey"], ["o_totalprice", "o_custkey"])
