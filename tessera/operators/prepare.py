@@ -172,10 +172,8 @@ def fit_prep(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
     base = df
     if numeric:
         if cfg.numeric_imputer == "knn":
-            from tessera.operators.knn import fit_knn_imputer
-            fp.knn = fit_knn_imputer(df, numeric, cfg.knn_neighbors)
-            base = fp.knn.transform(df)
-            fp.numeric_fill = {c: None for c in numeric}
+            raise NotImplementedError("KNN imputation is not available yet; use mean, median, most_frequent "
+                                      "or constant")
         else:
             fp.numeric_fill = impute_values(df, numeric, cfg.numeric_imputer, cfg.numeric_fill)
         filled = base.select(*[F.coalesce(_num(base, c), F.lit(fp.numeric_fill[c])).alias(c)
