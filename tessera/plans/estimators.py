@@ -124,7 +124,7 @@ def make_estimator(model_name: str, is_classification: bool, params: dict, ctx:
     if is_classification:
         if model_name == "Logistic Regression":
             est = C.LogisticRegression(**base, regParam=1.0 / (float(p.get("C", DEFAULTS["C"])) * n),
-                                       elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9)
+                                       elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-4)
         elif model_name == "Random Forest":
             est = C.RandomForestClassifier(**base, numTrees=int(p.get("n_estimators", DEFAULTS["n_estimators"])),
                                            maxDepth=_depth(p.get("max_depth")), minInstancesPerNode=_leaf(p),
