@@ -41,7 +41,7 @@ def prefix_sums(df: DataFrame, order: str | Column, sums: Sequence[str],
                 groups: Sequence[str] = (), descending: bool = False,
                 tiebreak: Sequence[str] = (), inclusive: bool = True,
                 buckets: int | None = None, suffix: str = "_cum",
-                lead: Sequence[str] = ()) -> DataFrame:
+                lead: Sequence[str] = (), materialize: bool = False) -> DataFrame:
     """Add ``<c><suffix>`` = running sum of ``c`` per group in key order.
 
     ``inclusive=False`` gives the sum over strictly earlier rows.  Rows with a
@@ -51,6 +51,9 @@ def prefix_sums(df: DataFrame, order: str | Column, sums: Sequence[str],
     windows spread over the whole shuffle parallelism of the cluster.
     ``lead`` columns get ``<c>_next``: the value on the next row in key order
     (NULL on the last row of the group), also across bucket borders.
+    The input feeds three branches (cut points, bucket totals, rows); with
+    ``materialize`` it is checkpointed once to the shared folder instead of
+    being recomputed - one scan of the source instead of three.
     """
     if buckets is None:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -60,6 +63,10 @@ def prefix_sums(df: DataFrame, order: str | Column, sums: Sequence[str],
     if descending:
         key = -key
     d = df.withColumn("_k", key).where(F.col("_k").isNotNull())
+    if materialize:
+        from tessera.session import shared_dir
+        shared_dir(df.sparkSession)
+        d = d.checkpoint()
     probs = [i / buckets for i in range(1, buckets)]
     cuts = d.groupBy(*groups).agg(F.percentile_approx("_k", probs, 10 * buckets).alias("_cuts"))
     if groups:
