@@ -112,7 +112,8 @@ def kde(df: DataFrame, col: str, groups: Sequence[str] = (), gridsize: int = KDE
     vals = df.select(*groups, x.alias("_x")).where("_x IS NOT NULL")
     st = vals.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_sd"),
                                    F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    st = st.withColumn("_bw", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
+    # a constant group has no spread: bandwidth NULL, so its densities are NULL
+    st = st.withColumn("_bw", F.nullif(F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)), F.lit(0.0)))
     st = st.withColumn("_g0", F.col("_lo") - cut * F.col("_bw")).withColumn(
         "_gs", ((F.col("_hi") + cut * F.col("_bw")) - F.col("_g0")) / (gridsize - 1))
     counts = vals.groupBy(*groups, "_x").agg(F.count(F.lit(1)).alias("_c"))

@@ -126,7 +126,7 @@ def _auc_from_counts(counts: DataFrame, groups: Sequence[str] = ()) -> DataFrame
     cum = prefix_sums(counts, "score", ["tp"], groups=groups, descending=True)
     area = F.sum(F.col("fp") * (2 * (F.col("tp_cum") - F.col("tp")) + F.col("tp")))
     return cum.groupBy(*groups).agg(
-        (area / (2.0 * F.sum("tp") * F.sum("fp"))).alias("auc"))
+        (area / F.nullif(2.0 * F.sum("tp") * F.sum("fp"), F.lit(0.0))).alias("auc"))
 
 
 def roc_auc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:

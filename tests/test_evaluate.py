@@ -64,3 +64,8 @@ def test_regression_metrics(spark):
     e = np.array([-0.5, 0.0, 1.0])
     assert r.mse == pytest.approx((e ** 2).mean()) and r.mae == pytest.approx(np.abs(e).mean())
     assert r.r2 == pytest.approx(1 - (e ** 2).sum() / 2.0)
+
+
+def test_auc_one_class_is_null(spark):
+    df = spark.createDataFrame([(0, 0.1), (0, 0.4)], "y int, s double")
+    assert E.roc_auc(df, "y", "s").first().auc is None
