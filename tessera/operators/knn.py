@@ -124,3 +124,97 @@ class KNNClassifier:
                           vector_to_array(self.features_col).alias("vec"),
                           F.col(self.label_col).alias("_tlabel")).checkpoint()
         return KNNClassifierModel(train, self.k, self.weights, self.p, self.features_col, self.label_col)
+
+
+# --------------------------------------------------------------------------- KNN imputation
+
+def nan_euclidean(a: Column, b: Column, p: int) -> Column:
+    """sqrt(p / m * sum of squared differences over the m coordinates present in
+    both arrays); NULL when no coordinate is shared."""
+    both = F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() & y.isNotNull(), (x - y) * (x - y)))
+    m = F.size(F.filter(both, lambda v: v.isNotNull()))
+    ss = F.aggregate(both, F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+    return F.when(m > 0, F.sqrt(F.lit(float(p)) / m * ss))
+
+
+def _nan_knn(donors: DataFrame, receivers: DataFrame, k: int, p: int, scales: list[float]) -> DataFrame:
+    """(rid, f, did, dist, v): the k nearest donors of every receiver (row rid
+    missing coordinate f) among the rows that have f - valid distances only,
+    ties by donor id - by rounds of per-coordinate band joins.
+
+    ``donors`` has (did, dvec), ``receivers`` (rid, f, rvec); vectors are
+    array<double> with NULLs for missing coordinates; ``scales`` are the
+    coordinate ranges (bucket width = w * range)."""
+    n = donors.count()
+    d_long = donors.select("did", "dvec", F.posexplode("dvec").alias("_j", "_x")).where("_x IS NOT NULL")
+    scale = F.element_at(F.array(*[F.lit(float(s)) for s in scales]), F.col("_j") + 1)
+    pending = receivers
+    w = 2.0 * k / max(n, 1)
+    done = []
+    while True:
+        last = w >= 1.0
+        db = d_long.withColumn("_b", F.floor(F.col("_x") / (w * scale)))
+        rl = pending.select("rid", "f", "rvec", F.posexplode("rvec").alias("_j", "_x")).where("_x IS NOT NULL")
+        rb = rl.withColumn("_b", F.explode(F.array(*[F.floor(F.col("_x") / (w * scale)) + d for d in (-1, 0, 1)])))
+        if last:  # every donor sharing any coordinate is a candidate
+            db, rb = db.withColumn("_b", F.lit(0)), rl.withColumn("_b", F.lit(0))
+        pairs = (rb.select("rid", "f", "rvec", "_j", "_b").join(db.select("did", "dvec", "_j", "_b"), ["_j", "_b"])
+                 .where(F.element_at("dvec", F.col("f") + 1).isNotNull())
+                 .dropDuplicates(["rid", "f", "did"])
+                 .select("rid", "f", "did", F.element_at("dvec", F.col("f") + 1).alias("v"),
+                         nan_euclidean(F.col("rvec"), F.col("dvec"), p).alias("dist"),
+                         F.pmod(F.xxhash64("did"), F.lit(SALTS)).alias("_salt"))
+                 .where("dist IS NOT NULL"))
+        w1 = Window.partitionBy("rid", "f", "_salt").orderBy("dist", "did")
+        part = pairs.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r")
+        w2 = Window.partitionBy("rid", "f").orderBy("dist", "did")  # at most SALTS x k rows
+        top = part.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= k)
+        # smallest bucket width among the receiver's present coordinates
+        minw = F.least(*[F.when(F.col("rvec")[i].isNotNull(), F.lit(w * s)) for i, s in enumerate(scales)])
+        need = pending.select("rid", "f", minw.alias("_minw"))
+        stat = top.groupBy("rid", "f").agg(F.count(F.lit(1)).alias("_c"), F.max("dist").alias("_kth"))
+        ok = stat.join(need, ["rid", "f"]).where(
+            F.lit(last) | ((F.col("_c") >= k) & (F.col("_kth") < F.col("_minw"))))
+        res = top.join(ok.select("rid", "f"), ["rid", "f"]).select("rid", "f", "did", "dist", "v").checkpoint()
+        done.append(res)
+        if last:
+            break
+        pending = pending.join(res.select("rid", "f"), ["rid", "f"], "left_anti")  # res is checkpointed
+        if pending.isEmpty():
+            break
+        w *= BAND_GROWTH
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, donors: DataFrame | None = None) -> DataFrame:
+    """key + ``cols`` with each missing value replaced by the mean of that column
+    over the k nearest donors (nan-Euclidean distance over ``cols``, donors must
+    have the column, ties by donor key); the column mean when no donor shares a
+    coordinate.  ``donors`` (default ``df``) is the fitted data.  All
+    (row, missing column) pairs are settled in the same rounds."""
+    shared_dir(df.sparkSession)
+    fit = donors if donors is not None else df
+    vec = F.array(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols])
+    base = df.select(F.col(key).alias("_key"), vec.alias("_vec"))
+    fv = fit.select(F.col(key).alias("_key"), vec.alias("_vec"))
+    st = fv.agg(*[F.struct(F.avg(F.col("_vec")[i]), F.min(F.col("_vec")[i]), F.max(F.col("_vec")[i])).alias(f"s{i}")
+                  for i in range(len(cols))]).first()
+    rl = base.agg(*[F.struct(F.min(F.col("_vec")[i]), F.max(F.col("_vec")[i])).alias(f"r{i}")
+                    for i in range(len(cols))]).first()
+    scales = []
+    for i in range(len(cols)):
+        a = [v for v in (st[f"s{i}"][1], st[f"s{i}"][2], rl[f"r{i}"][0], rl[f"r{i}"][1]) if v is not None]
+        scales.append(max((max(a) - min(a)) if a else 0.0, 1e-12))
+    recv = base.select(F.col("_key").alias("rid"), F.col("_vec").alias("rvec"),
+                       F.posexplode("_vec").alias("f", "_v")).where("_v IS NULL").drop("_v")
+    nb = _nan_knn(fv.select(F.col("_key").alias("did"), F.col("_vec").alias("dvec")), recv, k, len(cols), scales)
+    means = nb.groupBy("rid", "f").agg(F.avg("v").alias("_m"))
+    wide = means.groupBy("rid").agg(*[F.max(F.when(F.col("f") == i, F.col("_m"))).alias(f"_imp{i}")
+                                      for i in range(len(cols))])  # one row per row with gaps
+    out = base.join(wide.withColumnRenamed("rid", "_key"), "_key", "left")
+    return out.select(F.col("_key").alias(key), *[
+        F.coalesce(F.col("_vec")[i], F.col(f"_imp{i}"), F.lit(st[f"s{i}"][0]).cast("double")).alias(c)
+        for i, c in enumerate(cols)])

@@ -172,8 +172,8 @@ def fit_prep(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
     base = df
     if numeric:
         if cfg.numeric_imputer == "knn":
-            raise NotImplementedError("KNN imputation is not available yet; use mean, median, most_frequent "
-                                      "or constant")
+            raise ValueError("KNN imputation joins rows by key: run operators.knn.knn_impute(df, key, cols) "
+                             "first (train_model does this for numeric_imputer='knn')")
         else:
             fp.numeric_fill = impute_values(df, numeric, cfg.numeric_imputer, cfg.numeric_fill)
         filled = base.select(*[F.coalesce(_num(base, c), F.lit(fp.numeric_fill[c])).alias(c)

@@ -179,3 +179,35 @@ FROM orders""")
 def cv_folds_stratified(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     return S.with_stratified_folds(o, ["o_orderkey"], "o_orderstatus", 5)
+
+
+def _nan_dist_sql(cols):
+    cnt = " + ".join(f"CAST(r.{c} IS NOT NULL AND o.{c} IS NOT NULL AS INTEGER)" for c in cols)
+    ss = " + ".join(f"coalesce((r.{c} - o.{c}) * (r.{c} - o.{c}), 0.0)" for c in cols)
+    return f"CASE WHEN ({cnt}) > 0 THEN sqrt(CAST({len(cols)} AS DOUBLE) / ({cnt}) * ({ss})) END"
+
+
+_KNN_COLS = ["n", "q", "t"]
+_KNN_SQL = f"""
+WITH d AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS n, CAST(quality AS DOUBLE) AS q, CAST(toxic AS DOUBLE) AS t
+           FROM documents LEFT JOIN labels USING (doc_id)),
+pairs AS ({" UNION ALL ".join(
+    f"SELECT '{f}' AS f, r.doc_id AS rid, o.doc_id AS did, o.{f} AS v, {_nan_dist_sql(_KNN_COLS)} AS dist "
+    f"FROM d r, d o WHERE r.{f} IS NULL AND o.{f} IS NOT NULL" for f in _KNN_COLS)}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY f, rid ORDER BY dist, did) AS rk FROM pairs WHERE dist IS NOT NULL),
+imp AS (SELECT f, rid, avg(v) AS v FROM ranked WHERE rk <= 5 GROUP BY ALL),
+m AS (SELECT avg(n) AS mn, avg(q) AS mq, avg(t) AS mt FROM d)
+SELECT d.doc_id, round(coalesce(d.n, i_n.v, mn), 6) AS n_chars, round(coalesce(d.q, i_q.v, mq), 6) AS quality,
+       round(coalesce(d.t, i_t.v, mt), 6) AS toxic
+FROM d CROSS JOIN m
+LEFT JOIN imp i_n ON i_n.f = 'n' AND i_n.rid = d.doc_id
+LEFT JOIN imp i_q ON i_q.f = 'q' AND i_q.rid = d.doc_id
+LEFT JOIN imp i_t ON i_t.f = 't' AND i_t.rid = d.doc_id"""
+
+
+@query("impute_knn", _KNN_SQL)
+def impute_knn(spark, sf):
+    """5-nearest-donor imputation (nan-Euclidean) of the labels of unlabelled documents."""
+    from tessera.operators.knn import knn_impute
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    return rounded(knn_impute(docs, "doc_id", ["n_chars", "quality", "toxic"], k=5))

@@ -119,6 +119,13 @@ def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     h = key_hash(keys, random_state)
     base = base.withColumn("_is_test", h < F.lit(test_threshold(test_size))).withColumn(
         "_fold", F.pmod(key_hash(keys, random_state + 1), F.lit(cv)).cast("int"))
+    if prep_config is not None and prep_config.numeric_imputer == "knn" and numeric:
+        # k nearest donors over the whole table (the donors' own split does not matter to the rule)
+        from tessera.operators.knn import knn_impute
+        keyed = base.withColumn("_rowkey", F.concat_ws("|", *[F.col(c).cast("string") for c in keys]))
+        filled = knn_impute(keyed, "_rowkey", list(numeric), k=prep_config.knn_neighbors)
+        base = keyed.drop(*numeric).join(filled, "_rowkey").drop("_rowkey")
+        prep_config = prep_config.update(numeric_imputer="mean")
     fit_rows = base.where(~F.col("_is_test")) if fit_on == "train" else base
     prep = fit_prep(fit_rows, numeric, categorical, prep_config)
     base = base.withColumn("label", label.code(base))

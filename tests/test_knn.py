@@ -20,3 +20,38 @@ def test_band_join_knn_is_exact_with_hot_cluster(spark):
         assert list(mine.id) == order
     votes = knn_vote(nearest_neighbors(train, q, 5, carry=("tl",)), "qid", "tl").toPandas()
     assert len(votes) == len(queries)
+
+
+def _brute_knn_impute(X, keys, k):
+    n, p = X.shape
+    out = X.copy()
+    means = np.nanmean(X, axis=0)
+    for r in range(n):
+        for f in range(p):
+            if not np.isnan(X[r, f]):
+                continue
+            cands = []
+            for d in range(n):
+                if np.isnan(X[d, f]):
+                    continue
+                both = ~np.isnan(X[r]) & ~np.isnan(X[d])
+                if both.sum() == 0:
+                    continue
+                dist = np.sqrt(p / both.sum() * ((X[r, both] - X[d, both]) ** 2).sum())
+                cands.append((dist, keys[d], X[d, f]))
+            cands.sort()
+            out[r, f] = np.mean([c[2] for c in cands[:k]]) if cands else means[f]
+    return out
+
+
+def test_knn_impute_matches_brute_force(spark):
+    from tessera.operators.knn import knn_impute
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(120, 3)).round(1)
+    X[rng.random((120, 3)) < 0.2] = np.nan
+    X[7] = np.nan  # all missing -> column means
+    keys = np.arange(120)
+    pdf = pd.DataFrame(X, columns=["x", "y", "z"]).assign(k=keys)
+    got = knn_impute(spark.createDataFrame(pdf), "k", ["x", "y", "z"], k=5).toPandas().sort_values("k")
+    exp = _brute_knn_impute(X, keys, 5)
+    assert np.allclose(got[["x", "y", "z"]].to_numpy(), exp)
