@@ -64,9 +64,8 @@ def prefix_sums(df: DataFrame, order: str | Column, sums: Sequence[str],
         key = -key
     d = df.withColumn("_k", key).where(F.col("_k").isNotNull())
     if materialize:
-        from tessera.session import shared_dir
-        shared_dir(df.sparkSession)
-        d = d.checkpoint()
+        from tessera.session import materialize as _materialize
+        d = _materialize(d)
     probs = [i / buckets for i in range(1, buckets)]
     cuts = d.groupBy(*groups).agg(F.percentile_approx("_k", probs, 10 * buckets).alias("_cuts"))
     if groups:

@@ -83,7 +83,7 @@ def average_ranks(df: DataFrame, col: str) -> DataFrame:
     bucketed prefix sum - no global single-task window.
     """
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = prefix_sums(counts, "value", ["_n"], inclusive=False)
+    ranked = prefix_sums(counts, "value", ["_n"], inclusive=False, materialize=True)
     return ranked.select("value", (F.col("_n_cum") + (F.col("_n") + 1) / 2.0).alias("avg_rank"))
 
 

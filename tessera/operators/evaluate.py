@@ -105,7 +105,8 @@ def roc_curve(df: DataFrame, label: str, score: str, positive=1, drop_intermedia
     origin (threshold NULL).  ``drop_intermediate`` keeps the first and last
     points and those where the step to the next point changes."""
     counts = _score_counts(df, F.col(label), F.col(score), positive)
-    cum = prefix_sums(counts, "score", ["tp", "fp"], descending=True, lead=["tp", "fp"] if drop_intermediate else ())
+    cum = prefix_sums(counts, "score", ["tp", "fp"], descending=True, lead=["tp", "fp"] if drop_intermediate else (),
+                      materialize=True)  # per-score counts: computed once, not once per branch
     totals = counts.agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"))
     pts = cum.crossJoin(F.broadcast(totals))  # one row
     if drop_intermediate:
@@ -123,7 +124,7 @@ def roc_curve(df: DataFrame, label: str, score: str, positive=1, drop_intermedia
 
 
 def _auc_from_counts(counts: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    cum = prefix_sums(counts, "score", ["tp"], groups=groups, descending=True)
+    cum = prefix_sums(counts, "score", ["tp"], groups=groups, descending=True, materialize=True)
     area = F.sum(F.col("fp") * (2 * (F.col("tp_cum") - F.col("tp")) + F.col("tp")))
     return cum.groupBy(*groups).agg(
         (area / F.nullif(2.0 * F.sum("tp") * F.sum("fp"), F.lit(0.0))).alias("auc"))

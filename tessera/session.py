@@ -55,3 +55,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, computed once.
+
+    The frame is persisted while the checkpoint is written (otherwise the
+    checkpoint job recomputes it) and released afterwards; the result reads
+    the checkpoint files, so it survives executor loss and has a short lineage.
+    """
+    from pyspark import StorageLevel
+    shared_dir(df.sparkSession)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
