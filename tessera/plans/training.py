@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tessera.operators import evaluate as E
 from tessera.operators.prepare import FittedPrep, LabelEncoding, PrepConfig, fit_label, fit_prep
-from tessera.operators.split import key_hash, test_threshold
+from tessera.operators.split import key_hash, test_threshold, with_stratified_folds
 from tessera.plans import estimators as M
 
 # Number of random Fourier components for the rbf kernel map.
@@ -83,6 +83,29 @@ def kernel_map(kernel: str, gamma, n_features: int, feature_var: float, seed: in
     return rff
 
 
+class PlattScaled:
+    """A binary margin classifier with a logistic calibration of its margin
+    (probability = sigmoid(a * margin + b), a and b fitted on the training rows by
+    Spark's LogisticRegression on the one margin feature)."""
+
+    def __init__(self, model, a: float, b: float):
+        self.model, self.a, self.b = model, a, b
+        self.coefficients = getattr(model, "coefficients", None)
+
+    @classmethod
+    def fit(cls, model, train: DataFrame) -> "PlattScaled":
+        from pyspark.ml.classification import LogisticRegression
+        margin = model.transform(train).select(
+            array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("m"), "label")
+        lr = LogisticRegression(featuresCol="m", labelCol="label", regParam=0.0, maxIter=100).fit(margin)
+        return cls(model, float(lr.coefficients[0]), float(lr.intercept))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.model.transform(df)
+        p1 = 1.0 / (1.0 + F.exp(-(F.lit(self.a) * vector_to_array("rawPrediction")[1] + F.lit(self.b))))
+        return out.withColumn("probability", array_to_vector(F.array(1.0 - p1, p1)))
+
+
 # ---------------------------------------------------------------- metrics / scoring
 
 def _score(pred: DataFrame, is_classification: bool) -> float:
@@ -93,6 +116,7 @@ def _score(pred: DataFrame, is_classification: bool) -> float:
 
 def importances_of(model, names: Sequence[str]) -> list[float] | None:
     m = model.stages[-1] if hasattr(model, "stages") else model
+    m = getattr(m, "model", m)  # calibrated wrapper
     if hasattr(m, "featureImportances"):
         return list(m.featureImportances.toArray())
     if hasattr(m, "coefficientMatrix") and m.coefficientMatrix.numRows > 1:
@@ -117,8 +141,12 @@ def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
         is_classification = task_cls
     base = df.where(F.col(target).isNotNull())
     h = key_hash(keys, random_state)
-    base = base.withColumn("_is_test", h < F.lit(test_threshold(test_size))).withColumn(
-        "_fold", F.pmod(key_hash(keys, random_state + 1), F.lit(cv)).cast("int"))
+    base = base.withColumn("_is_test", h < F.lit(test_threshold(test_size)))
+    if is_classification and (use_grid_search or use_randomized_search):
+        # stratified folds for classifiers (rank within label by hash, bucketed - no single-task window)
+        base = with_stratified_folds(base, keys, target, cv, random_state + 1, output="_fold")
+    else:
+        base = base.withColumn("_fold", F.pmod(key_hash(keys, random_state + 1), F.lit(cv)).cast("int"))
     if prep_config is not None and prep_config.numeric_imputer == "knn" and numeric:
         # k nearest donors over the whole table (the donors' own split does not matter to the rule)
         from tessera.operators.knn import knn_impute
@@ -181,6 +209,8 @@ def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
         best = cands[best_i]
         cv_results = cv_results_frame(df.sparkSession, cands, table)
     model, fmap = fit(best, train, stats.n)
+    if model_name == "Support Vector Machine" and n_classes == 2:
+        model = PlattScaled.fit(model, fmap(train) if fmap else train)
     pred = model.transform(fmap(test) if fmap else test)
     out_cols = [*keys, "label", "prediction"]
     if "probability" in pred.columns:
@@ -258,3 +288,15 @@ def cv_ols_closed_form(df: DataFrame, x: str, y: str, fold: str, k: int) -> Data
         *[F.max(F.when(F.col("fold") == i, F.col("score"))).alias(f"split{i}_test_score") for i in range(k)],
         F.avg("score").alias("mean_test_score"), F.stddev_pop("score").alias("std_test_score"))
     return wide.withColumn("rank_test_score", F.rank().over(Window.orderBy(F.desc("mean_test_score"))).cast("int"))
+
+
+def record_run(store, result: TrainResult, dataset_name: str, features: Sequence[str] | None = None) -> str:
+    """Append a trained run to a HistoryStore: name ``<model>_<YYYYmmdd_HHMMSS>``,
+    type Classification / Regression, the metric row and the chosen parameters."""
+    import datetime
+    stamp = datetime.datetime.now().strftime("%Y%m%d_%H%M%S")
+    metrics = {k: float(v) for k, v in result.metrics.first().asDict().items() if v is not None}
+    return store.add_model({"model_name": f"{result.model_name}_{stamp}",
+                            "model_type": "Classification" if result.is_classification else "Regression"},
+                           metrics, dataset_name, list(features or result.prep.numeric + result.prep.categorical),
+                           result.label.column, result.best_params)

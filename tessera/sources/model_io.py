@@ -28,12 +28,15 @@ def save_model(result, base_dir: str, model_name: str) -> str:
     """Persist a TrainResult; returns the model folder."""
     path = os.path.join(base_dir, model_name)
     m = result.model
+    calibration = None
+    if type(m).__name__ == "PlattScaled":  # margin classifier + logistic calibration
+        calibration, m = [m.a, m.b], m.model
     meta = {"model_name": model_name, "estimator": result.model_name,
             "is_classification": result.is_classification,
             "feature_names": result.feature_names,
             "target": result.label.column, "task": result.label.task, "classes": result.label.classes,
             "prep": _prep_state(result.prep), "best_params": {k: str(v) for k, v in result.best_params.items()},
-            "timestamp": datetime.datetime.now().strftime("%Y-%m-%d %H:%M:%S")}
+            "timestamp": datetime.datetime.now().strftime("%Y-%m-%d %H:%M:%S"), "calibration": calibration}
     if hasattr(m, "write"):
         m.write().overwrite().save(os.path.join(path, "model"))
         meta["model_class"] = f"{type(m).__module__}.{type(m).__name__}"
@@ -76,4 +79,7 @@ def load_model(spark: SparkSession, path: str) -> LoadedModel:
     else:
         mod, cls = meta["model_class"].rsplit(".", 1)
         model = getattr(importlib.import_module(mod), cls).load(os.path.join(path, "model"))
+        if meta.get("calibration"):
+            from tessera.plans.training import PlattScaled
+            model = PlattScaled(model, *meta["calibration"])
     return LoadedModel(model, prep, label, meta)

@@ -127,3 +127,35 @@ def test_csv_reader_tokens_and_types(spark):
     assert df.where("b IS NULL").count() == 2 and df.where("c IS NULL").count() == 2
     write_predictions_csv(df, os.path.join(base, "pred"), "a", "b")
     assert spark.read.option("header", True).csv(os.path.join(base, "pred")).columns == ["Actual", "Predicted"]
+
+
+def test_svm_probability_and_history_record(spark):
+    from tessera.operators.history import history_wide
+    from tessera.sources.history_store import HistoryStore
+    df = _cls100(spark)
+    res = TR.train_model(df, FEATS, [], "target", "Support Vector Machine", keys=["k"],
+                         params={"C": 1.0, "kernel": "linear"})
+    probs = res.predictions.select("probability").collect()
+    assert all(abs(sum(r.probability) - 1.0) < 1e-9 for r in probs)
+    store = HistoryStore(spark, os.path.join(shared_dir(spark), f"rec-{os.urandom(3).hex()}"))
+    TR.record_run(store, res, "cls100")
+    row = history_wide(store.read()).first()
+    assert row.model_name.startswith("Support Vector Machine_") and row.model_type == "Classification"
+    assert row.n_features == 5 and row.metric_accuracy is not None
+
+
+def test_grid_search_stratified_folds_for_classifiers(spark):
+    df = _cls100(spark)
+    res = TR.train_model(df, FEATS, [], "target", "Logistic Regression", keys=["k"], use_grid_search=True, cv=3,
+                         custom_params={"C": [1.0]})
+    assert res.cv_results.count() == 1
+
+
+def test_save_load_calibrated_svm(spark):
+    df = _cls100(spark)
+    res = TR.train_model(df, FEATS, [], "target", "Support Vector Machine", keys=["k"], params={"kernel": "linear"})
+    path = save_model(res, os.path.join(shared_dir(spark), f"svm-{os.urandom(3).hex()}"), "svm")
+    loaded = load_model(spark, path)
+    a = res.transform(df, keep=["k"]).select("k", "probability").orderBy("k").collect()
+    b = loaded.transform(df, keep=["k"]).select("k", "probability").orderBy("k").collect()
+    assert a == b
