@@ -88,12 +88,28 @@ class ColumnRoles:
         return self.numeric + self.categorical
 
 
+# Above this sketch estimate a column is taken to have >= threshold distinct values
+# (a distinct-count sketch does not overestimate a handful of values a hundredfold).
+SKETCH_SURE = 1000
+
+
 def infer_roles(df: DataFrame, threshold: int = CATEGORICAL_THRESHOLD) -> ColumnRoles:
-    """Driver-side role lists (one aggregate job; result is schema-sized)."""
-    rows = roles_frame(df, threshold).where("role != 'none'").collect()
-    ordered = sorted(rows, key=lambda r: (r.role, r.role_position))
-    return ColumnRoles([r.column_name for r in ordered if r.role == "numeric"],
-                       [r.column_name for r in ordered if r.role == "categorical"])
+    """Driver-side role lists.  Only "fewer than threshold distinct values?" matters,
+    so one sketch pass (approx_count_distinct, no Expand) settles high-cardinality
+    columns and an exact size(collect_set) - bounded by SKETCH_SURE values - is
+    taken only for the columns whose estimate is small."""
+    fields = [f for f in df.schema.fields if _role_of(f.dataType) != "none"]
+    numeric = [f.name for f in fields if _role_of(f.dataType) == "numeric"]
+    moved: set[str] = set()
+    if numeric:
+        est = df.agg(*[F.approx_count_distinct(_num(df, c)).alias(f"_a{i}") for i, c in enumerate(numeric)]).first()
+        small = [c for i, c in enumerate(numeric) if est[f"_a{i}"] < SKETCH_SURE]
+        if small:
+            exact = df.agg(*[F.size(F.collect_set(_num(df, c))).alias(f"_e{i}") for i, c in enumerate(small)]).first()
+            moved = {c for i, c in enumerate(small) if exact[f"_e{i}"] < threshold}
+    return ColumnRoles([c for c in numeric if c not in moved],
+                       [f.name for f in fields if _role_of(f.dataType) == "categorical"]
+                       + [c for c in numeric if c in moved])
 
 
 def task_types(df: DataFrame, targets: Sequence[str], threshold: int = CATEGORICAL_THRESHOLD) -> DataFrame:

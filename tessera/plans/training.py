@@ -135,11 +135,15 @@ def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
                 use_randomized_search: bool = False, n_iter: int = 10, custom_params: dict | None = None,
                 params: dict | None = None, prep_config: PrepConfig | None = None, fit_on: str = "train",
                 parallelism: int = 4) -> TrainResult:
-    label = fit_label(df, target)
+    from pyspark import StorageLevel
+    # the projected training columns are read by every fitting pass below: scan / join them once
+    needed = list(dict.fromkeys([*keys, *numeric, *categorical, target]))
+    source = df.select(*needed).where(F.col(target).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    label = fit_label(source, target)
     task_cls = label.task == "classification"
     if is_classification is None:
         is_classification = task_cls
-    base = df.where(F.col(target).isNotNull())
+    base = source
     h = key_hash(keys, random_state)
     base = base.withColumn("_is_test", h < F.lit(test_threshold(test_size)))
     if is_classification and (use_grid_search or use_randomized_search):
@@ -168,6 +172,8 @@ def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     train = data.where(~F.col("_is_test"))
     test = data.where(F.col("_is_test"))
     stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sd")).first()
+    data.count()  # data is now cached in full; the projected source is no longer needed
+    source.unpersist()
     names = prep.feature_names
     fvar = 1.0
     if model_name in ("Support Vector Machine", "SVR"):
