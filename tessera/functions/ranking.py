@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 # Above this many groups the per-group bucket table is joined by shuffle
 # instead of broadcast (each group carries `buckets` cut points).
 MAX_BROADCAST_GROUPS = 2000
+# A materialised input with at most this many rows (a counted, proven bound) is
+# ordered by one plain window instead of the bucketed plan.
+SMALL_INPUT_ROWS = 100_000
 
 
 def _bucket_of(cuts: Column, key: Column, n_cuts: int) -> Column:
@@ -66,6 +69,14 @@ def prefix_sums(df: DataFrame, order: str | Column, sums: Sequence[str],
     if materialize:
         from tessera.session import materialize as _materialize
         d = _materialize(d)
+        if d.count() <= SMALL_INPUT_ROWS:  # reads the checkpoint; bounded input -> one ordered window
+            end0 = 0 if inclusive else -1
+            wr0 = (Window.partitionBy(*groups).orderBy("_k", *tiebreak)
+                   .rowsBetween(Window.unboundedPreceding, end0))
+            wl0 = Window.partitionBy(*groups).orderBy("_k", *tiebreak)
+            out = d.select("*", *[F.coalesce(F.sum(c).over(wr0), F.lit(0)).alias(f"{c}{suffix}") for c in sums],
+                           *[F.lead(c).over(wl0).alias(f"{c}_next") for c in lead])
+            return out.drop("_k")
     probs = [i / buckets for i in range(1, buckets)]
     cuts = d.groupBy(*groups).agg(F.percentile_approx("_k", probs, 10 * buckets).alias("_cuts"))
     if groups:

@@ -69,3 +69,16 @@ def test_regression_metrics(spark):
 def test_auc_one_class_is_null(spark):
     df = spark.createDataFrame([(0, 0.1), (0, 0.4)], "y int, s double")
     assert E.roc_auc(df, "y", "s").first().auc is None
+
+
+def test_prefix_sums_small_and_bucketed_paths_agree(spark):
+    import tessera.functions.ranking as R
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"g": rng.integers(0, 2, 2000), "k": rng.permutation(2000).astype(float),
+                        "v": rng.integers(0, 5, 2000)})
+    df = spark.createDataFrame(pdf)
+    small = R.prefix_sums(df, "k", ["v"], groups=["g"], lead=["v"], materialize=True).toPandas()
+    big = R.prefix_sums(df, "k", ["v"], groups=["g"], lead=["v"], buckets=16).toPandas()
+    key = ["g", "k"]
+    a, b = small.sort_values(key).reset_index(drop=True), big.sort_values(key).reset_index(drop=True)
+    assert (a["v_cum"] == b["v_cum"]).all() and a["v_next"].fillna(-1).equals(b["v_next"].fillna(-1))
