@@ -59,3 +59,19 @@ def test_outliers_strict_fences(spark):
     assert [r.k for r in P.outlier_rows(df, ["v"], ["k"]).collect()] == [4]
     h = P.outlier_hint(df, ["v"]).first()
     assert (h.has_outliers, h.outlier_features, h.suggested_scaler) == (True, "v", "robust")
+
+
+def test_target_removed_from_features(role_edges):
+    roles = P.infer_roles(role_edges)
+    assert "x" not in roles.without("x").features and "x" in roles.features
+    proj = P.feature_projection(role_edges, roles, "s", keep=["x"])
+    assert "s" not in proj.columns and proj.columns[0] == "x"
+
+
+def test_sketch_roles_agree_with_exact(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(5000).select((F.col("id") % 9).alias("few"), (F.col("id") % 10).alias("ten"), F.col("id").alias("many"))
+    exact = {r.column_name: r.role for r in P.roles_frame(df).collect()}
+    roles = P.infer_roles(df)
+    assert exact == {"few": "categorical", "ten": "numeric", "many": "numeric"}
+    assert roles.numeric == ["ten", "many"] and roles.categorical == ["few"]
