@@ -164,41 +164,97 @@ class FittedPrep:
         return wide.select(*kept, array_to_vector(arr).alias(output))
 
 
+def _fill_agg(x: Column, strategy: str) -> Column | None:
+    """Aggregate giving the fill value (None for the constant imputer)."""
+    if strategy == "mean":
+        return F.avg(x)
+    if strategy == "median":
+        return F.percentile(x, 0.5)
+    if strategy == "most_frequent":
+        return F.mode(x, True)
+    if strategy == "constant":
+        return None
+    raise ValueError(f"unknown imputer {strategy!r}")
+
+
 def fit_prep(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
              config: PrepConfig | None = None) -> FittedPrep:
+    """Fit imputers, scalers and category lists in two passes over ``df``.
+
+    Pass 1 (one aggregate): fill values, per-column missing counts and a
+    distinct-count sketch of every categorical column - a column over
+    ``max_categories`` stops the fit before anything is collected.  Pass 2 (one
+    aggregate): scaler statistics over the imputed (and optionally clipped)
+    values and the category sets, now known to be bounded.  With
+    ``handle_outliers`` one more pass finds the clip fences first.
+    """
     cfg = config or PrepConfig()
     numeric, categorical = list(numeric), list(categorical)
     fp = FittedPrep(numeric, categorical, cfg)
-    base = df
-    if numeric:
-        if cfg.numeric_imputer == "knn":
-            raise ValueError("KNN imputation joins rows by key: run operators.knn.knn_impute(df, key, cols) "
-                             "first (train_model does this for numeric_imputer='knn')")
+    if numeric and cfg.numeric_imputer == "knn":
+        raise ValueError("KNN imputation joins rows by key: run operators.knn.knn_impute(df, key, cols) "
+                         "first (train_model does this for numeric_imputer='knn')")
+    aggs = []
+    for i, c in enumerate(numeric):
+        a = _fill_agg(_num(df, c), cfg.numeric_imputer)
+        if a is not None:
+            aggs.append(a.alias(f"_nf{i}"))
+    for i, c in enumerate(categorical):
+        a = _fill_agg(_cat(df, c), cfg.categorical_imputer)
+        if a is not None:
+            aggs.append(a.alias(f"_cf{i}"))
+        aggs += [F.count_if(_cat(df, c).isNull()).alias(f"_cn{i}"),
+                 F.approx_count_distinct(_cat(df, c)).alias(f"_ca{i}")]
+    one = df.agg(*aggs).first() if aggs else None
+    fp.numeric_fill = {c: (cfg.numeric_fill if cfg.numeric_imputer == "constant" else one[f"_nf{i}"])
+                       for i, c in enumerate(numeric)}
+    fp.categorical_fill = {c: (cfg.categorical_fill if cfg.categorical_imputer == "constant" else one[f"_cf{i}"])
+                           for i, c in enumerate(categorical)}
+    for i, c in enumerate(categorical):
+        if one[f"_ca{i}"] > 1.1 * cfg.max_categories + 10:  # sketch: clearly over the limit
+            raise ValueError(f"{c}: more than {cfg.max_categories} categories")
+
+    def filled(c: str) -> Column:
+        x = _num(df, c)
+        fill = fp.numeric_fill.get(c)
+        x = F.coalesce(x, F.lit(float(fill))) if fill is not None else x
+        if c in fp.clip:
+            x = F.least(F.greatest(x, F.lit(fp.clip[c][0])), F.lit(fp.clip[c][1]))
+        return x
+
+    if numeric and cfg.handle_outliers:
+        q = df.agg(*[F.percentile(filled(c), [0.25, 0.75]).alias(f"_q{i}") for i, c in enumerate(numeric)]).first()
+        for i, c in enumerate(numeric):
+            q1, q3 = q[f"_q{i}"] or (None, None)
+            if q1 is not None:
+                fp.clip[c] = (q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1))
+    aggs2 = []
+    if cfg.numeric_scaler == "standard":
+        aggs2 += [F.struct(F.avg(filled(c)), F.stddev_pop(filled(c))).alias(f"_s{i}") for i, c in enumerate(numeric)]
+    elif cfg.numeric_scaler == "robust":
+        aggs2 += [F.percentile(filled(c), [0.25, 0.5, 0.75]).alias(f"_s{i}") for i, c in enumerate(numeric)]
+    elif cfg.numeric_scaler != "none":
+        raise ValueError(f"unknown scaler {cfg.numeric_scaler!r}")
+    for i, c in enumerate(categorical):
+        fill = fp.categorical_fill.get(c)
+        x = F.coalesce(_cat(df, c), F.lit(fill)) if fill is not None else _cat(df, c)
+        aggs2.append(F.collect_set(x).alias(f"_cs{i}"))  # bounded by the sketch check above
+    two = df.agg(*aggs2).first() if aggs2 else None
+    for i, c in enumerate(numeric):
+        if cfg.numeric_scaler == "none":
+            fp.scale[c] = (0.0, 1.0)
+            continue
+        v = two[f"_s{i}"]
+        if cfg.numeric_scaler == "standard":
+            center, scale = (v[0] or 0.0), v[1]
         else:
-            fp.numeric_fill = impute_values(df, numeric, cfg.numeric_imputer, cfg.numeric_fill)
-        filled = base.select(*[F.coalesce(_num(base, c), F.lit(fp.numeric_fill[c])).alias(c)
-                               if fp.numeric_fill.get(c) is not None else _num(base, c).alias(c) for c in numeric])
-        if cfg.handle_outliers:
-            q = filled.agg(*[F.percentile(c, [0.25, 0.75]).alias(f"_q{i}") for i, c in enumerate(numeric)]).first()
-            for i, c in enumerate(numeric):
-                q1, q3 = q[f"_q{i}"] or (None, None)
-                if q1 is not None:
-                    fp.clip[c] = (q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1))
-            filled = filled.select(*[F.least(F.greatest(c, F.lit(fp.clip[c][0])), F.lit(fp.clip[c][1])).alias(c)
-                                     if c in fp.clip else F.col(c) for c in numeric])
-        fp.scale = scaler_stats(filled, numeric, cfg.numeric_scaler)
-    if categorical:
-        fp.categorical_fill = impute_values(df, categorical, cfg.categorical_imputer, cfg.categorical_fill)
-        for c in categorical:
-            x = _cat(df, c)
-            fill = fp.categorical_fill.get(c)
-            if fill is not None:
-                x = F.coalesce(x, F.lit(fill))
-            vals = [r[0] for r in df.select(x.alias("v")).where("v IS NOT NULL").distinct()
-                    .limit(cfg.max_categories + 1).collect()]
-            if len(vals) > cfg.max_categories:
-                raise ValueError(f"{c}: more than {cfg.max_categories} categories")
-            fp.categories[c] = _sorted_categories(vals)
+            center, scale = (v[1] if v else 0.0), ((v[2] - v[0]) if v else None)
+        fp.scale[c] = (center, scale if scale not in (None, 0.0) and scale == scale else 1.0)
+    for i, c in enumerate(categorical):
+        vals = list(two[f"_cs{i}"])
+        if len(vals) > cfg.max_categories:
+            raise ValueError(f"{c}: more than {cfg.max_categories} categories")
+        fp.categories[c] = _sorted_categories(vals)
     return fp
 
 
