@@ -62,3 +62,11 @@ def test_box_stats(spark):
 def test_scatter_pairs_first_five(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0, 5.0, 6.0)], "a double, b double, c double, d double, e double, f double")
     assert V.scatter_pairs(df, list("abcdef")).count() == 25
+
+
+def test_scatter_hash_sample_is_deterministic(spark):
+    df = spark.range(4000).selectExpr("id AS k", "CAST(id AS DOUBLE) AS a", "CAST(id * 2 AS DOUBLE) AS b")
+    s1 = V.scatter_pairs(df, ["a", "b"], keep=["k"], sample_fraction=0.25)
+    s2 = V.scatter_pairs(df.repartition(5), ["a", "b"], keep=["k"], sample_fraction=0.25)
+    n = s1.count()
+    assert abs(n / 4 - 1000) < 120 and sorted(s1.collect()) == sorted(s2.collect())
