@@ -76,6 +76,12 @@ def corr_with_target(df: DataFrame, features: Sequence[str], target: str) -> Dat
     return out.withColumn("position", F.row_number().over(w).cast("int"))
 
 
+def _ranks_from_counts(counts: DataFrame) -> DataFrame:
+    """(value, avg_rank) from (value, _n) counts: 1-based ranks, ties share their mean."""
+    ranked = prefix_sums(counts, "value", ["_n"], inclusive=False, materialize=True)
+    return ranked.select("value", (F.col("_n_cum") + (F.col("_n") + 1) / 2.0).alias("avg_rank"))
+
+
 def average_ranks(df: DataFrame, col: str) -> DataFrame:
     """(value, avg_rank): 1-based ranks with ties sharing their mean rank.
 
@@ -83,21 +89,26 @@ def average_ranks(df: DataFrame, col: str) -> DataFrame:
     bucketed prefix sum - no global single-task window.
     """
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = prefix_sums(counts, "value", ["_n"], inclusive=False, materialize=True)
-    return ranked.select("value", (F.col("_n_cum") + (F.col("_n") + 1) / 2.0).alias("avg_rank"))
+    return _ranks_from_counts(counts)
 
 
 def spearman_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Spearman correlation (index, variable, correlation) over rows complete in all ``cols``.
 
-    Each column's rank table is joined back on its value (small tables are
-    broadcast by AQE at run time; a hot value is handled by AQE skew-join
-    splitting), then Pearson is taken over the ranks.
+    The (column, value) counts of all columns come from one pass and are
+    materialised in the shared folder; each column's ranks are then a prefix
+    sum over its slice of that table (distinct values only), joined back on the
+    value (AQE broadcasts small rank tables and splits a hot value's
+    partition), and Pearson is taken over the ranks.
     """
+    from tessera.session import materialize
     base = df.select(*[_x(df, c).alias(c) for c in cols]).dropna()
+    long = base.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"))
+                                          for c in cols])))
+    counts = materialize(long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_n")))
     ranked = base
     for i, c in enumerate(cols):
-        r = average_ranks(base, c).withColumnRenamed("value", c).withColumnRenamed("avg_rank", f"_r{i}")
-        ranked = ranked.join(r, c)
+        r = _ranks_from_counts(counts.where(F.col("column_name") == c).drop("column_name"))
+        ranked = ranked.join(r.select(F.col("value").alias(c), F.col("avg_rank").alias(f"_r{i}")), c)
     rk = ranked.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(cols)])
     return corr_long(rk, cols)
