@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import is_float, nan_to_null
 from tessera.operators.profile import IQR_FACTOR
+from tessera.operators.quantiles import quantile_arrays
 
 # Chart defaults (30 "nice" bins; 20 equal-width bins; KDE grid
 # of 200 points extending 3 bandwidths past the data; 5 scatter features).
@@ -136,8 +137,8 @@ def box_stats(df: DataFrame, col: str, groups: Sequence[str] = ()) -> DataFrame:
     points inside the 1.5 x IQR fences."""
     x = _x(df, col)
     vals = df.select(*groups, x.alias("_x")).where("_x IS NOT NULL")
-    q = vals.groupBy(*groups).agg(F.percentile("_x", [0.25, 0.5, 0.75]).alias("_q"))
-    q = q.select(*groups, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    q = quantile_arrays(vals, ["_x"], [0.25, 0.5, 0.75], groups=groups)
+    q = q.select(*groups, F.col("_q0")[0].alias("q1"), F.col("_q0")[1].alias("median"), F.col("_q0")[2].alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")).withColumn(
         "lower_fence", F.col("q1") - IQR_FACTOR * F.col("iqr")).withColumn(
         "upper_fence", F.col("q3") + IQR_FACTOR * F.col("iqr"))
@@ -151,10 +152,9 @@ def box_stats(df: DataFrame, col: str, groups: Sequence[str] = ()) -> DataFrame:
 def box_outliers(df: DataFrame, col: str, groups: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """Rows outside the 1.5 x IQR fences of their group (the box plot's points)."""
     x = _x(df, col)
-    q = df.select(*groups, x.alias("_x")).where("_x IS NOT NULL").groupBy(*groups).agg(
-        F.percentile("_x", [0.25, 0.75]).alias("_q"))
-    q = q.select(*groups, (F.col("_q")[0] - IQR_FACTOR * (F.col("_q")[1] - F.col("_q")[0])).alias("_lo"),
-                 (F.col("_q")[1] + IQR_FACTOR * (F.col("_q")[1] - F.col("_q")[0])).alias("_hi"))
+    q = quantile_arrays(df.select(*groups, x.alias("_x")), ["_x"], [0.25, 0.75], groups=groups)
+    q = q.select(*groups, (F.col("_q0")[0] - IQR_FACTOR * (F.col("_q0")[1] - F.col("_q0")[0])).alias("_lo"),
+                 (F.col("_q0")[1] + IQR_FACTOR * (F.col("_q0")[1] - F.col("_q0")[0])).alias("_hi"))
     j = _with_stats(df.select(*{*keep, *groups, col}), q, groups)
     xv = _x(j, col)
     return j.where((xv < F.col("_lo")) | (xv > F.col("_hi"))).select(*dict.fromkeys([*keep, *groups, col]))

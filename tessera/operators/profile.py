@@ -159,20 +159,22 @@ def quantile_expr(c: Column, probs: Sequence[float], exact: bool = True) -> Colu
     return F.percentile(c, list(probs)) if exact else F.percentile_approx(c, list(probs), 100000)
 
 
-def describe(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
     """count, mean, std (sample), min, 25/50/75 % (linear interpolation), max.
 
-    One aggregate over all columns (no Expand), then one row per column.
-    ``exact=False`` swaps the exact percentile (value->count map per group)
-    for the quantile sketch on very high-cardinality columns.
+    Moments and extremes are one aggregate over all columns (no Expand); the
+    exact quartiles come from ``quantiles.quantile_arrays`` (single-aggregate
+    percentile for columns with a bounded number of values, the distributed
+    rank-based path beyond); then one row per column.
     """
+    from tessera.operators.quantiles import quantile_arrays
     aggs = []
     for i, c in enumerate(cols):
         x = _num(df, c)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), quantile_expr(x, [0.25, 0.5, 0.75], exact).alias(f"q{i}"),
-                 F.max(x).alias(f"hi{i}")]
-    one = df.agg(*aggs)
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    qs = quantile_arrays(df, cols, [0.25, 0.5, 0.75], method=method)
+    one = df.agg(*aggs).crossJoin(qs.select(*[F.col(f"_q{i}").alias(f"q{i}") for i in range(len(cols))]))  # 1 x 1
     return stack_rows(one, [{
         "column_name": F.lit(c), "count": F.col(f"n{i}"), "mean": F.col(f"m{i}"), "std": F.col(f"s{i}"),
         "min": F.col(f"lo{i}"), "p25": F.col(f"q{i}")[0], "p50": F.col(f"q{i}")[1],
@@ -251,9 +253,10 @@ def missing_hint(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
 
 # --------------------------------------------------------------------------- IQR outliers
 
-def iqr_bounds(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
+def iqr_bounds(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
     """One row with q1_<i>, q3_<i>, lower_<i>, upper_<i> per column index."""
-    one = df.agg(*[quantile_expr(_num(df, c), [0.25, 0.75], exact).alias(f"_q{i}") for i, c in enumerate(cols)])
+    from tessera.operators.quantiles import quantile_arrays
+    one = quantile_arrays(df, cols, [0.25, 0.75], method=method)
     sel = []
     for i, _ in enumerate(cols):
         q1, q3 = F.col(f"_q{i}")[0], F.col(f"_q{i}")[1]
