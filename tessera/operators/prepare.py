@@ -54,11 +54,28 @@ def _quoted(name: str) -> str:
 
 
 def mode_values(df: DataFrame, exprs: dict[str, Column]) -> dict[str, object]:
-    """Most frequent non-missing value per expression; ties -> smallest value."""
+    """Most frequent non-missing value per expression; ties -> smallest value.
+
+    Two-stage and fully distributed: count per (expression, value) with
+    map-side combine, then min(struct(-count, value)) per expression - no
+    buffer ever holds all distinct values of a column.  Expressions of the
+    same type share one pass."""
     if not exprs:
         return {}
-    row = df.agg(*[F.mode(e, True).alias(f"_m{i}") for i, e in enumerate(exprs.values())]).first()
-    return {k: row[f"_m{i}"] for i, k in enumerate(exprs)}
+    names = list(exprs)
+    typed = df.select(*[e.alias(f"_e{i}") for i, e in enumerate(exprs.values())])
+    by_type: dict[str, list[int]] = {}
+    for i, f in enumerate(typed.schema.fields):
+        by_type.setdefault(f.dataType.simpleString(), []).append(i)
+    out = {}
+    for idx in by_type.values():
+        long = typed.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_e{i}").alias("v"))
+                                               for i in idx]))).where(F.col("v").isNotNull())
+        counts = long.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+        best = counts.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("v").alias("v"))).alias("b"))
+        got = {r.i: r.b.v for r in best.collect()}  # one row per column
+        out.update({names[i]: got.get(i) for i in idx})
+    return out
 
 
 def impute_values(df: DataFrame, cols: Sequence[str], strategy: str,
@@ -70,8 +87,11 @@ def impute_values(df: DataFrame, cols: Sequence[str], strategy: str,
         return {c: fill for c in cols}
     if strategy == "most_frequent":
         return mode_values(df, {c: _cat(df, c) for c in cols})
-    agg = {"mean": F.avg, "median": lambda x: F.percentile(x, 0.5)}[strategy]
-    row = df.agg(*[agg(_num(df, c)).alias(f"_v{i}") for i, c in enumerate(cols)]).first()
+    if strategy == "median":
+        from tessera.operators.quantiles import quantile_arrays
+        row = quantile_arrays(df.select(*[_num(df, c).alias(c) for c in cols]), cols, [0.5]).first()
+        return {c: (row[f"_q{i}"][0] if row[f"_q{i}"] else None) for i, c in enumerate(cols)}
+    row = df.agg(*[F.avg(_num(df, c)).alias(f"_v{i}") for i, c in enumerate(cols)]).first()
     return {c: row[f"_v{i}"] for i, c in enumerate(cols)}
 
 
@@ -88,11 +108,13 @@ def scaler_stats(df: DataFrame, cols: Sequence[str], kind: str) -> dict[str, tup
         return {c: (0.0, 1.0) for c in cols}
     if kind == "standard":
         aggs = [F.struct(F.avg(_num(df, c)), F.stddev_pop(_num(df, c))).alias(f"_s{i}") for i, c in enumerate(cols)]
+        row = df.agg(*aggs).first()
     elif kind == "robust":
-        aggs = [F.percentile(_num(df, c), [0.25, 0.5, 0.75]).alias(f"_s{i}") for i, c in enumerate(cols)]
+        from tessera.operators.quantiles import quantile_arrays
+        q = quantile_arrays(df.select(*[_num(df, c).alias(c) for c in cols]), cols, [0.25, 0.5, 0.75]).first()
+        row = {f"_s{i}": q[f"_q{i}"] for i in range(len(cols))}
     else:
         raise ValueError(f"unknown scaler {kind!r}")
-    row = df.agg(*aggs).first()
     out = {}
     for i, c in enumerate(cols):
         v = row[f"_s{i}"]
@@ -165,14 +187,11 @@ class FittedPrep:
 
 
 def _fill_agg(x: Column, strategy: str) -> Column | None:
-    """Aggregate giving the fill value (None for the constant imputer)."""
+    """Single-pass aggregate giving the fill value; None when the fill comes from
+    its own distributed pass (median, most_frequent) or is a constant."""
     if strategy == "mean":
         return F.avg(x)
-    if strategy == "median":
-        return F.percentile(x, 0.5)
-    if strategy == "most_frequent":
-        return F.mode(x, True)
-    if strategy == "constant":
+    if strategy in ("median", "most_frequent", "constant"):
         return None
     raise ValueError(f"unknown imputer {strategy!r}")
 
@@ -206,10 +225,16 @@ def fit_prep(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
         aggs += [F.count_if(_cat(df, c).isNull()).alias(f"_cn{i}"),
                  F.approx_count_distinct(_cat(df, c)).alias(f"_ca{i}")]
     one = df.agg(*aggs).first() if aggs else None
-    fp.numeric_fill = {c: (cfg.numeric_fill if cfg.numeric_imputer == "constant" else one[f"_nf{i}"])
-                       for i, c in enumerate(numeric)}
-    fp.categorical_fill = {c: (cfg.categorical_fill if cfg.categorical_imputer == "constant" else one[f"_cf{i}"])
-                           for i, c in enumerate(categorical)}
+
+    def fills(cols, strategy, constant, prefix):
+        if strategy == "constant":
+            return {c: constant for c in cols}
+        if strategy in ("median", "most_frequent"):
+            return impute_values(df, cols, strategy)
+        return {c: one[f"{prefix}{i}"] for i, c in enumerate(cols)}
+
+    fp.numeric_fill = fills(numeric, cfg.numeric_imputer, cfg.numeric_fill, "_nf")
+    fp.categorical_fill = fills(categorical, cfg.categorical_imputer, cfg.categorical_fill, "_cf")
     for i, c in enumerate(categorical):
         if one[f"_ca{i}"] > 1.1 * cfg.max_categories + 10:  # sketch: clearly over the limit
             raise ValueError(f"{c}: more than {cfg.max_categories} categories")
@@ -222,8 +247,9 @@ def fit_prep(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
             x = F.least(F.greatest(x, F.lit(fp.clip[c][0])), F.lit(fp.clip[c][1]))
         return x
 
+    from tessera.operators.quantiles import quantile_arrays
     if numeric and cfg.handle_outliers:
-        q = df.agg(*[F.percentile(filled(c), [0.25, 0.75]).alias(f"_q{i}") for i, c in enumerate(numeric)]).first()
+        q = quantile_arrays(df.select(*[filled(c).alias(c) for c in numeric]), numeric, [0.25, 0.75]).first()
         for i, c in enumerate(numeric):
             q1, q3 = q[f"_q{i}"] or (None, None)
             if q1 is not None:
@@ -232,7 +258,7 @@ def fit_prep(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
     if cfg.numeric_scaler == "standard":
         aggs2 += [F.struct(F.avg(filled(c)), F.stddev_pop(filled(c))).alias(f"_s{i}") for i, c in enumerate(numeric)]
     elif cfg.numeric_scaler == "robust":
-        aggs2 += [F.percentile(filled(c), [0.25, 0.5, 0.75]).alias(f"_s{i}") for i, c in enumerate(numeric)]
+        rq = quantile_arrays(df.select(*[filled(c).alias(c) for c in numeric]), numeric, [0.25, 0.5, 0.75]).first()
     elif cfg.numeric_scaler != "none":
         raise ValueError(f"unknown scaler {cfg.numeric_scaler!r}")
     for i, c in enumerate(categorical):
@@ -244,7 +270,7 @@ def fit_prep(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
         if cfg.numeric_scaler == "none":
             fp.scale[c] = (0.0, 1.0)
             continue
-        v = two[f"_s{i}"]
+        v = two[f"_s{i}"] if cfg.numeric_scaler == "standard" else rq[f"_q{i}"]
         if cfg.numeric_scaler == "standard":
             center, scale = (v[0] or 0.0), v[1]
         else:
