@@ -167,14 +167,20 @@ def describe(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFr
     percentile for columns with a bounded number of values, the distributed
     rank-based path beyond); then one row per column.
     """
-    from tessera.operators.quantiles import quantile_arrays
-    aggs = []
+    from tessera.operators.quantiles import distinct_sketch, quantile_arrays
+    aggs, schema = [], []
     for i, c in enumerate(cols):
         x = _num(df, c)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    qs = quantile_arrays(df, cols, [0.25, 0.5, 0.75], method=method)
-    one = df.agg(*aggs).crossJoin(qs.select(*[F.col(f"_q{i}").alias(f"q{i}") for i in range(len(cols))]))  # 1 x 1
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), distinct_sketch(df, c).alias(f"a{i}")]
+        schema += [f"n{i} bigint", f"m{i} double", f"s{i} double", f"lo{i} double", f"hi{i} double"]
+    # one pass for the moments and the distinct sketch that picks the quantile method
+    row = df.agg(*aggs).first()
+    moments = df.sparkSession.createDataFrame(
+        [tuple(row[f"{k}{i}"] for i in range(len(cols)) for k in ("n", "m", "s", "lo", "hi"))], ", ".join(schema))
+    qs = quantile_arrays(df, cols, [0.25, 0.5, 0.75], method=method,
+                         estimates=[row[f"a{i}"] for i in range(len(cols))])
+    one = moments.crossJoin(qs.select(*[F.col(f"_q{i}").alias(f"q{i}") for i in range(len(cols))]))  # 1 x 1
     return stack_rows(one, [{
         "column_name": F.lit(c), "count": F.col(f"n{i}"), "mean": F.col(f"m{i}"), "std": F.col(f"s{i}"),
         "min": F.col(f"lo{i}"), "p25": F.col(f"q{i}")[0], "p50": F.col(f"q{i}")[1],

@@ -65,15 +65,23 @@ def quantiles_long(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                       (F.col("_lo") + F.col("_frac") * (F.col("_hi") - F.col("_lo"))).alias("value"))
 
 
+def distinct_sketch(df: DataFrame, c: str) -> Column:
+    """The per-column estimate ``quantile_arrays`` decides on (fold it into another aggregate)."""
+    return F.approx_count_distinct(_x(df, c))
+
+
 def quantile_arrays(df: DataFrame, cols: Sequence[str], probs: Sequence[float], groups: Sequence[str] = (),
-                    method: str = "auto") -> DataFrame:
+                    method: str = "auto", estimates: Sequence[int] | None = None) -> DataFrame:
     """One row per group with ``_q<i>`` = array of the quantiles of column i (like
     ``percentile(col, probs)``).  method: "agg" (Spark percentile), "distributed"
-    or "auto" (decided per column by a distinct-count sketch)."""
+    or "auto" (decided per column by a distinct-count sketch; pass ``estimates``
+    when the caller already computed ``distinct_sketch`` in its own aggregate)."""
     cols = list(cols)
     if method == "auto":
-        est = df.agg(*[F.approx_count_distinct(_x(df, c)).alias(f"_a{i}") for i, c in enumerate(cols)]).first()
-        big = [i for i in range(len(cols)) if est[f"_a{i}"] > EXACT_AGG_MAX_DISTINCT]
+        if estimates is None:
+            row = df.agg(*[distinct_sketch(df, c).alias(f"_a{i}") for i, c in enumerate(cols)]).first()
+            estimates = [row[f"_a{i}"] for i in range(len(cols))]
+        big = [i for i in range(len(cols)) if estimates[i] > EXACT_AGG_MAX_DISTINCT]
     else:
         big = list(range(len(cols))) if method == "distributed" else []
     small = [i for i in range(len(cols)) if i not in big]
