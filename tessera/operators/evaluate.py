@@ -107,7 +107,7 @@ def roc_curve(df: DataFrame, label: str, score: str, positive=1, drop_intermedia
     counts = _score_counts(df, F.col(label), F.col(score), positive)
     cum = prefix_sums(counts, "score", ["tp", "fp"], descending=True, lead=["tp", "fp"] if drop_intermediate else (),
                       materialize=True)  # per-score counts: computed once, not once per branch
-    totals = counts.agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"))
+    totals = cum.agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"))  # from the materialised counts: no rescan
     pts = cum.crossJoin(F.broadcast(totals))  # one row
     if drop_intermediate:
         first = (F.col("tp_cum") == F.col("tp")) & (F.col("fp_cum") == F.col("fp"))
