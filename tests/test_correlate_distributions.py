@@ -70,3 +70,12 @@ def test_scatter_hash_sample_is_deterministic(spark):
     s2 = V.scatter_pairs(df.repartition(5), ["a", "b"], keep=["k"], sample_fraction=0.25)
     n = s1.count()
     assert abs(n / 4 - 1000) < 120 and sorted(s1.collect()) == sorted(s2.collect())
+
+
+def test_kde_prebinned_close_to_exact(spark):
+    x = np.random.default_rng(8).normal(size=5000)
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    exact = V.kde(df, "x").toPandas().sort_values("grid_index")
+    binned = V.kde(df, "x", prebin=512).toPandas().sort_values("grid_index")
+    assert np.allclose(exact["x"], binned["x"])
+    assert np.max(np.abs(exact["density"].to_numpy() - binned["density"].to_numpy())) < 2e-3
