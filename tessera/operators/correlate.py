@@ -93,22 +93,52 @@ def average_ranks(df: DataFrame, col: str) -> DataFrame:
 
 
 def spearman_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Spearman correlation (index, variable, correlation) over rows complete in all ``cols``.
+    """Spearman correlation (index, variable, correlation), each pair over the rows
+    where both columns are present (pairwise deletion).
 
     The (column, value) counts of all columns come from one pass and are
-    materialised in the shared folder; each column's ranks are then a prefix
-    sum over its slice of that table (distinct values only), joined back on the
-    value (AQE broadcasts small rank tables and splits a hot value's
-    partition), and Pearson is taken over the ranks.
+    materialised in the shared folder; they also tell whether any column has
+    missing values.  Without gaps every column is ranked once from its slice of
+    that table (distinct values only) and joined back on the value (AQE
+    broadcasts small rank tables and splits a hot value's partition), then
+    Pearson is taken over the ranks.  With gaps each pair is ranked over its own
+    complete rows.
     """
     from tessera.session import materialize
-    base = df.select(*[_x(df, c).alias(c) for c in cols]).dropna()
+    base = df.select(*[_x(df, c).alias(c) for c in cols])
     long = base.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"))
                                           for c in cols])))
     counts = materialize(long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_n")))
+    has_gaps = counts.where(F.col("value").isNull()).limit(1).count() > 0  # reads the checkpoint
+    if has_gaps:
+        return _spearman_pairwise(base, cols)
     ranked = base
     for i, c in enumerate(cols):
         r = _ranks_from_counts(counts.where(F.col("column_name") == c).drop("column_name"))
         ranked = ranked.join(r.select(F.col("value").alias(c), F.col("avg_rank").alias(f"_r{i}")), c)
     rk = ranked.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(cols)])
     return corr_long(rk, cols)
+
+
+def _spearman_pairwise(base: DataFrame, cols: Sequence[str]) -> DataFrame:
+    parts = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if j < i:
+                continue
+            sub = base.select(a, b).dropna() if a != b else base.select(a).dropna()
+            if a == b:
+                r = sub.join(average_ranks(sub, a).withColumnRenamed("value", a), a)
+                one = r.agg(F.corr("avg_rank", "avg_rank").alias("correlation"))
+            else:
+                r = (sub.join(average_ranks(sub, a).select(F.col("value").alias(a), F.col("avg_rank").alias("_ra")), a)
+                     .join(average_ranks(sub, b).select(F.col("value").alias(b), F.col("avg_rank").alias("_rb")), b))
+                one = r.agg(F.corr("_ra", "_rb").alias("correlation"))
+            pairs = [(a, b)] if a == b else [(a, b), (b, a)]
+            parts.append(one.select(F.inline(F.array(*[
+                F.struct(F.lit(x).alias("index"), F.lit(y).alias("variable"), F.col("correlation").alias("correlation"))
+                for x, y in pairs]))))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out

@@ -79,3 +79,17 @@ def test_kde_prebinned_close_to_exact(spark):
     binned = V.kde(df, "x", prebin=512).toPandas().sort_values("grid_index")
     assert np.allclose(exact["x"], binned["x"])
     assert np.max(np.abs(exact["density"].to_numpy() - binned["density"].to_numpy())) < 2e-3
+
+
+def test_spearman_pairwise_complete(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": np.round(rng.normal(size=300), 1), "b": rng.normal(size=300),
+                        "c": rng.integers(0, 6, 300).astype(float)})
+    pdf.loc[rng.random(300) < 0.15, "a"] = np.nan
+    pdf.loc[rng.random(300) < 0.15, "b"] = np.nan
+    got = C.spearman_long(spark.createDataFrame(pdf), ["a", "b", "c"]).toPandas().set_index(["index", "variable"])
+    for x in "abc":
+        for y in "abc":
+            sub = pdf[[x, y]].dropna() if x != y else pdf[[x]].dropna()
+            exp = 1.0 if x == y else sub[x].rank().corr(sub[y].rank())
+            assert got.loc[(x, y), "correlation"] == pytest.approx(exp)
