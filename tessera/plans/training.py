@@ -44,6 +44,13 @@ class TrainResult:
     cv_results: DataFrame | None
     feature_names: list
     feature_map: object = None
+    cached: object = None
+
+    def release(self) -> None:
+        """Drop the cached training rows once predictions / metrics are no longer needed."""
+        if self.cached is not None:
+            self.cached.unpersist()
+            self.cached = None
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """Score new rows (batch or streaming): prep projection + model."""
@@ -233,7 +240,7 @@ def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
         imp_df = df.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(names, imp)],
                                                  "feature string, importance double")
     return TrainResult(model, prep, label, model_name, is_classification, best, metrics, predictions, imp_df,
-                       cv_results, names, fmap)
+                       cv_results, names, fmap, data)
 
 
 def cv_results_frame(spark, cands: list[dict], table: np.ndarray) -> DataFrame:

@@ -159,3 +159,11 @@ def test_save_load_calibrated_svm(spark):
     a = res.transform(df, keep=["k"]).select("k", "probability").orderBy("k").collect()
     b = loaded.transform(df, keep=["k"]).select("k", "probability").orderBy("k").collect()
     assert a == b
+
+
+def test_release_cached_rows(spark):
+    df = _cls100(spark)
+    res = TR.train_model(df, FEATS, [], "target", "Decision Tree", keys=["k"], params={"max_depth": 3})
+    assert res.cached.is_cached
+    res.release()
+    assert res.cached is None
