@@ -14,7 +14,6 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.columns import NUMERIC_TYPES, is_float, nan_to_null
 from tessera.operators.profile import CATEGORICAL_THRESHOLD, IQR_FACTOR
@@ -333,4 +332,4 @@ def is_numeric(df: DataFrame, c: str) -> bool:
 
 
 __all__ = ["PrepConfig", "FittedPrep", "fit_prep", "impute", "impute_values", "scaler_stats",
-           "LabelEncoding", "fit_label", "mode_values", "T"]
+           "LabelEncoding", "fit_label", "mode_values"]

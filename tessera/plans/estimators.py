@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
-from pyspark.ml.feature import PolynomialExpansion  # noqa: F401  (poly kernel expansion)
 
 # Model catalogue and default parameter grids.
 CLASSIFICATION_GRIDS: dict[str, dict[str, list]] = {
