@@ -93,3 +93,15 @@ def test_spearman_pairwise_complete(spark):
             sub = pdf[[x, y]].dropna() if x != y else pdf[[x]].dropna()
             exp = 1.0 if x == y else sub[x].rank().corr(sub[y].rank())
             assert got.loc[(x, y), "correlation"] == pytest.approx(exp)
+
+
+def test_nice_histogram_properties(spark):
+    x = np.random.default_rng(13).lognormal(size=2000) * 37.0
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    h = V.histogram_nice(df, "x").toPandas().sort_values("bin_start")
+    step = (h.bin_end - h.bin_start).iloc[0]
+    mant = step / 10 ** np.floor(np.log10(step))
+    assert min(abs(mant - m) for m in (1, 2, 5, 10)) < 1e-9
+    assert h["count"].sum() == 2000
+    assert (h.bin_end.max() - h.bin_start.min()) / step <= 30 + 1e-9
+    assert h.bin_start.min() <= x.min() and x.max() <= h.bin_end.max()

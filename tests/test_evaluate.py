@@ -82,3 +82,18 @@ def test_prefix_sums_small_and_bucketed_paths_agree(spark):
     key = ["g", "k"]
     a, b = small.sort_values(key).reset_index(drop=True), big.sort_values(key).reset_index(drop=True)
     assert (a["v_cum"] == b["v_cum"]).all() and a["v_next"].fillna(-1).equals(b["v_next"].fillna(-1))
+
+
+def test_one_vs_rest_auc_brute_force(spark):
+    rng = np.random.default_rng(12)
+    y = rng.integers(0, 3, 300)
+    raw = rng.random((300, 3)) + np.eye(3)[y] * 0.4
+    prob = np.round(raw / raw.sum(axis=1, keepdims=True), 2)
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "p": list(prob)}))
+    got = {r.class_index: r for r in E.roc_one_vs_rest(df, "y", "p", ["a", "b", "c"]).collect()}
+    for k in range(3):
+        pos, neg = prob[y == k, k], prob[y != k, k]
+        brute = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
+        assert got[k].auc == pytest.approx(brute)
+        assert got[k].curve_label == f"{'abc'[k]} (AUC = {got[k].auc:.3f})"
+        assert 0.0 <= got[k].auc <= 1.0

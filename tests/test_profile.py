@@ -75,3 +75,10 @@ def test_sketch_roles_agree_with_exact(spark):
     roles = P.infer_roles(df)
     assert exact == {"few": "categorical", "ten": "numeric", "many": "numeric"}
     assert roles.numeric == ["ten", "many"] and roles.categorical == ["few"]
+
+
+def test_overview_payload(spark):
+    df = spark.createDataFrame([(1, 2.0, "ab"), (2, None, "héllo"), (3, 4.0, None)], "a bigint, b double, s string")
+    r = P.overview(df, P.ColumnRoles(["a", "b"], ["s"])).first()
+    assert (r.n_rows, r.n_columns, r.n_numeric, r.n_categorical) == (3, 3, 2, 1)
+    assert r.payload_bytes == 3 * 8 + 2 * 8 + len("ab".encode()) + len("héllo".encode())
