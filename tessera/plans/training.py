@@ -175,6 +175,11 @@ def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
         tot = sum(counts.values())
         wmap = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(tot / (len(counts) * n)))])
         data = data.withColumn("_w_balanced", wmap[F.col("label")])
+    # iterative fits run one task per cached partition; AQE may have coalesced a small
+    # input into very few, so spread it over the cluster's cores (no-op for large data)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() < cores:
+        data = data.repartition(cores)
     data = data.persist()
     train = data.where(~F.col("_is_test"))
     test = data.where(F.col("_is_test"))
