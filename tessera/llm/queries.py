@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, exact_dedup, line_dedup, minhash, mixing, packing, quality_rules
+from tessera.llm import chat, exact_dedup, line_dedup, minhash, mixing, packing, quality_rules, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_chat_format": chat.op2_chat_format,
     "op3_packing": packing.op3_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
