@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, exact_dedup, line_dedup, minhash, mixing, packing, quality_rules, toxicity
+from tessera.llm import chat, exact_dedup, line_dedup, minhash, mixing, packing, quality_model, quality_rules, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_chat_format": chat.op2_chat_format,
     "op3_packing": packing.op3_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_quality_model": quality_model.op5_quality_model,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
