@@ -59,3 +59,10 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     hot = rows.join(F.broadcast(heavy), keys, how)
     rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how)
     return hot.unionByName(rest)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop frames it no longer uses, so that their shuffle files go from the executors' disks."""
+    import gc
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

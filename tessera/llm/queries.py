@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, exact_dedup, line_dedup, minhash, mixing, packing, quality_model, quality_rules, toxicity
+from tessera.llm import chat, exact_dedup, line_dedup, minhash, mixing, packing, quality_model, quality_rules, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_model": quality_model.op5_quality_model,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_minhash": minhash.op10_minhash,
 }
