@@ -23,6 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
 
+def col_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col(col_name(name))
+
+
+def whole_row(df: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """All columns of ``df`` except ``but`` as one struct, so that no other name can clash with theirs."""
+    return F.struct(*[col(c) for c in df.columns if c not in but])
+
+
+def keep_ids(docs: DataFrame, id_col: str, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``kept`` (doc_id); a null id equals a null id."""
+    ids = kept.select(F.col("doc_id").alias("__keep")).distinct()
+    return docs.join(ids, docs[col_name(id_col)].eqNullSafe(ids["__keep"]), "left_semi")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, UPPER, ascii_lower, join_groups, scratch, table
+from tessera.llm.common import LOWER, UPPER, ascii_lower, col, join_groups, keep_ids, scratch, table
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
@@ -22,7 +22,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repetitions share the verdict; a null id never wins over another id.  An empty table gives no rows.
     Other columns are not read.
     """
-    norm = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
+    norm = docs.select(col(id_col).alias("doc_id"), ascii_lower(F.coalesce(col(text_col), F.lit(""))).alias("norm"))
     best = F.max("doc_id") if keep == "max" else F.min("doc_id")
     classes = (
         norm.groupBy(F.unhex(F.md5(F.col("norm").cast("binary"))).alias("h"), "norm")
@@ -42,8 +42,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    return keep_ids(docs, id_col, exact_groups(docs, id_col, text_col, keep).where("kept"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

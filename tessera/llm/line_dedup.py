@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import WORD_CHAR, join_groups, scratch, table
+from tessera.llm.common import WORD_CHAR, col, join_groups, scratch, table, whole_row
 
 SPAN = 3
 _PLACE = "decimal(38,0)"
@@ -19,7 +19,7 @@ _PLACE = "decimal(38,0)"
 
 def line_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, pos, h, place): one row per window; ``h`` is its 128-bit hash, ``place`` orders (doc_id, pos)."""
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines"))
+    lines = docs.select(col(id_col).cast("long").alias("doc_id"), F.split(F.coalesce(col(text_col), F.lit("")), "\n").alias("lines"))
     spans = F.filter(
         F.transform(F.sequence(F.lit(1), F.size("lines") - (SPAN - 1)),
                     lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("lines", i, SPAN), "\n").alias("t"))),
@@ -50,24 +50,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts without a repeated window are unchanged.  A null text has one empty line and stays null; a text of fewer
     than three lines has no window.  Lines are equal byte for byte.  A row repeated with its id is the same
     occurrence, so it takes nothing away from itself; rows with a null id are left alone.  The order
-    of equal windows is that of (doc_id, line).  Other columns, whatever their names, are kept as they are.
+    of equal windows is that of (doc_id, line).  Other columns, whatever their names, are kept as they are, but for the three that it adds.
     """
-    runs = removed_runs(docs, id_col, text_col).select(F.col("doc_id").alias("__run_doc"), F.col("runs").alias("__runs"))
-    df = docs.join(runs, F.col(id_col) == F.col("__run_doc"), "left")
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    df = df.withColumn("__all", lines)
-    end = F.struct((F.size("__all") + 1).alias("first"), F.lit(0).alias("last"))
-    stops = F.concat("__runs", F.array(end))
-    kept = F.flatten(F.transform(stops, lambda r, k: F.slice(
-        "__all",
-        F.when(k == 0, 1).otherwise(F.get("__runs", F.greatest(k - 1, F.lit(0)))["last"] + 1),
-        r["first"] - F.when(k == 0, 1).otherwise(F.get("__runs", F.greatest(k - 1, F.lit(0)))["last"] + 1))))
-    gone = F.aggregate("__runs", F.lit(0), lambda s, r: s + r["last"] - r["first"] + 1)
-    cols = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines", "n_runs")]
-    return df.select(
-        *[F.when(F.col("__runs").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in cols],
-        F.size("__all").cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed_lines"),
-        F.greatest(F.coalesce(F.size("__runs"), F.lit(0)), F.lit(0)).cast("long").alias("n_runs"))
+    runs = removed_runs(docs, id_col, text_col).withColumnRenamed("doc_id", "run_doc")
+    df = docs.select(whole_row(docs).alias("row"), col(id_col).cast("long").alias("id"), col(text_col).alias("text"),
+                     F.split(F.coalesce(col(text_col), F.lit("")), "\n").alias("lines"))
+    df = df.join(runs, F.col("id") == F.col("run_doc"), "left")
+    end = F.struct((F.size("lines") + 1).alias("first"), F.lit(0).alias("last"))
+    from_ = lambda k: F.when(k == 0, 1).otherwise(F.get("runs", F.greatest(k - 1, F.lit(0)))["last"] + 1)
+    kept = F.flatten(F.transform(F.concat("runs", F.array(end)), lambda r, k: F.slice("lines", from_(k), r["first"] - from_(k))))
+    gone = F.aggregate("runs", F.lit(0), lambda s, r: s + r["last"] - r["first"] + 1)
+    told = {"n_lines": F.size("lines"), "n_removed_lines": F.coalesce(gone, F.lit(0)), "n_runs": F.when(F.col("runs").isNull(), 0).otherwise(F.size("runs"))}
+    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return df.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c not in told],
+                     *[v.cast("long").alias(c) for c, v in told.items()])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,11 @@ uniform number per rank; place p takes the smallest (rank + number) over all ele
 one after the other for the whole set, and once every place holds a value below the next rank, nothing later can lower it: long
 documents stop after a rank or two.  Places of one element never share a rank, hence the lower variance.
 
-Equal sets are one class from the start.  Bands of the signature give buckets; pairs from buckets are verified on the
-full sets, first against one leader per bucket, then against more leaders, and only while a bucket
-still spans several components, so a bucket of copies costs one pair per member and no link is lost.
+Equal sets are one class from the start.  Bands of the signature give buckets.  First every member of a bucket meets only the
+bucket's leader, which settles groups of copies at one pair a member.  Buckets that still span several components are
+searched inside their tasks, in blocks of bounded size: members of different components that share NEED bands are compared on
+their sets, each pair in the first band it shares, and only links that join two components leave the task.
+All links are confirmed on the full sets of 64-bit shingle hashes; components are found by union-find.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import join_groups, scratch, table
+from tessera.llm.common import col, join_groups, keep_ids, release, scratch, table
 
 SHINGLE, PERCENT = 5, 75
-#: Signature places; 32 bands of 4 miss a pair of similarity 0.75 with probability 5e-6.
-PLACES, BAND_ROWS = 128, 4
-#: Leaders of a bucket grow by this factor each round.
-MORE_LEADERS = 16
+#: Signature places in bands of 4; of the 48 bands, a pair of similarity 0.75 shares fewer than NEED with probability 3e-7.
+PLACES, BAND_ROWS, NEED = 192, 4, 2
+#: Bands a member shares with its bucket's leader before their sets are fetched (others are left to the search in blocks).
+NEED_LEADER = 6
+#: Members of a block of a bucket.
+BLOCK = 1024
 _GOLDEN, _MASK, _K = 0x9E3779B97F4A7C15, (1 << 64) - 1, np.uint64(0xD1342543DE82EF95)
 
 
@@ -139,7 +143,7 @@ def set_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                  pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_hash", "bands"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
+    return docs.select(col(id_col).cast("long"), col(text_col).cast("string")).mapInArrow(
         run, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
 
 
@@ -154,6 +158,17 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "rep long, elements binary")
 
 
+def token_sets(docs: DataFrame) -> DataFrame:
+    """(rep, tokens): as ``full_sets``, with 32-bit hashes (repeated ones kept, so sizes are exact)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in _chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.astype("<u4").tobytes() for s in sets], pa.binary())],
+                                             names=["rep", "tokens"])
+
+    return docs.mapInArrow(run, "rep long, tokens binary")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rows of ``pairs`` (a, b) whose sets meet 100 * intersection >= percent * union.  ``a`` may be hot."""
     total = pairs.count()
@@ -236,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     feats = scratch(set_features(docs, id_col, text_col, places), "near-features")
     classes = scratch(feats.where("n_shingles > 0").groupBy("set_hash").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")), "near-classes")
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     comps = link_components(classes.where("rep is not null"), slim, percent)
     placed = classes.join(comps, classes["rep"] == comps["node"], "left").select(
         "set_hash", "n", F.coalesce("component", "rep").alias("component_id"))
@@ -247,45 +262,136 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def star_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): every member with the leader of its bucket, if they share NEED_LEADER bands."""
+    pairs = rows.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    total = pairs.count()
+    right = pairs.join(classes.select(F.col("rep").alias("b"), F.col("bands").alias("bb")), "b")
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    left = counts.join(classes.select(F.col("rep").alias("a"), F.col("bands").alias("ba")), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (batch.column(i).flatten().to_numpy().reshape(batch.num_rows, -1) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= NEED_LEADER))
+
+    return join_groups(right, left, ["a"], "n", total).select("a", "b", "ba", "bb").mapInArrow(run, "a long, b long")
+
+
+def block_links(rep: np.ndarray, comp: np.ndarray, side: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], key: int, percent: int,
+                need: int = NEED) -> list[tuple[int, int]]:
+    """Links that join components, among the members of one block pair of the bucket ``key``.
+
+    ``side`` is 0 or 1 by the block a member comes from; members of one side meet in that block's own pair, unless all have side 0.
+    Sets hold 32-bit hashes here, so a shared hash may be a coincidence, but no link is missed."""
+    n = np.array([len(s) for s in sets])
+    starts = np.cumsum(n) - n
+    tokens, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, root, found = np.zeros(len(tokens), dtype=np.int32), {}, []
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    two = side.any()
+    for i in range(len(rep)):
+        later = np.arange(i + 1, len(rep))
+        later = later[(comp[later] != comp[i]) & (100 * n[later] >= percent * n[i]) & (100 * n[i] >= percent * n[later])]
+        if two:
+            later = later[side[later] != side[i]]
+        if not len(later):
+            continue
+        shared = bands[later] == bands[i]
+        first = bands[i][shared.argmax(axis=1)]  # the first shared band's key
+        later = later[(shared.sum(axis=1) >= need) & (first == key)]
+        if not len(later):
+            continue
+        own = ids[starts[i]:starts[i] + n[i]]
+        mark[own] = 1
+        if len(later) > len(rep) // 8:
+            both = np.add.reduceat(mark[ids], starts)[later]
+        else:
+            both = np.array([mark[ids[starts[j]:starts[j] + n[j]]].sum() for j in later])
+        mark[own] = 0
+        for j in later[100 * both >= percent * (n[i] + n[later] - both)]:
+            a, b = find(int(comp[i])), find(int(comp[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                found.append((int(rep[i]), int(rep[j])))
+    return found
+
+
+def bucket_links(live: DataFrame, percent: int) -> DataFrame:
+    """(a, b): candidate links between components.  ``live``: bucket, x, y, side, rep, comp, bands, tokens (binary 32-bit hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at = None
+
+        def close() -> list[tuple[int, int]]:
+            if len({r[1] for r in held}) < 2:
+                return []
+            rep, comp, side = (np.array([r[i] for r in held]) for i in range(3))
+            return block_links(rep, comp, side, np.array([r[3] for r in held]), [np.frombuffer(r[4], dtype="<u4") for r in held], at[0], percent)
+
+        for batch in batches:
+            out = []
+            bands = batch.column(6).flatten().to_numpy().reshape(batch.num_rows, -1)
+            keys = zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True)
+            rest = zip(*(batch.column(i).to_pylist() for i in (4, 5, 3)), strict=True)
+            for k, (key, row) in enumerate(zip(keys, rest, strict=True)):
+                if key != at:
+                    out += close()
+                    held, at = [], key
+                held.append((*row, bands[k], batch.column(7)[k].as_py()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        out = close() if held else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    dealt = live.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "rep")
+    return dealt.select("bucket", "x", "y", "side", "rep", "comp", "bands", "tokens").mapInArrow(run, "a long, b long")
+
+
 def link_components(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(node, component) over the classes' representatives.  ``classes``: rep, size, bands; ``docs``: doc_id, text."""
-    members = classes.select("rep", "size", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader"),
-                                            F.min_by("size", "rep").alias("leader_size")).where("n > 1")
-    buckets = scratch(buckets, "near-buckets")
+    members = classes.select("rep", F.explode("bands").alias("bucket"))
+    buckets = scratch(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where("n > 1"), "near-buckets")
     total = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = scratch(join_groups(members, buckets, ["bucket"], "n", total), "near-members")
-    comps, links, leaders = None, None, 1
-    while True:
-        if leaders == 1:  # everyone against the bucket's smallest id
-            met = rows.where("rep <> leader").withColumns({"h": F.col("leader"), "h_size": F.col("leader_size")})
-        else:
-            labelled = rows.join(comps, rows["rep"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
-            spans = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.first("n").alias("n"))
-            spans = spans.where((F.col("c0") < F.col("c1")) & (F.col("n") > 2) & (F.col("n") * MORE_LEADERS > leaders)).select("bucket", "n")
-            live = scratch(join_groups(labelled.drop("n"), spans, ["bucket"], "n", total), "near-live")
-            if not live.limit(1).count():
-                break
-            share = F.pmod(F.xxhash64("rep", "bucket"), F.lit(1 << 30)) * F.col("n") / float(1 << 30)
-            old = F.lit(0) if leaders == MORE_LEADERS else F.lit(leaders // MORE_LEADERS)
-            heads = live.where((share < leaders) & (share >= old)).select(
-                "bucket", F.col("rep").alias("h"), F.col("size").alias("h_size"), F.col("comp").alias("h_comp"))
-            met = live.join(heads, "bucket").where("comp <> h_comp")
-        near = (F.col("size") * 100 >= F.col("h_size") * percent) & (F.col("h_size") * 100 >= F.col("size") * percent)
-        pairs = scratch(met.where(near).select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b")).distinct(), "near-pairs")
+    release(classes.sparkSession)
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        pairs = scratch(pairs, "near-pairs")
         needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
         sets = scratch(full_sets(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "near-sets")
-        found = scratch(verified(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
-        links = found if links is None else links.unionByName(found)
-        comps = components(links)
-        leaders *= MORE_LEADERS
-    return comps
+        return scratch(verified(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
+
+    links = links_of(star_pairs(rows, classes))
+    comps = components(links)
+    release(classes.sparkSession)
+    labelled = rows.join(comps, rows["rep"] == comps["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    labelled = scratch(labelled, "near-labelled")
+    spans = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.first("n").alias("n")).where("c0 < c1")
+    live = scratch(join_groups(labelled.drop("n"), spans.select("bucket", "n"), ["bucket"], "n", total), "near-live")
+    needed = scratch(live.select(F.col("rep").alias("doc_id")).distinct(), "near-needed")
+    tokens = token_sets(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    live = live.withColumn("g", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
+    live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(
+        "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp")
+    live = live.join(classes.select("rep", "bands"), "rep").join(tokens, "rep")
+    more = links_of(bucket_links(live, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    release(classes.sparkSession)
+    return components(links.unionByName(more))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **args) -> DataFrame:
     """One row of each near-duplicate group of ``docs``: the one with the smallest id, all columns."""
-    kept = near_duplicates(docs, id_col, text_col, **args).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    return keep_ids(docs, id_col, near_duplicates(docs, id_col, text_col, **args).where("kept"))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, join_groups, scratch, table, words_of
+from tessera.llm.common import SPACES, col, join_groups, keep_ids, scratch, table, words_of
 
 ATTRS = ("source", "lang", "topic")
 #: Default targets: a level's share of all tokens, raised to this power and normalised.
@@ -29,10 +29,10 @@ def text_form(text: Column, n_words: Column) -> Column:
 def mixing_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 lang_col: str = "lang", topic_col: str | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, tokens): what mixing looks at.  Tokens are words; null levels become ''."""
-    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-                     F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
-                     F.coalesce(F.col(text_col), F.lit("")).alias("__text"),
-                     *([F.coalesce(F.col(topic_col).cast("string"), F.lit("")).alias("topic")] if topic_col else []))
+    df = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(source_col).cast("string"), F.lit("")).alias("source"),
+                     F.coalesce(col(lang_col).cast("string"), F.lit("")).alias("lang"),
+                     F.coalesce(col(text_col), F.lit("")).alias("__text"),
+                     *([F.coalesce(col(topic_col).cast("string"), F.lit("")).alias("topic")] if topic_col else []))
     df = df.withColumn("tokens", F.size(words_of(F.col("__text"))).cast("long"))
     if not topic_col:
         df = df.withColumn("topic", text_form(F.col("__text"), F.col("tokens")))
@@ -104,8 +104,7 @@ def mixing_weights(docs: DataFrame, targets: dict[str, dict[str, float] | None]
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **args) -> DataFrame:
     """The sampled rows of ``docs``, all columns."""
-    kept = mixing_weights(docs, id_col=id_col, **args).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    return keep_ids(docs, id_col, mixing_weights(docs, id_col=id_col, **args).where("kept"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import scratch, table
+from tessera.llm.common import col, scratch, table
 
 WINDOW, END_ID, PAD_ID = 1024, 0, 0
 VOCABULARY = "byte_bpe_50k"
@@ -58,7 +58,7 @@ def encoder(vocabulary: str):
 def token_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(part, local, doc_id, doc_tokens, ids): each document's ids with END_ID, as little-endian 32-bit
     numbers, and the tokens before it in its partition."""
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, local = encoder(vocabulary), TaskContext.get().partitionId(), 0
@@ -75,7 +75,7 @@ def token_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     names=["part", "local", "doc_id", "doc_tokens", "ids"])
 
     schema = f"part long, local long, doc_id {kind}, doc_tokens long, ids binary"
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(col(id_col), col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -87,7 +87,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     other in the order of the input's partitions; repeated rows are packed as often as they come, and null ids too.
     An empty table gives no sequences.  Other columns are not read.
     """
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
     stream = scratch(token_stream(docs, id_col, text_col, vocabulary), "pack-stream")
     totals = stream.groupBy("part").agg(F.sum("doc_tokens").alias("n"))  # one row per partition of the input
     bases = totals.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import remainder_of_id, scratch, table
+from tessera.llm.common import col, remainder_of_id, scratch, table
 from tessera.llm.toxicity import bounded_sample
 
 BITS, DIM, NONZERO, REACH, SEED = 14, 32, 4, 2, 5
@@ -104,7 +104,7 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> DataFrame:
                                           pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["bucket", "n", "vec"])
 
     schema = "bucket long, n long, vec binary"
-    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, schema)
+    parts = docs.select(col(text_col).cast("string")).mapInArrow(run, schema)
     return parts.repartition("bucket").mapInArrow(merge, schema)  # at most 2^BITS / partitions buckets a task
 
 
@@ -122,7 +122,7 @@ def word_vectors(sums: DataFrame) -> np.ndarray:
 
 def document_vectors(docs: DataFrame, vectors, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, x array<float>): pooled word vectors, the shares of buckets that come once, of short tokens' repeats and the log length."""
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_, buckets = vectors.value, Buckets()
@@ -143,7 +143,7 @@ def document_vectors(docs: DataFrame, vectors, id_col: str = "doc_id", text_col:
                 pooled[:, DIM + 2] = np.log1p(n) / 10
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(pooled), pa.list_(pa.float32()))], names=["doc_id", "x"])
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, x array<float>")
+    return docs.select(col(id_col), col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, x array<float>")
 
 
 def fit_network(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> dict[str, np.ndarray]:
@@ -198,8 +198,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     vectors = spark.sparkContext.broadcast(word_vectors(scratch(context_sums(docs, text_col), "quality-context")))
     rows = scratch(document_vectors(docs, vectors, id_col, text_col), "quality-documents")
-    seen = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("quality"),
-                         remainder_of_id(F.col(id_col), folds).alias("fold")).where(F.col("fold") != held)
+    seen = labels.select(col(id_col).alias("id"), F.col("quality").cast("int").alias("quality"),
+                         remainder_of_id(col(id_col), folds).alias("fold")).where(F.col("fold") != held)
     chosen = bounded_sample(seen, "quality", fit_rows)
     got = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["id"]).dropDuplicates(["doc_id"]).select("doc_id", "x", "quality")
     got = got.orderBy(F.xxhash64("doc_id")).toPandas()

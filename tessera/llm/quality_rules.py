@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import SPACE_CLASS, SPACES, WORD_CHAR, join_groups, scratch, table, words_of
+from tessera.llm.common import SPACE_CLASS, SPACES, WORD_CHAR, col, join_groups, keep_ids, scratch, table, whole_row, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -33,9 +33,10 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     n_repeat_words counts the words covered by an 8-word window that occurs twice or more in the text.
     Windows are compared by 64-bit hashes of their words' hashes; only texts with a repeated
     window go on to find its positions."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.col("__text")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_CHAR))
-    df = docs.withColumn("__words", words_of(F.col(text_col)))
+    df = docs.select(whole_row(docs).alias("__row"), F.coalesce(col(text_col), F.lit("")).alias("__text"))
+    df = df.withColumn("__words", words_of(text))
     df = df.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w))).drop("__words")
     df = df.withColumn("n_words", F.size("__hashes").cast("long")).withColumn("__lines", lines)
     windows = F.transform(F.sequence(F.lit(1), F.size("__hashes") - (WINDOW - 1)),
@@ -53,7 +54,7 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda s, i: F.struct((s["n"] + i + WINDOW - F.greatest(s["end"], i)).alias("n"), (i + WINDOW).alias("end")),
         lambda s: s["n"])
     return df.select(
-        *[c for c in docs.columns if c not in BASE], "n_words",
+        *[F.col("__row")[c].alias(c) for c in docs.columns if c not in BASE], "n_words",
         F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
@@ -161,10 +162,13 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     language with fewer uses that of all documents; with none at all nothing more is rejected.
     Null language or source: a value of its own.  Repeated rows each count.  An empty table gives no rows.
     """
-    keep = [c for c in docs.columns if c != text_col and c not in (*BASE, *DIMS, "base_failed", "kept", "distance2")]
-    stats = text_statistics(docs.select(*keep, text_col), text_col).drop(text_col).withColumn("base_failed", base_failed())
-    stats = scratch(outlier_vector(stats).withColumn("__lang", F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")))
-                    .withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit("\0"))), "quality-stats")
+    added = (*BASE, "base_failed", "distance2", "kept")
+    carried = [c for c in docs.columns if c not in (*added, text_col)]
+    slim = docs.select(F.struct(*[col(c) for c in carried]).alias("__doc"), col(text_col).alias("__body"),
+                       F.coalesce(col(lang_col).cast("string"), F.lit("\0")).alias("__lang"),
+                       F.coalesce(col(source_col).cast("string"), F.lit("\0")).alias("__source"))
+    stats = text_statistics(slim, "__body").drop("__body").withColumn("base_failed", base_failed())
+    stats = scratch(outlier_vector(stats), "quality-stats")
     good = stats.where(~F.col("base_failed"))
     pairs = good.groupBy("__lang", "__source").count()
     langs = pairs.groupBy("__lang").agg(F.sum("count").alias("__in_lang"))
@@ -183,17 +187,17 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     est = mcd_estimates(scratch(pair_rows.unionByName(wide_rows), "quality-vectors"), ["__key"])
     judged = level.join(est.drop("__n", "logdet"), "__key")
     told = join_groups(good, judged, ["__lang", "__source"], "__n", total).withColumn("distance2", _distance())
-    out = [*keep, *BASE, "base_failed", "distance2", "kept"]
+    out = ["__doc", *added]
     told = told.withColumn("kept", F.col("distance2") <= CUTOFF).select(*out)
     failed = stats.where("base_failed").withColumn("distance2", F.lit(None).cast("double")).withColumn("kept", F.lit(False)).select(*out)
-    return told.unionByName(failed)
+    return told.unionByName(failed).select(*[F.col("__doc")[c].alias(c) for c in carried], *added)
 
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", **cols: str) -> DataFrame:
-    """The rows of ``docs`` whose document is kept, all columns.  A null id is judged like any other."""
-    slim = docs.select(id_col, cols.get("text_col", "text"), cols.get("lang_col", "lang"), cols.get("source_col", "source"))
-    kept = quality_verdicts(slim, **cols).groupBy(F.col(id_col).alias("__keep")).agg(F.min("kept").alias("__kept")).where("__kept")
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    """The rows of ``docs`` that are kept, all columns.  Rows of one id stay if all of them are kept; a null id is an id."""
+    slim = docs.select(col(id_col).alias("doc_id"), *[col(cols.get(f"{c}_col", c)).alias(c) for c in ("text", "lang", "source")])
+    kept = quality_verdicts(slim).groupBy("doc_id").agg(F.min("kept").alias("kept")).where("kept")
+    return keep_ids(docs, id_col, kept)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

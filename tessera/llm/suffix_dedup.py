@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import join_groups, release, scratch, table
+from tessera.llm.common import col, join_groups, release, scratch, table
 from tessera.llm.minhash import mix64
 
 LENGTH, KGRAM = 200, 64
@@ -74,8 +74,8 @@ class Anchors:
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(__doc, __crc, __text binary); a null id is the smallest number here, a null text is empty."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__doc"), F.crc32(text).alias("__crc"), text.alias("__text"))
+    text = F.coalesce(col(text_col).cast("string"), F.lit("")).cast("binary")
+    return docs.select(F.coalesce(col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__doc"), F.crc32(text).alias("__crc"), text.alias("__text"))
 
 
 def anchor_runs(slim: DataFrame, length: int, kgram: int) -> DataFrame:

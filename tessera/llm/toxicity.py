@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import remainder_of_id, scratch, table
+from tessera.llm.common import col, remainder_of_id, scratch, table
 from tessera.llm.minhash import mix64
 
 ORDER, BITS, DISCOUNT = 5, 20, 0.75
@@ -84,7 +84,7 @@ def class_words(docs: DataFrame, id_col: str, text_col: str, marked: DataFrame)
                 yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([counts[1][w] for w in some], pa.int64()),
                                                   pa.array([counts[0][w] for w in some], pa.int64())], names=["word", "toxic", "ordinary"])
 
-    slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    slim = docs.select(col(id_col).alias("__id"), col(text_col).cast("string").alias("__text"))
     rows = slim.join(F.broadcast(marked.select(F.col("id").alias("__id"), "toxic")), "__id").select("__text", F.col("toxic").cast("int"))
     counts = rows.mapInArrow(run, "word string, toxic long, ordinary long")
     return counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
@@ -184,7 +184,7 @@ class WordScores:
 
 def likelihood_features(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, toxic_ll, ordinary_ll, FEATURES) of every document; ``model`` is a broadcast of ``fit_models``."""
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
     names = ["doc_id", "toxic_ll", "ordinary_ll", *FEATURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +206,7 @@ def likelihood_features(docs: DataFrame, model, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c) for c in cols]], names=names)
 
     schema = f"doc_id {kind}, " + ", ".join(f"{c} double" for c in names[1:])
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(col(id_col), col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,8 +243,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     one, from the calibration.  Without any label the score is 0.5.  Repeated rows are scored each time.
     """
     spark = docs.sparkSession
-    seen = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic"),
-                         remainder_of_id(F.col(id_col), folds).alias("fold")).where(F.col("fold") != held)
+    seen = labels.select(col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic"),
+                         remainder_of_id(col(id_col), folds).alias("fold")).where(F.col("fold") != held)
     tune = (held + 1) % folds
     counted = scratch(bounded_sample(seen.where(F.col("fold") != tune), "toxic", count_rows), "toxic-sample")
     five = scratch(gram_counts(class_words(docs, id_col, text_col, counted)), "toxic-grams")
