@@ -15,12 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Above this many groups the per-group bucket table is joined by shuffle
-# instead of broadcast (each group carries `buckets` cut points).
-MAX_BROADCAST_GROUPS = 2000
-# A materialised input with at most this many rows (a counted, proven bound) is
-# ordered by one plain window instead of the bucketed plan.
-SMALL_INPUT_ROWS = 100_000
+from tessera.session import materialize as _materialize
 
 
 def _bucket_of(cuts: Column, key: Column, n_cuts: int) -> Column:
@@ -56,7 +51,8 @@ def prefix_sums(df: DataFrame, order: str | Column, sums: Sequence[str],
     (NULL on the last row of the group), also across bucket borders.
     The input feeds three branches (cut points, bucket totals, rows); with
     ``materialize`` it is checkpointed once to the shared folder instead of
-    being recomputed - one scan of the source instead of three.
+    being recomputed - one scan of the source instead of three.  The cut points
+    are always checkpointed, so that every branch sees the same buckets.
     """
     if buckets is None:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -67,25 +63,12 @@ def prefix_sums(df: DataFrame, order: str | Column, sums: Sequence[str],
         key = -key
     d = df.withColumn("_k", key).where(F.col("_k").isNotNull())
     if materialize:
-        from tessera.session import materialize as _materialize
         d = _materialize(d)
-        if d.count() <= SMALL_INPUT_ROWS:  # reads the checkpoint; bounded input -> one ordered window
-            end0 = 0 if inclusive else -1
-            wr0 = (Window.partitionBy(*groups).orderBy("_k", *tiebreak)
-                   .rowsBetween(Window.unboundedPreceding, end0))
-            wl0 = Window.partitionBy(*groups).orderBy("_k", *tiebreak)
-            out = d.select("*", *[F.coalesce(F.sum(c).over(wr0), F.lit(0)).alias(f"{c}{suffix}") for c in sums],
-                           *[F.lead(c).over(wl0).alias(f"{c}_next") for c in lead])
-            return out.drop("_k")
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = d.groupBy(*groups).agg(F.percentile_approx("_k", probs, 10 * buckets).alias("_cuts"))
-    if groups:
-        cuts = cuts.cache()  # groups x buckets doubles; counted, then joined
-        n_groups = cuts.count()
-        cuts_side = F.broadcast(cuts) if n_groups <= MAX_BROADCAST_GROUPS else cuts
-        d = d.join(cuts_side, list(groups))
-    else:
-        d = d.crossJoin(F.broadcast(cuts))  # one row
+    cuts = d.groupBy(*groups).agg(F.percentile_approx("_k", probs, 4 * buckets).alias("_cuts"))
+    # the sketch depends on merge order, and rows and bucket totals must use the same cuts: computed once, kept
+    cuts = _materialize(cuts)
+    d = d.join(cuts, list(groups)) if groups else d.crossJoin(F.broadcast(cuts))  # ungrouped: one row
     d = d.withColumn("_b", _bucket_of(F.col("_cuts"), F.col("_k"), buckets - 1)).drop("_cuts")
 
     order_key = F.struct("_k", *tiebreak)
@@ -95,8 +78,6 @@ def prefix_sums(df: DataFrame, order: str | Column, sums: Sequence[str],
     nxt = [F.lead("_first").over(Window.partitionBy(*groups).orderBy("_b")).alias("_nb")] if lead else []
     off = tot.select(*groups, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}")
                                       for c in sums], *nxt)
-    if not groups or n_groups <= MAX_BROADCAST_GROUPS:
-        off = F.broadcast(off)  # at most groups x buckets rows
     d = d.join(off, [*groups, "_b"])
     end = 0 if inclusive else -1
     wr = (Window.partitionBy(*groups, "_b").orderBy("_k", *tiebreak)

@@ -24,7 +24,6 @@ NICE_MAXBINS = 30
 EQUAL_BINS = 20
 KDE_GRIDSIZE = 200
 KDE_CUT = 3.0
-SCATTER_MAX_FEATURES = 5
 BIN_EPSILON = 1e-14
 
 
@@ -171,9 +170,11 @@ def box_outliers(df: DataFrame, col: str, groups: Sequence[str] = (), keep: Sequ
 
 
 def scatter_pairs(df: DataFrame, features: Sequence[str], color: str | None = None,
-                  keep: Sequence[str] = (), sample_fraction: float | None = None) -> DataFrame:
-    """(keep..., color, x_name, y_name, x, y): every ordered pair of the first
-    five features, one output row per input row and pair (a generator, no join).
+                  keep: Sequence[str] = (), sample_fraction: float | None = None,
+                  max_features: int | None = None) -> DataFrame:
+    """(keep..., color, x_name, y_name, x, y): every ordered pair of the features,
+    one output row per input row and pair (a generator, no join).  The output has
+    features^2 rows per row; ``max_features`` keeps the first so many features.
 
     ``sample_fraction`` keeps a deterministic hash sample of the rows (by the
     ``keep`` columns, as the train/test split does) for drawing very large
@@ -181,7 +182,7 @@ def scatter_pairs(df: DataFrame, features: Sequence[str], color: str | None = No
     if sample_fraction is not None:
         from tessera.operators.split import key_hash, test_threshold
         df = df.where(key_hash(list(keep) or list(features), 7) < F.lit(test_threshold(sample_fraction)))
-    feats = list(features)[:SCATTER_MAX_FEATURES]
+    feats = list(features)[:max_features]
     pairs = [F.struct(F.lit(a).alias("x_name"), F.lit(b).alias("y_name"),
                       _x(df, a).alias("x"), _x(df, b).alias("y")) for b in feats for a in feats]
     extra = [color] if color else []

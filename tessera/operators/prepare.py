@@ -32,7 +32,7 @@ class PrepConfig:
     numeric_fill: float = DEFAULT_NUMERIC_FILL
     categorical_fill: str = DEFAULT_TEXT_FILL
     knn_neighbors: int = 5
-    max_categories: int = 10000
+    max_categories: int | None = None        # raise beyond so many categories; None: no limit
 
     def update(self, **kw) -> "PrepConfig":
         return replace(self, **kw)
@@ -159,10 +159,27 @@ class FittedPrep:
             out.append(((x - F.lit(center)) / F.lit(scale)).alias(c))
         return out
 
+    def category(self, df: DataFrame, c: str) -> Column:
+        """The column's categories; as text if a text constant fills its gaps."""
+        x = _cat(df, c)
+        constant = self.config.categorical_imputer == "constant" and isinstance(self.config.categorical_fill, str)
+        return x.cast("string") if constant else x
+
+    def onehot_blocks(self, df: DataFrame) -> list[Column]:
+        """One array of 0.0 / 1.0 per categorical column, one expression however many categories."""
+        out = []
+        for c in self.categorical:
+            x, fill = self.category(df, c), self.categorical_fill.get(c)
+            x = F.coalesce(x, F.lit(fill)) if fill is not None else x
+            if self.categories[c]:
+                known = F.array(*[F.lit(v) for v in self.categories[c]])
+                out.append(F.transform(known, lambda v, x=x: F.coalesce((x == v).cast("double"), F.lit(0.0))))
+        return out
+
     def onehot_exprs(self, df: DataFrame) -> list[Column]:
         out = []
         for c in self.categorical:
-            x = _cat(df, c)
+            x = self.category(df, c)
             fill = self.categorical_fill.get(c)
             if fill is not None:
                 x = F.coalesce(x, F.lit(fill))
@@ -179,10 +196,10 @@ class FittedPrep:
     def assemble(self, df: DataFrame, keep: Sequence[str] = (), output: str = "features") -> DataFrame:
         """keep columns + one vector column (numeric block then one-hot block)."""
         from pyspark.ml.functions import array_to_vector
-        wide = self.transform(df, keep)
-        kept = [F.col(_quoted(c)) for c in wide.columns[:len(keep)]]  # keep items are evaluated once, above
-        arr = F.array(*[F.col(_quoted(n)) for n in self.feature_names])
-        return wide.select(*kept, array_to_vector(arr).alias(output))
+        if self.knn is not None:
+            df = self.knn.transform(df)
+        numeric = F.array(*self.numeric_exprs(df)) if self.numeric else F.expr("cast(array() as array<double>)")
+        return df.select(*keep, array_to_vector(F.concat(numeric, *self.onehot_blocks(df))).alias(output))
 
 
 def _fill_agg(x: Column, strategy: str) -> Column | None:
@@ -199,11 +216,10 @@ def fit_prep(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
              config: PrepConfig | None = None) -> FittedPrep:
     """Fit imputers, scalers and category lists in two passes over ``df``.
 
-    Pass 1 (one aggregate): fill values, per-column missing counts and a
-    distinct-count sketch of every categorical column - a column over
-    ``max_categories`` stops the fit before anything is collected.  Pass 2 (one
-    aggregate): scaler statistics over the imputed (and optionally clipped)
-    values and the category sets, now known to be bounded.  With
+    Pass 1 (one aggregate): fill values.  Pass 2 (one aggregate): scaler statistics
+    over the imputed (and optionally clipped) values and the category sets, which
+    are the feature space and have to fit the driver like every model over it;
+    ``max_categories`` turns a column with more into an error.  With
     ``handle_outliers`` one more pass finds the clip fences first.
     """
     cfg = config or PrepConfig()
@@ -221,8 +237,6 @@ def fit_prep(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
         a = _fill_agg(_cat(df, c), cfg.categorical_imputer)
         if a is not None:
             aggs.append(a.alias(f"_cf{i}"))
-        aggs += [F.count_if(_cat(df, c).isNull()).alias(f"_cn{i}"),
-                 F.approx_count_distinct(_cat(df, c)).alias(f"_ca{i}")]
     one = df.agg(*aggs).first() if aggs else None
 
     def fills(cols, strategy, constant, prefix):
@@ -234,9 +248,6 @@ def fit_prep(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
 
     fp.numeric_fill = fills(numeric, cfg.numeric_imputer, cfg.numeric_fill, "_nf")
     fp.categorical_fill = fills(categorical, cfg.categorical_imputer, cfg.categorical_fill, "_cf")
-    for i, c in enumerate(categorical):
-        if one[f"_ca{i}"] > 1.1 * cfg.max_categories + 10:  # sketch: clearly over the limit
-            raise ValueError(f"{c}: more than {cfg.max_categories} categories")
 
     def filled(c: str) -> Column:
         x = _num(df, c)
@@ -262,8 +273,9 @@ def fit_prep(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
         raise ValueError(f"unknown scaler {cfg.numeric_scaler!r}")
     for i, c in enumerate(categorical):
         fill = fp.categorical_fill.get(c)
-        x = F.coalesce(_cat(df, c), F.lit(fill)) if fill is not None else _cat(df, c)
-        aggs2.append(F.collect_set(x).alias(f"_cs{i}"))  # bounded by the sketch check above
+        x = fp.category(df, c)
+        x = F.coalesce(x, F.lit(fill)) if fill is not None else x
+        aggs2.append(F.collect_set(x).alias(f"_cs{i}"))
     two = df.agg(*aggs2).first() if aggs2 else None
     for i, c in enumerate(numeric):
         if cfg.numeric_scaler == "none":
@@ -277,7 +289,7 @@ def fit_prep(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
         fp.scale[c] = (center, scale if scale not in (None, 0.0) and scale == scale else 1.0)
     for i, c in enumerate(categorical):
         vals = list(two[f"_cs{i}"])
-        if len(vals) > cfg.max_categories:
+        if cfg.max_categories is not None and len(vals) > cfg.max_categories:
             raise ValueError(f"{c}: more than {cfg.max_categories} categories")
         fp.categories[c] = _sorted_categories(vals)
     return fp
@@ -296,15 +308,10 @@ class LabelEncoding:
     def code(self, df: DataFrame, strict: bool = True) -> Column:
         if self.task != "classification":
             return F.col(self.column).cast("double")
-        x = F.col(self.column)
-        expr = None
-        for i, v in enumerate(self.classes):
-            expr = (F.when(x == F.lit(v), F.lit(float(i))) if expr is None
-                    else expr.when(x == F.lit(v), F.lit(float(i))))
-        if strict:
-            expr = expr.when(x.isNull(), F.lit(None).cast("double")).otherwise(
-                F.raise_error(F.concat(F.lit("unseen label: "), x.cast("string"))).cast("double"))
-        return expr
+        x = F.col(_quoted(self.column))
+        place = F.array_position(F.array(*[F.lit(v) for v in self.classes]), x)  # NULL for a NULL label
+        unseen = F.raise_error(F.concat(F.lit("unseen label: "), x.cast("string"))).cast("double") if strict else F.lit(None).cast("double")
+        return F.when(place == 0, unseen).otherwise((place - 1).cast("double"))
 
     def transform(self, df: DataFrame, keep: Sequence[str] = (), output: str = "label") -> DataFrame:
         return df.select(*keep, self.code(df).alias(output))
@@ -315,21 +322,20 @@ class LabelEncoding:
 
 
 def fit_label(df: DataFrame, target: str, threshold: int = CATEGORICAL_THRESHOLD,
-              max_classes: int = 10000) -> LabelEncoding:
-    dtype = df.schema[target].dataType
-    vals = [r[0] for r in df.select(target).where(F.col(target).isNotNull()).distinct()
-            .limit(max(threshold, 1) if isinstance(dtype, NUMERIC_TYPES) else max_classes + 1).collect()]
-    numeric = isinstance(dtype, NUMERIC_TYPES)
+              max_classes: int | None = None) -> LabelEncoding:
+    """Classes of ``target`` (bounded by the model that has to tell them apart; ``max_classes`` makes more an error).  A numeric
+    target with ``threshold`` or more values is a regression target, and only so many values are fetched to see that."""
+    numeric = isinstance(df.schema[target].dataType, NUMERIC_TYPES)
+    distinct = df.select(F.col(_quoted(target))).where(F.col(_quoted(target)).isNotNull()).distinct()
+    if numeric or max_classes is not None:
+        distinct = distinct.limit(max(threshold, 1) if numeric else max_classes + 1)
+    vals = [r[0] for r in distinct.collect()]
     if numeric and len(vals) >= threshold:
         return LabelEncoding(target, "regression")
-    if len(vals) > max_classes:
+    if max_classes is not None and len(vals) > max_classes:
         raise ValueError(f"{target}: more than {max_classes} classes")
     return LabelEncoding(target, "classification", sorted(vals))
 
 
-def is_numeric(df: DataFrame, c: str) -> bool:
-    return isinstance(df.schema[c].dataType, (NUMERIC_TYPES,))
-
-
 __all__ = ["PrepConfig", "FittedPrep", "fit_prep", "impute", "impute_values", "scaler_stats",
            "LabelEncoding", "fit_label", "mode_values"]

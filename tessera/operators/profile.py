@@ -154,32 +154,24 @@ def overview(df: DataFrame, roles: ColumnRoles) -> DataFrame:
 
 # --------------------------------------------------------------------------- summaries
 
-def quantile_expr(c: Column, probs: Sequence[float], exact: bool = True) -> Column:
-    """Linear-interpolation quantiles (exact) or bounded-error sketch quantiles."""
-    return F.percentile(c, list(probs)) if exact else F.percentile_approx(c, list(probs), 100000)
-
-
-def describe(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, std (sample), min, 25/50/75 % (linear interpolation), max.
 
     Moments and extremes are one aggregate over all columns (no Expand); the
-    exact quartiles come from ``quantiles.quantile_arrays`` (single-aggregate
-    percentile for columns with a bounded number of values, the distributed
-    rank-based path beyond); then one row per column.
+    exact quartiles come from ``quantiles.quantile_arrays`` (values counted and
+    ranked over all tasks); then one row per column.
     """
-    from tessera.operators.quantiles import distinct_sketch, quantile_arrays
+    from tessera.operators.quantiles import quantile_arrays
     aggs, schema = [], []
     for i, c in enumerate(cols):
         x = _num(df, c)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), distinct_sketch(df, c).alias(f"a{i}")]
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
         schema += [f"n{i} bigint", f"m{i} double", f"s{i} double", f"lo{i} double", f"hi{i} double"]
-    # one pass for the moments and the distinct sketch that picks the quantile method
     row = df.agg(*aggs).first()
     moments = df.sparkSession.createDataFrame(
         [tuple(row[f"{k}{i}"] for i in range(len(cols)) for k in ("n", "m", "s", "lo", "hi"))], ", ".join(schema))
-    qs = quantile_arrays(df, cols, [0.25, 0.5, 0.75], method=method,
-                         estimates=[row[f"a{i}"] for i in range(len(cols))])
+    qs = quantile_arrays(df, cols, [0.25, 0.5, 0.75])
     one = moments.crossJoin(qs.select(*[F.col(f"_q{i}").alias(f"q{i}") for i in range(len(cols))]))  # 1 x 1
     return stack_rows(one, [{
         "column_name": F.lit(c), "count": F.col(f"n{i}"), "mean": F.col(f"m{i}"), "std": F.col(f"s{i}"),
@@ -259,10 +251,10 @@ def missing_hint(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
 
 # --------------------------------------------------------------------------- IQR outliers
 
-def iqr_bounds(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
+def iqr_bounds(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row with q1_<i>, q3_<i>, lower_<i>, upper_<i> per column index."""
     from tessera.operators.quantiles import quantile_arrays
-    one = quantile_arrays(df, cols, [0.25, 0.75], method=method)
+    one = quantile_arrays(df, cols, [0.25, 0.75])
     sel = []
     for i, _ in enumerate(cols):
         q1, q3 = F.col(f"_q{i}")[0], F.col(f"_q{i}")[1]

@@ -13,9 +13,7 @@ of 10^12 values.  The distributed path gives the same numbers:
    equi-join with the per-group totals - no range join);
 4. a small aggregate per (group, column, q) interpolates.
 
-``quantile_arrays(..., method="auto")`` first takes one sketch pass
-(approx_count_distinct) and keeps the single-aggregate ``percentile`` for
-columns with at most ``EXACT_AGG_MAX_DISTINCT`` values.
+The number of distinct values of a column decides nothing: every size takes these steps.
 """
 
 from __future__ import annotations
@@ -28,10 +26,6 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import is_float, nan_to_null
 from tessera.functions.ranking import prefix_sums
 
-# A column with at most this many distinct values (sketch estimate) uses the
-# single-aggregate exact percentile; above it the distributed path.
-EXACT_AGG_MAX_DISTINCT = 1_000_000
-
 
 def _x(df: DataFrame, c: str) -> Column:
     x = F.col(c).cast("double")
@@ -65,38 +59,11 @@ def quantiles_long(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                       (F.col("_lo") + F.col("_frac") * (F.col("_hi") - F.col("_lo"))).alias("value"))
 
 
-def distinct_sketch(df: DataFrame, c: str) -> Column:
-    """The per-column estimate ``quantile_arrays`` decides on (fold it into another aggregate)."""
-    return F.approx_count_distinct(_x(df, c))
-
-
-def quantile_arrays(df: DataFrame, cols: Sequence[str], probs: Sequence[float], groups: Sequence[str] = (),
-                    method: str = "auto", estimates: Sequence[int] | None = None) -> DataFrame:
-    """One row per group with ``_q<i>`` = array of the quantiles of column i (like
-    ``percentile(col, probs)``).  method: "agg" (Spark percentile), "distributed"
-    or "auto" (decided per column by a distinct-count sketch; pass ``estimates``
-    when the caller already computed ``distinct_sketch`` in its own aggregate)."""
-    cols = list(cols)
-    if method == "auto":
-        if estimates is None:
-            row = df.agg(*[distinct_sketch(df, c).alias(f"_a{i}") for i, c in enumerate(cols)]).first()
-            estimates = [row[f"_a{i}"] for i in range(len(cols))]
-        big = [i for i in range(len(cols)) if estimates[i] > EXACT_AGG_MAX_DISTINCT]
-    else:
-        big = list(range(len(cols))) if method == "distributed" else []
-    small = [i for i in range(len(cols)) if i not in big]
-    parts = []
-    if small:
-        parts.append(df.groupBy(*groups).agg(*[F.percentile(_x(df, cols[i]), list(probs)).alias(f"_q{i}")
-                                              for i in small]))
-    if big:
-        ql = quantiles_long(df, [cols[i] for i in big], probs, groups)
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct("prob_index", "value"))), lambda s: s["value"])
-        per = ql.groupBy(*groups, "col_index").agg(ordered.alias("_arr"))  # len(probs) values per row
-        remap = F.element_at(F.array(*[F.lit(i) for i in big]), F.col("col_index") + 1)
-        wide = per.groupBy(*groups).agg(*[F.max(F.when(remap == i, F.col("_arr"))).alias(f"_q{i}") for i in big])
-        parts.append(wide)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p) if not groups else out.join(p, list(groups), "full")
-    return out
+def quantile_arrays(df: DataFrame, cols: Sequence[str], probs: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
+    """One row per group (one row in all without groups) with ``_q<i>`` = array of the quantiles of column i, like
+    ``percentile(col, probs)``; NULL for a column without values."""
+    ql = quantiles_long(df, list(cols), probs, groups)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("prob_index", "value"))), lambda s: s["value"])
+    per = ql.groupBy(*groups, "col_index").agg(ordered.alias("_arr"))  # len(probs) values per row
+    wide = per.groupBy(*groups).agg(*[F.max(F.when(F.col("col_index") == i, F.col("_arr"))).alias(f"_q{i}") for i in range(len(cols))])
+    return df.select(*groups).distinct().join(wide, list(groups), "left") if groups else wide

@@ -170,7 +170,8 @@ def make_estimator(model_name: str, is_classification: bool, params: dict, ctx:
         elif model_name == "Random Forest Regressor":
             est = R.RandomForestRegressor(**base, numTrees=int(p.get("n_estimators", DEFAULTS["n_estimators"])),
                                           maxDepth=_depth(p.get("max_depth")), minInstancesPerNode=_leaf(p),
-                                          bootstrap=bool(p.get("bootstrap", True)), seed=ctx.seed)
+                                          bootstrap=bool(p.get("bootstrap", True)), seed=ctx.seed,
+                                          featureSubsetStrategy="all")
         elif model_name == "Gradient Boosting Regressor":
             est = R.GBTRegressor(**base, maxIter=int(p.get("n_estimators", DEFAULTS["n_estimators"])),
                                  stepSize=float(p.get("learning_rate", DEFAULTS["learning_rate"])),
@@ -186,11 +187,3 @@ def make_estimator(model_name: str, is_classification: bool, params: dict, ctx:
     if w and hasattr(est, "setWeightCol"):
         est.setWeightCol(w)
     return est
-
-
-def kernel_of(params: dict) -> str:
-    return params.get("kernel", "rbf") if params else "rbf"
-
-
-def model_names(is_classification: bool) -> Sequence[str]:
-    return list((CLASSIFICATION_GRIDS if is_classification else REGRESSION_GRIDS).keys())

@@ -10,6 +10,7 @@ fit is data-parallel and several fits share the cluster.
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -136,13 +137,37 @@ def importances_of(model, names: Sequence[str]) -> list[float] | None:
 
 # ---------------------------------------------------------------- training
 
+def fold_stats(train: DataFrame, is_classification: bool) -> dict:
+    """fold -> (rows, label standard deviation, balanced class weights) of the training rows outside that fold; None: of
+    all training rows.  One grouped aggregate; the table has folds x classes rows (regression: one per fold)."""
+    by = ["_fold", "label"] if is_classification else ["_fold"]
+    cells = train.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("m"), F.coalesce(F.var_pop("label"), F.lit(0.0)).alias("v")).collect()
+    out = {}
+    for without in (None, *{c["_fold"] for c in cells}):
+        rest = [c for c in cells if without is None or c["_fold"] != without]
+        n = sum(c.n for c in rest)
+        mean = sum(c.n * c.m for c in rest) / n if n else 0.0
+        sd = math.sqrt(sum(c.n * (c.v + (c.m - mean) ** 2) for c in rest) / n) if n else 0.0
+        weights = None
+        if is_classification:
+            counts: dict = {}
+            for c in rest:
+                counts[c.label] = counts.get(c.label, 0) + c.n
+            weights = F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), F.lit(n / (len(counts) * c)))])
+        out[without] = (n, sd, weights)
+    return out
+
+
+
 def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str,
                 model_name: str, keys: Sequence[str], is_classification: bool | None = None,
-                test_size: float = 0.2, random_state: int = 42, cv: int = 5, use_grid_search: bool = False,
+                test_size: float = 0.2, random_state: int | None = 42, cv: int = 5, use_grid_search: bool = False,
                 use_randomized_search: bool = False, n_iter: int = 10, custom_params: dict | None = None,
                 params: dict | None = None, prep_config: PrepConfig | None = None, fit_on: str = "train",
                 parallelism: int = 4) -> TrainResult:
     from pyspark import StorageLevel
+    if random_state is None:  # a split of its own for this run
+        random_state = int.from_bytes(os.urandom(3), "big")
     # the projected training columns are read by every fitting pass below: scan / join them once
     needed = list(dict.fromkeys([*keys, *numeric, *categorical, target]))
     source = df.select(*needed).where(F.col(target).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
@@ -170,33 +195,26 @@ def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     base = base.withColumn("label", label.code(base))
     data = prep.assemble(base, keep=[*keys, "_is_test", "_fold", "label"])
     n_classes = len(label.classes) if task_cls else 0
-    if is_classification:
-        counts = {r[0]: r[1] for r in data.where(~F.col("_is_test")).groupBy("label").count().collect()}
-        tot = sum(counts.values())
-        wmap = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(tot / (len(counts) * n)))])
-        data = data.withColumn("_w_balanced", wmap[F.col("label")])
-    # iterative fits run one task per cached partition; AQE may have coalesced a small
-    # input into very few, so spread it over the cluster's cores (no-op for large data)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() < cores:
-        data = data.repartition(cores)
-    data = data.persist()
+    # iterative fits run one task per cached partition: even partitions, at least one per core
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    data = data.repartition(parts).persist()
     train = data.where(~F.col("_is_test"))
     test = data.where(F.col("_is_test"))
-    stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sd")).first()
     data.count()  # data is now cached in full; the projected source is no longer needed
+    folds = fold_stats(train, is_classification)
     source.unpersist()
     names = prep.feature_names
     fvar = 1.0
     if model_name in ("Support Vector Machine", "SVR"):
         fvar = train.select(F.explode(vector_to_array("features")).alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
 
-    def context(n):
-        return M.FitContext(n_rows=n, n_classes=max(n_classes, 2), label_std=stats.sd or 1.0,
-                            n_features=len(names), feature_var=fvar, seed=random_state)
-
-    def fit(cand, rows, n):
-        est = M.make_estimator(model_name, is_classification, cand, context(n))
+    def fit(cand, rows, without=None):
+        n, sd, weights = folds[without]
+        context = M.FitContext(n_rows=n, n_classes=max(n_classes, 2), label_std=sd or 1.0,
+                               n_features=len(names), feature_var=fvar, seed=random_state)
+        est = M.make_estimator(model_name, is_classification, cand, context)
+        if weights is not None:
+            rows = rows.withColumn("_w_balanced", weights[F.col("label")])
         fmap = (kernel_map(cand.get("kernel", "rbf"), cand.get("gamma", "scale"), len(names), fvar, random_state)
                 if model_name in ("Support Vector Machine", "SVR") else None)
         x = fmap(rows) if fmap else rows
@@ -208,11 +226,9 @@ def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     if searching:
         pg = M.grid(model_name, is_classification, custom_params)
         cands = (M.sample_candidates(pg, n_iter, random_state) if use_randomized_search else M.candidates(pg))
-        n_fold_train = int(stats.n * (cv - 1) / cv)
-
         def run(job):
             ci, f = job
-            model, fmap = fit(cands[ci], train.where(F.col("_fold") != f), n_fold_train)
+            model, fmap = fit(cands[ci], train.where(F.col("_fold") != f), f)
             hold = train.where(F.col("_fold") == f)
             return ci, f, _score(model.transform(fmap(hold) if fmap else hold), is_classification)
 
@@ -226,7 +242,7 @@ def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
         best_i = int(np.argmax(means))
         best = cands[best_i]
         cv_results = cv_results_frame(df.sparkSession, cands, table)
-    model, fmap = fit(best, train, stats.n)
+    model, fmap = fit(best, train)
     if model_name == "Support Vector Machine" and n_classes == 2:
         model = PlattScaled.fit(model, fmap(train) if fmap else train)
     pred = model.transform(fmap(test) if fmap else test)

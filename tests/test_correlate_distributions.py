@@ -59,9 +59,10 @@ def test_box_stats(spark):
     assert (r.q1, r.q3, r.whisker_low, r.whisker_high, r.n_outliers) == (q1, q3, 1.0, 5.0, 1)
 
 
-def test_scatter_pairs_first_five(spark):
+def test_scatter_pairs_all_or_first_features(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0, 5.0, 6.0)], "a double, b double, c double, d double, e double, f double")
-    assert V.scatter_pairs(df, list("abcdef")).count() == 25
+    assert V.scatter_pairs(df, list("abcdef")).count() == 36
+    assert V.scatter_pairs(df, list("abcdef"), max_features=5).count() == 25
 
 
 def test_scatter_hash_sample_is_deterministic(spark):

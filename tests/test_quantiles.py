@@ -13,24 +13,19 @@ def test_distributed_quantiles_match_numpy(spark):
     pdf = pd.DataFrame({"g": g, "a": a, "b": b})
     df = spark.createDataFrame(pdf)
     probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    dist = {r.g: r for r in quantile_arrays(df, ["a", "b"], probs, groups=["g"], method="distributed").collect()}
-    agg = {r.g: r for r in quantile_arrays(df, ["a", "b"], probs, groups=["g"], method="agg").collect()}
+    dist = {r.g: r for r in quantile_arrays(df, ["a", "b"], probs, groups=["g"]).collect()}
     for k in range(3):
         sub = pdf[pdf.g == k]
         assert np.allclose(dist[k]["_q0"], np.percentile(sub.a, [p * 100 for p in probs]))
         assert np.allclose(dist[k]["_q1"], np.percentile(sub.b, [p * 100 for p in probs]))
-        assert np.allclose(dist[k]["_q0"], agg[k]["_q0"]) and np.allclose(dist[k]["_q1"], agg[k]["_q1"])
-    one = quantile_arrays(df, ["a"], [0.5], method="distributed").first()
+    one = quantile_arrays(df, ["a"], [0.5]).first()
     assert one["_q0"][0] == np.median(a)
 
 
-def test_distributed_quantiles_bucketed_path(spark, monkeypatch):
-    import tessera.functions.ranking as R
-    monkeypatch.setattr(R, "SMALL_INPUT_ROWS", 10)
+def test_grouped_quantiles(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"g": rng.integers(0, 2, 2000), "a": np.round(rng.normal(size=2000), 2)})
     df = spark.createDataFrame(pdf)
-    got = {r.g: r["_q0"] for r in quantile_arrays(df, ["a"], [0.1, 0.5, 0.99], groups=["g"],
-                                                  method="distributed").collect()}
+    got = {r.g: r["_q0"] for r in quantile_arrays(df, ["a"], [0.1, 0.5, 0.99], groups=["g"]).collect()}
     for k in range(2):
         assert np.allclose(got[k], np.percentile(pdf[pdf.g == k].a, [10, 50, 99]))
