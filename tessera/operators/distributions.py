@@ -99,13 +99,18 @@ def histogram_equal(df: DataFrame, col: str, bins: int = EQUAL_BINS, groups: Seq
                       "count")
 
 
+# exp(-u^2 / 2) is 0 in double precision beyond this.
+KERNEL_REACH = 39.0
+
+
 def kde(df: DataFrame, col: str, groups: Sequence[str] = (), gridsize: int = KDE_GRIDSIZE,
         cut: float = KDE_CUT, prebin: int | None = None) -> DataFrame:
     """(groups..., grid_index, x, density): Gaussian KDE with Scott's bandwidth
     (sample std x n^-1/5), each group normalised to 1 on its own grid.
 
     Values are counted first, then each distinct value is exploded over the
-    grid indices (a generator, no join) and adds its weighted kernel; the
+    grid indices (a generator, no join) within KERNEL_REACH bandwidths, beyond
+    which its kernel is 0 in double precision, and adds its weighted kernel; the
     per-point sums are a grouped aggregate with map-side combine.
 
     ``prebin=B`` first snaps every value to the centre of one of B equal-width
@@ -128,11 +133,17 @@ def kde(df: DataFrame, col: str, groups: Sequence[str] = (), gridsize: int = KDE
         vals = _with_stats(vals, st.select(*groups, "_lo", "_hi"), groups).select(*groups, centre.alias("_x"))
     counts = vals.groupBy(*groups, "_x").agg(F.count(F.lit(1)).alias("_c"))
     j = _with_stats(counts, st, groups)
-    grid = F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("grid_index")
-    pts = j.select(*groups, "_x", "_c", "_n", "_bw", "_g0", "_gs", grid)
+    reach = KERNEL_REACH * F.col("_bw")
+    low = F.greatest(F.floor((F.col("_x") - reach - F.col("_g0")) / F.col("_gs")), F.lit(0))
+    high = F.least(F.ceil((F.col("_x") + reach - F.col("_g0")) / F.col("_gs")), F.lit(gridsize - 1))
+    near = F.sequence(F.coalesce(low, F.lit(0)).cast("int"), F.coalesce(high, F.lit(gridsize - 1)).cast("int"))
+    pts = j.select(*groups, "_x", "_c", "_n", "_bw", "_g0", "_gs", F.explode(near).alias("grid_index"))
     u = ((F.col("grid_index") * F.col("_gs") + F.col("_g0")) - F.col("_x")) / F.col("_bw")
     long = pts.select(*groups, "grid_index", "_n", "_bw", "_g0", "_gs",
                       (F.col("_c") * F.exp(-0.5 * u * u)).alias("_k"))  # plain expression: codegen
+    every = st.where("_n > 0").select(*groups, F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("grid_index"), "_n", "_bw", "_g0", "_gs",
+                                      F.when(F.col("_bw").isNotNull(), 0.0).alias("_k"))  # grid points out of everyone's reach
+    long = long.unionByName(every)
     agg = long.groupBy(*groups, "grid_index", "_n", "_bw", "_g0", "_gs").agg(F.sum("_k").alias("_s"))
     norm = F.col("_n") * F.col("_bw") * math.sqrt(2 * math.pi)
     return agg.select(*groups, F.col("grid_index").cast("int"),

@@ -147,6 +147,28 @@ def roc_one_vs_rest(df: DataFrame, label: str, probability: str, class_names: Se
                       F.format_string("%s (AUC = %.3f)", names, F.col("auc")).alias("curve_label"))
 
 
+def roc_curves_one_vs_rest(df: DataFrame, label: str, probability: str, class_names: Sequence[str],
+                           drop_intermediate: bool = True) -> DataFrame:
+    """(class_index, class_name, threshold, fpr, tpr): the points of each class's one-vs-rest curve, as ``roc_curve`` gives
+    them, with the origin (threshold NULL)."""
+    long = df.select(F.col(label).alias("_y"), F.posexplode(probability).alias("class_index", "_s"))
+    counts = _score_counts(long, (F.col("_y") == F.col("class_index")).cast("int"), F.col("_s"), 1,
+                           groups=[F.col("class_index")])
+    cum = prefix_sums(counts, "score", ["tp", "fp"], groups=["class_index"], descending=True,
+                      lead=["tp", "fp"] if drop_intermediate else (), materialize=True)
+    totals = cum.groupBy("class_index").agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"))  # one row per class
+    pts = cum.join(totals, "class_index")
+    if drop_intermediate:
+        first = (F.col("tp_cum") == F.col("tp")) & (F.col("fp_cum") == F.col("fp"))
+        changes = (F.col("tp_next") != F.col("tp")) | (F.col("fp_next") != F.col("fp"))
+        pts = pts.where(first | F.col("tp_next").isNull() | changes)
+    rate = lambda c, tot: (c / F.nullif(F.col(tot), F.lit(0))).cast("double")
+    points = pts.select("class_index", F.col("score").alias("threshold"), rate(F.col("fp_cum"), "N").alias("fpr"), rate(F.col("tp_cum"), "P").alias("tpr"))
+    origin = totals.select("class_index", F.lit(None).cast("double").alias("threshold"), rate(F.lit(0.0), "N").alias("fpr"), rate(F.lit(0.0), "P").alias("tpr"))
+    names = F.element_at(F.array(*[F.lit(n) for n in class_names]), F.col("class_index") + 1)
+    return origin.unionByName(points).select(F.col("class_index").cast("int"), names.alias("class_name"), "threshold", "fpr", "tpr")
+
+
 def residuals(df: DataFrame, label: str, pred: str, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*keep, F.col(pred).alias("Predicted"), (F.col(label) - F.col(pred)).alias("Residual"))
 

@@ -125,6 +125,11 @@ def scaler_stats(df: DataFrame, cols: Sequence[str], kind: str) -> dict[str, tup
     return out
 
 
+def _indicators(x: Column, values: list) -> Column:
+    """Array with 1.0 at the place of the value that ``x`` has, else 0.0."""
+    return F.transform(F.array(*[F.lit(v) for v in values]), lambda v: F.coalesce((x == v).cast("double"), F.lit(0.0)))
+
+
 def _sorted_categories(values: list) -> list:
     return sorted(values)
 
@@ -172,8 +177,7 @@ class FittedPrep:
             x, fill = self.category(df, c), self.categorical_fill.get(c)
             x = F.coalesce(x, F.lit(fill)) if fill is not None else x
             if self.categories[c]:
-                known = F.array(*[F.lit(v) for v in self.categories[c]])
-                out.append(F.transform(known, lambda v, x=x: F.coalesce((x == v).cast("double"), F.lit(0.0))))
+                out.append(_indicators(x, self.categories[c]))
         return out
 
     def onehot_exprs(self, df: DataFrame) -> list[Column]:

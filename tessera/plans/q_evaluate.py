@@ -199,6 +199,26 @@ def eval_roc_multiclass(spark, sf):
     return rounded(E.roc_one_vs_rest(probs, "y", "probability", [str(c) for c in enc.classes]))
 
 
+@query("eval_roc_curves", f"""
+WITH p AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y,
+                  1 + l_discount * 10 AS s0, 1 + l_tax * 10 AS s1, l_quantity / 50 AS s2 FROM lineitem),
+l AS ({" UNION ALL ".join(f"SELECT {i} AS k, CAST(y = {i} AS INTEGER) AS pos, s{i} / ((s0 + s1) + s2) AS score FROM p"
+                          for i in range(3))}),
+c AS (SELECT k, score, count_if(pos = 1) AS tp, count_if(pos <> 1) AS fp FROM l GROUP BY ALL),
+s AS (SELECT *, sum(tp) OVER w AS tp_cum, sum(fp) OVER w AS fp_cum, lead(tp) OVER (PARTITION BY k ORDER BY score DESC) AS tp_next,
+             lead(fp) OVER (PARTITION BY k ORDER BY score DESC) AS fp_next, row_number() OVER w AS rn FROM c
+      WINDOW w AS (PARTITION BY k ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT k, sum(tp) AS P, sum(fp) AS N FROM c GROUP BY k)
+SELECT CAST(k AS INTEGER) AS class_index, ['A', 'N', 'R'][k + 1] AS class_name, CAST(NULL AS DOUBLE) AS threshold,
+       round(0.0 / nullif(N, 0), 6) AS fpr, round(0.0 / nullif(P, 0), 6) AS tpr FROM t
+UNION ALL
+SELECT CAST(k AS INTEGER), ['A', 'N', 'R'][k + 1], round(score, 6), round(fp_cum / nullif(N, 0), 6), round(tp_cum / nullif(P, 0), 6)
+FROM s JOIN t USING (k) WHERE rn = 1 OR tp_next IS NULL OR tp_next <> tp OR fp_next <> fp""")
+def eval_roc_curves(spark, sf):
+    probs, enc = _probabilities(spark, sf)
+    return rounded(E.roc_curves_one_vs_rest(probs, "y", "probability", [str(c) for c in enc.classes]))
+
+
 # ---- top-k feature importance: |corr| of each prepared part feature with the retail price
 _IMP_FEATS = [("p_size", "p_size")] + [(f"p_type_{v}", f"CAST(p_type = '{v}' AS DOUBLE)") for v in P_TYPES] \
     + [(f"p_brand_{v}", f"CAST(p_brand = '{v}' AS DOUBLE)") for v in P_BRANDS]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evaluate as E  # noqa: F401
 from tessera.operators import history as H
-from tessera.plans.registry import query, table
+from tessera.plans.registry import query, rounded, table
 from tessera.session import shared_dir
 from tessera.sources.history_store import HistoryStore
 
@@ -200,7 +200,7 @@ def _store(spark, name):
     return HistoryStore(spark, os.path.join(shared_dir(spark), f"history-{name}-{os.urandom(4).hex()}"))
 
 
-@query("hist_scan")
+@query("hist_scan", f"{RUNS_SQL} SELECT {_WIDE_COLS} FROM runs")
 def hist_scan(spark, sf):
     """Write the derived runs to a history store in the shared folder and scan them back."""
     store = _store(spark, "scan")
@@ -208,14 +208,21 @@ def hist_scan(spark, sf):
     return H.history_wide(store.read(), METRICS)
 
 
-@query("hist_append")
+@query("hist_append", f"""{RUNS_SQL},
+o AS (SELECT o_totalprice / 1000.0 AS y FROM orders)
+SELECT model_name, model_type, dataset_name, target, CAST(len(features) AS INTEGER) AS n_features,
+       {", ".join(f"metric_{m}" for m in METRICS)} FROM runs WHERE seg <> 1
+UNION ALL
+SELECT 'Baseline_zero', 'Regression', 'orders', 'o_totalprice', 1, {", ".join({
+    "mse": "round(avg(y * y), 6)", "rmse": "round(sqrt(avg(y * y)), 6)", "mae": "round(avg(abs(y)), 6)",
+    "r2": "round(1 - sum(y * y) / (var_pop(y) * count(y)), 6)"}.get(m, "NULL") for m in METRICS)} FROM o""")
 def hist_append(spark, sf):
     """Append the derived runs plus one recorded run, delete one, read the result."""
     store = _store(spark, "append")
     store.append_runs(segment_runs(spark, sf))
     m = E.regression_metrics(table(spark, sf, "orders").select(
-        F.col("o_totalprice").alias("y"), F.lit(0.0).alias("p")), "y", "p").first().asDict()
+        (F.col("o_totalprice") / 1000.0).alias("y"), F.lit(0.0).alias("p")), "y", "p").first().asDict()
     store.add_model({"model_name": "Baseline_zero", "model_type": "Regression"}, m, "orders", ["o_totalprice"],
                     "o_totalprice", {"constant": 0.0})
     store.delete_model(_seg_id(1))
-    return H.history_wide(store.read(), METRICS)
+    return rounded(H.history_wide(store.read(), METRICS).drop("model_id", "timestamp"))
