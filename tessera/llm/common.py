@@ -67,6 +67,16 @@ def scratch(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``scratch`` that nothing reads any more."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/tessera-llm/" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
     """Join every row with the one row of its group, whatever share of the rows a key holds.
 
@@ -81,6 +91,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return hot.unionByName(rest)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with Arrow batches of at most ``rows`` rows from here on in its session: rows are whole texts here, and a batch
+    is held by the JVM and the Python worker at once.  A smaller setting stays."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver drop frames it no longer uses, so that their shuffle files go from the executors' disks."""
     import gc

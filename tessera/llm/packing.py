@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import col, scratch, table
+from tessera.llm.common import col, discard, scratch, small_batches, table
 
 WINDOW, END_ID, PAD_ID = 1024, 0, 0
 VOCABULARY = "byte_bpe_50k"
@@ -88,7 +88,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     An empty table gives no sequences.  Other columns are not read.
     """
     kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
-    stream = scratch(token_stream(docs, id_col, text_col, vocabulary), "pack-stream")
+    stream = scratch(token_stream(small_batches(docs), id_col, text_col, vocabulary), "pack-stream")
     totals = stream.groupBy("part").agg(F.sum("doc_tokens").alias("n"))  # one row per partition of the input
     bases = totals.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
     placed = stream.join(F.broadcast(bases), "part").select("doc_id", "doc_tokens", (F.col("base") + F.col("local")).alias("at"), "ids")
@@ -124,14 +124,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
                     if end % window == 0:
                         close()
                         first = end
-            if done:
-                yield pa.RecordBatch.from_pylist(done, schema=out)
-                done = []
+                    if len(done) >= 500:
+                        yield pa.RecordBatch.from_pylist(done, schema=out)
+                        done = []
         close()
         if done:
             yield pa.RecordBatch.from_pylist(done, schema=out)
 
     runs = scratch(placed.mapInArrow(cut, spec), "pack-runs")
+    discard(stream)
     whole = runs.where(F.col("n") == window).select("sequence_id", F.col("n").alias("n_tokens"), "ids", "pieces")
     edges = runs.where(F.col("n") < window).groupBy("sequence_id").agg(
         F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("first", "ids", "pieces"))).alias("r"))  # at most ``window`` records

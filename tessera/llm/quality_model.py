@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, remainder_of_id, scratch, table
+from tessera.llm.common import col, remainder_of_id, scratch, small_batches, table
 from tessera.llm.toxicity import bounded_sample
 
 BITS, DIM, NONZERO, REACH, SEED = 14, 32, 4, 2, 5
@@ -195,7 +195,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     tokenless text has a zero vector and gets the network's score for it.  Without any label the score is 0.5.
     Repeated rows are scored each time.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     vectors = spark.sparkContext.broadcast(word_vectors(scratch(context_sums(docs, text_col), "quality-context")))
     rows = scratch(document_vectors(docs, vectors, id_col, text_col), "quality-documents")
     seen = labels.select(col(id_col).alias("id"), F.col("quality").cast("int").alias("quality"),

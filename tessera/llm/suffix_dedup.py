@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, join_groups, release, scratch, table
+from tessera.llm.common import col, join_groups, release, scratch, small_batches, table
 from tessera.llm.minhash import mix64
 
 LENGTH, KGRAM = 200, 64
@@ -262,7 +262,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     short text loses nothing.  A repeated row is another place, so equal rows of ``length`` bytes or more lose everything;
     null ids are documents like any other.  An empty table gives no rows.  Other columns are not read.
     """
-    slim = _slim(docs, id_col, text_col)
+    slim = _slim(small_batches(docs), id_col, text_col)
     ranges = scratch(repeated_ranges(slim, length, kgram, most).groupBy(*_KEY).agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "suffix-ranges")
     release(docs.sparkSession)
     rows = slim.join(ranges, _KEY, "left").select("__doc", "__text", "ranges")

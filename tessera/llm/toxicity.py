@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, remainder_of_id, scratch, table
+from tessera.llm.common import col, remainder_of_id, scratch, small_batches, table
 from tessera.llm.minhash import mix64
 
 ORDER, BITS, DISCOUNT = 5, 20, 0.75
@@ -242,7 +242,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     labels and ids are not learned from.  A null, empty or wordless text has no likelihoods (0) and gets the score of
     one, from the calibration.  Without any label the score is 0.5.  Repeated rows are scored each time.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     seen = labels.select(col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic"),
                          remainder_of_id(col(id_col), folds).alias("fold")).where(F.col("fold") != held)
     tune = (held + 1) % folds
