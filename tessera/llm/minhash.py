@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tessera.llm.common import col, join_groups, keep_ids, release, scratch, table
+from tessera.llm.common import col, discard, join_groups, keep_ids, release, scratch, small_batches, table
 
 SHINGLE, PERCENT = 5, 75
 #: Signature places in bands of 4; of the 48 bands, a pair of similarity 0.75 shares fewer than NEED with probability 3e-7.
@@ -44,7 +45,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for up to ``most`` words at a time (results don't depend on it)."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
@@ -112,7 +113,7 @@ def band_keys(sig: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], elements: int = 60_000):
+def _chunks(batches: Iterator[pa.RecordBatch], elements: int = 30_000):
     """(ids, sets) of a bounded number of elements at a time."""
     hashes = WordHashes()
     ids, sets, n = [], [], 0
@@ -248,15 +249,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     they share a component.  A row with a null id takes the component of its equals, or null, and is kept only if
     no row with an id stands for it.  An empty table gives no rows.  Other columns are not read.
     """
-    feats = scratch(set_features(docs, id_col, text_col, places), "near-features")
-    classes = scratch(feats.where("n_shingles > 0").groupBy("set_hash").agg(
+    wide = scratch(set_features(small_batches(docs), id_col, text_col, places), "near-features")
+    feats = scratch(wide.drop("bands"), "near-documents")
+    classes = scratch(wide.where("n_shingles > 0").groupBy("set_hash").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")), "near-classes")
+    discard(wide)
     slim = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     comps = link_components(classes.where("rep is not null"), slim, percent)
     placed = classes.join(comps, classes["rep"] == comps["node"], "left").select(
         "set_hash", "n", F.coalesce("component", "rep").alias("component_id"))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    full = join_groups(feats.where("n_shingles > 0").drop("bands"), placed, ["set_hash"], "n", total)
+    full = join_groups(feats.where("n_shingles > 0"), placed, ["set_hash"], "n", total)
     alone = feats.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.select("doc_id", "n_shingles", "component_id").unionByName(alone).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -279,11 +282,30 @@ def star_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return join_groups(right, left, ["a"], "n", total).select("a", "b", "ba", "bb").mapInArrow(run, "a long, b long")
 
 
+def block_partners(comp: np.ndarray, side: np.ndarray, bands: np.ndarray, n: np.ndarray, key: int, percent: int,
+                   need: int = NEED) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, later members it has to be compared with) among the members of one block pair of the bucket ``key``.
+
+    They belong to different components, their sizes allow the similarity, they share ``need`` bands and this is the first of
+    them.  ``side`` is 0 or 1 by the block a member comes from: members of one block meet in the block's pair with itself, where all have side 0."""
+    two = side.any()
+    for i in range(len(n)):
+        later = np.arange(i + 1, len(n))
+        later = later[(comp[later] != comp[i]) & (100 * n[later] >= percent * n[i]) & (100 * n[i] >= percent * n[later])]
+        if two:
+            later = later[side[later] != side[i]]
+        if len(later):
+            shared = bands[later] == bands[i]
+            first = bands[i][shared.argmax(axis=1)]
+            later = later[(shared.sum(axis=1) >= need) & (first == key)]
+            if len(later):
+                yield i, later
+
+
 def block_links(rep: np.ndarray, comp: np.ndarray, side: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], key: int, percent: int,
                 need: int = NEED) -> list[tuple[int, int]]:
     """Links that join components, among the members of one block pair of the bucket ``key``.
 
-    ``side`` is 0 or 1 by the block a member comes from; members of one side meet in that block's own pair, unless all have side 0.
     Sets hold 32-bit hashes here, so a shared hash may be a coincidence, but no link is missed."""
     n = np.array([len(s) for s in sets])
     starts = np.cumsum(n) - n
@@ -295,19 +317,7 @@ def block_links(rep: np.ndarray, comp: np.ndarray, side: np.ndarray, bands: np.n
             x = root[x]
         return x
 
-    two = side.any()
-    for i in range(len(rep)):
-        later = np.arange(i + 1, len(rep))
-        later = later[(comp[later] != comp[i]) & (100 * n[later] >= percent * n[i]) & (100 * n[i] >= percent * n[later])]
-        if two:
-            later = later[side[later] != side[i]]
-        if not len(later):
-            continue
-        shared = bands[later] == bands[i]
-        first = bands[i][shared.argmax(axis=1)]  # the first shared band's key
-        later = later[(shared.sum(axis=1) >= need) & (first == key)]
-        if not len(later):
-            continue
+    for i, later in block_partners(comp, side, bands, n, key, percent, need):
         own = ids[starts[i]:starts[i] + n[i]]
         mark[own] = 1
         if len(later) > len(rep) // 8:
@@ -323,37 +333,65 @@ def block_links(rep: np.ndarray, comp: np.ndarray, side: np.ndarray, bands: np.n
     return found
 
 
-def bucket_links(live: DataFrame, percent: int) -> DataFrame:
-    """(a, b): candidate links between components.  ``live``: bucket, x, y, side, rep, comp, bands, tokens (binary 32-bit hashes)."""
+def _by_block(live: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
+    """Apply ``work`` to the rows of every block pair (bucket, x, y) that has two components; it gets a list of rows, sorted by rep,
+    (bucket, rep, comp, side, bands, *columns) and returns a list of tuples for ``schema``."""
+    names = ["bucket", "x", "y", "rep", "comp", "side", "bands", *columns]
+    fields = StructType.fromDDL(schema).fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         at = None
 
-        def close() -> list[tuple[int, int]]:
-            if len({r[1] for r in held}) < 2:
-                return []
-            rep, comp, side = (np.array([r[i] for r in held]) for i in range(3))
-            return block_links(rep, comp, side, np.array([r[3] for r in held]), [np.frombuffer(r[4], dtype="<u4") for r in held], at[0], percent)
+        def close() -> list[tuple]:
+            return work(held) if len({r[2] for r in held}) > 1 else []
+
+        def frame(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(len(fields))], names=fields)
 
         for batch in batches:
-            out = []
-            bands = batch.column(6).flatten().to_numpy().reshape(batch.num_rows, -1)
-            keys = zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True)
-            rest = zip(*(batch.column(i).to_pylist() for i in (4, 5, 3)), strict=True)
-            for k, (key, row) in enumerate(zip(keys, rest, strict=True)):
-                if key != at:
+            out: list[tuple] = []
+            if batch.num_rows:
+                bands = batch.column(6).flatten().to_numpy().reshape(batch.num_rows, -1)
+            for k, row in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 5, *range(7, len(names)))), strict=True)):
+                if row[:3] != at:
                     out += close()
-                    held, at = [], key
-                held.append((*row, bands[k], batch.column(7)[k].as_py()))
+                    held, at = [], row[:3]
+                held.append((row[0], *row[3:6], bands[k].copy(), *row[6:]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-        out = close() if held else []
+                yield frame(out)
+        out = close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            yield frame(out)
 
     dealt = live.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "rep")
-    return dealt.select("bucket", "x", "y", "side", "rep", "comp", "bands", "tokens").mapInArrow(run, "a long, b long")
+    return dealt.select(*names).mapInArrow(run, schema)
+
+
+def _arrays(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    return tuple(np.array([r[i] for r in rows]) for i in (1, 2, 3, 4))
+
+
+def bucket_partners(live: DataFrame, percent: int) -> DataFrame:
+    """(bucket, x, y, rep): the rows of ``live`` (bucket, x, y, side, rep, comp, bands, size) that have anyone to be compared with."""
+
+    def work(rows: list[tuple]) -> list[tuple]:
+        rep, comp, side, bands = _arrays(rows)
+        met = np.zeros(len(rows), dtype=bool)
+        for i, later in block_partners(comp, side, bands, np.array([r[5] for r in rows]), rows[0][0], percent):
+            met[i] = met[later] = True
+        return [(rows[0][0], *rows[0][6:8], int(r)) for r in rep[met]]
+
+    return _by_block(live.withColumns({"bx": F.col("x"), "by": F.col("y")}), ["size", "bx", "by"], work, "bucket long, x long, y long, rep long")
+
+
+def bucket_links(live: DataFrame, percent: int) -> DataFrame:
+    """(a, b): candidate links between components.  ``live``: bucket, x, y, side, rep, comp, bands, tokens (binary 32-bit hashes)."""
+
+    def work(rows: list[tuple]) -> list[tuple]:
+        return block_links(*_arrays(rows), [np.frombuffer(r[5], dtype="<u4") for r in rows], rows[0][0], percent)
+
+    return _by_block(live, ["tokens"], work, "a long, b long")
 
 
 def link_components(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -368,7 +406,9 @@ def link_components(classes: DataFrame, docs: DataFrame, percent: int) -> DataFr
         pairs = scratch(pairs, "near-pairs")
         needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
         sets = scratch(full_sets(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "near-sets")
-        return scratch(verified(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
+        found = scratch(verified(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
+        discard(sets)
+        return found
 
     links = links_of(star_pairs(rows, classes))
     comps = components(links)
@@ -376,14 +416,16 @@ def link_components(classes: DataFrame, docs: DataFrame, percent: int) -> DataFr
     labelled = rows.join(comps, rows["rep"] == comps["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     labelled = scratch(labelled, "near-labelled")
     spans = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.first("n").alias("n")).where("c0 < c1")
-    live = scratch(join_groups(labelled.drop("n"), spans.select("bucket", "n"), ["bucket"], "n", total), "near-live")
-    needed = scratch(live.select(F.col("rep").alias("doc_id")).distinct(), "near-needed")
-    tokens = token_sets(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    live = live.withColumn("g", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
-    live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(
+    live = join_groups(labelled.drop("n"), spans.select("bucket", "n"), ["bucket"], "n", total)
+    live = live.withColumn("g", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")))
+    live = live.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))).select(
         "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp")
-    live = live.join(classes.select("rep", "bands"), "rep").join(tokens, "rep")
+    live = scratch(live, "near-live")
+    seen = scratch(bucket_partners(live.join(classes.select("rep", "bands", "size"), "rep"), percent), "near-partners")
+    release(classes.sparkSession)
+    needed = scratch(seen.select(F.col("rep").alias("doc_id")).distinct(), "near-needed")
+    tokens = token_sets(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    live = live.join(seen, ["bucket", "x", "y", "rep"], "left_semi").join(classes.select("rep", "bands"), "rep").join(tokens, "rep")
     more = links_of(bucket_links(live, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     release(classes.sparkSession)
     return components(links.unionByName(more))
