@@ -10,16 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, col, join_groups, keep_ids, scratch, table, words_of
+from tessera.llm.common import SPACE_CLASS, SPACES, col, join_groups, keep_ids, scratch, table
 
 ATTRS = ("source", "lang", "topic")
 #: Default targets: a level's share of all tokens, raised to this power and normalised.
 ALPHA, TOLERANCE, MAX_SWEEPS, SEED = 0.8, 1e-6, 60, 17
 
 
-def text_form(text: Column, n_words: Column) -> Column:
-    """The default topic of a text, from its form: empty, table, symbols, shout, short, long or prose."""
-    chars = F.greatest(F.length(F.translate(text, SPACES, "")), F.lit(1))
+def text_form(text: Column, n_words: Column, chars: Column) -> Column:
+    """The default topic of a text, from its form: empty, table, symbols, shout, short, long or prose.  ``chars``: its characters
+    in words, one at least."""
     share = lambda drop: (F.length(text) - F.length(F.translate(text, drop, ""))) / chars
     return (F.when(n_words == 0, "empty").when(share("|") > 0.05, "table").when(share("#*$%&<>") > 0.05, "symbols")
             .when(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ") > 0.5, "shout")
@@ -33,9 +33,11 @@ def mixing_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      F.coalesce(col(lang_col).cast("string"), F.lit("")).alias("lang"),
                      F.coalesce(col(text_col), F.lit("")).alias("__text"),
                      *([F.coalesce(col(topic_col).cast("string"), F.lit("")).alias("topic")] if topic_col else []))
-    df = df.withColumn("tokens", F.size(words_of(F.col("__text"))).cast("long"))
+    bare = F.btrim("__text", F.lit(SPACES))
+    df = df.withColumn("tokens", F.when(bare == "", 0).otherwise(F.size(F.split(bare, SPACE_CLASS + "+"))).cast("long"))
     if not topic_col:
-        df = df.withColumn("topic", text_form(F.col("__text"), F.col("tokens")))
+        df = df.withColumn("__chars", F.greatest(F.length(F.translate("__text", SPACES, "")), F.lit(1)))
+        df = df.withColumn("topic", text_form(F.col("__text"), F.col("tokens"), F.col("__chars")))
     return df.select("doc_id", *ATTRS, "tokens")
 
 
