@@ -2,8 +2,8 @@
 
 Every document becomes a vector of transformed text statistics.  Per (language, source) the minimum covariance
 determinant estimate of centre and scatter is found by concentration steps: start from coordinatewise medians
-and median deviations, keep the ``support`` share of documents nearest to the estimate, re-estimate, repeat
-until the kept set stays or the determinant no longer falls.  A document whose Mahalanobis distance exceeds the cutoff is
+and quartile ranges, keep the SUPPORT share of documents nearest to the estimate, re-estimate, and again, STEPS times (the
+determinant falls with each step, and hardly after the third).  A document whose Mahalanobis distance exceeds the cutoff is
 rejected.  Only per-document statistics (a few numbers) are shuffled, and groups only meet as partial sums.
 """
 
@@ -20,9 +20,10 @@ SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Coordinates of the outlier vector.
 DIMS = ("x_symbols", "x_lines", "x_repeat", "x_length")
-#: Smallest standard deviation a coordinate is given: half a per cent of symbols, and so on.
-FLOOR = {"x_symbols": 0.02, "x_lines": 0.08, "x_repeat": 0.05, "x_length": 0.08}
-SUPPORT, CUTOFF, MIN_GROUP, MAX_STEPS = 0.75, 36.0, 200, 20
+#: Smallest standard deviation a coordinate is given.  With CUTOFF, a text is no outlier for 5 % of symbols alone, nor for the
+#: repeated words that the base rules allow.
+FLOOR = {"x_symbols": 0.04, "x_lines": 0.12, "x_repeat": 0.12, "x_length": 0.08}
+SUPPORT, CUTOFF, MIN_GROUP, STEPS = 0.75, 36.0, 200, 4
 #: Squared distances are ranked in steps of 1/16 of a power of two.
 STEPS_PER_OCTAVE = 16
 
@@ -86,19 +87,13 @@ def _cholesky(cov: dict[tuple[int, int], Column]) -> dict[tuple[int, int], Colum
     return low
 
 
-def _estimate(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Centre and Cholesky factor of the floored covariance of the rows, per key."""
+def _with_factor(est: DataFrame, keys: list[str]) -> DataFrame:
+    """Replace the covariances c of ``est`` (keys, __n, m, c) by the Cholesky factor l of the floored matrix."""
     p = range(len(DIMS))
-    aggs = [F.avg(d).alias(f"m{i}") for i, d in enumerate(DIMS)]
-    aggs += [F.covar_pop(DIMS[i], DIMS[j]).alias(f"c{i}{j}") for i in p for j in p if j <= i]
-    est = rows.groupBy(*keys).agg(*aggs)
     cov = {(i, j): F.col(f"c{i}{j}") + (F.lit(FLOOR[DIMS[i]] ** 2) if i == j else F.lit(0.0)) for i in p for j in p if j <= i}
     for (i, j), c in _cholesky(cov).items():
         est = est.withColumn(f"l{i}{j}", c)
-    det = F.lit(0.0)
-    for i in p:
-        det = det + 2 * F.log(f"l{i}{i}")
-    return est.select(*keys, *[f"m{i}" for i in p], *[f"l{i}{j}" for i in p for j in p if j <= i], det.alias("logdet"))
+    return est.select(*keys, "__n", *[f"m{i}" for i in p], *[f"l{i}{j}" for i in p for j in p if j <= i])
 
 
 def _distance() -> Column:
@@ -116,40 +111,29 @@ def _distance() -> Column:
 
 
 def mcd_estimates(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """One estimate per key: centre, Cholesky factor, log-determinant.  ``vectors`` has ``keys`` and DIMS.
+    """One estimate per key: __n, centre m, Cholesky factor l.  ``vectors`` has ``keys`` and DIMS.
 
-    The median start uses mergeable quantile sketches; nearest rows are chosen by counting distance bins, so no
-    group is ever sorted or gathered.  The step count is bounded by MAX_STEPS, far above the handful needed."""
+    The start uses mergeable quantile sketches.  A step adds up counts, sums and products per key and distance bin, and the bins
+    up to the support share are the kept documents: no group is ever sorted or gathered, and a step reads the vectors once."""
     p = range(len(DIMS))
-    sizes = scratch(vectors.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"), *[F.percentile_approx(d, 0.5, 1000).alias(f"m{i}") for i, d in enumerate(DIMS)]), "mcd-start")
-    total = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
-    joined = join_groups(vectors, sizes, keys, "__n", total)
-    spread = scratch(joined.groupBy(*keys).agg(
-        *[F.percentile_approx(F.abs(F.col(d) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, d in enumerate(DIMS)]), "mcd-spread")
-    est = sizes.join(spread, keys)
-    for i in p:
-        est = est.withColumn(f"l{i}{i}", F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOOR[DIMS[i]] ** 2))
-    est = est.select(*keys, "__n", *[f"m{i}" for i in p],
-                     *[(F.col(f"l{i}{i}") if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in p for j in p if j <= i])
-    est = est.withColumn("logdet", F.lit(float("inf")))
-    est = scratch(est, "mcd-estimate")
-    for _ in range(MAX_STEPS):
-        near = join_groups(vectors, est, keys, "__n", total)
-        near = near.withColumn("__bin", F.floor(F.log2(_distance() + 1e-9) * STEPS_PER_OCTAVE))
-        bins = near.groupBy(*keys, "__bin", "__n").agg(F.count(F.lit(1)).alias("__c"))
-        upto = bins.withColumn("__before", F.sum("__c").over(W.partitionBy(*keys).orderBy("__bin")) - F.col("__c"))
-        limit = upto.where(F.col("__before") < F.col("__n") * SUPPORT).groupBy(*keys).agg(F.max("__bin").alias("__limit"))
-        old = est.select(*keys, "__n", F.col("logdet").alias("__old"), *[c for c in est.columns if c[0] in "ml" and c != "logdet"])
-        cut = old.join(limit, keys)
-        inside = join_groups(vectors, cut, keys, "__n", total)
-        inside = inside.where(F.floor(F.log2(_distance() + 1e-9) * STEPS_PER_OCTAVE) <= F.col("__limit")).select(*keys, *DIMS)
-        new = _estimate(inside, keys).join(sizes.select(*keys, "__n"), keys).join(old.select(*keys, "__old"), keys)
-        new = scratch(new, "mcd-estimate")
-        moved = new.where(F.col("__old") - F.col("logdet") > 1e-6).limit(1).count()
-        est = new.drop("__old")
-        if not moved:
-            break
+    pairs = [(i, j) for i in p for j in p if j <= i]
+    est = vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[F.percentile_approx(d, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, d in enumerate(DIMS)])
+    est = est.select(*keys, "__n", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in p],
+                     *[(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in pairs])
+    est = scratch(_with_factor(est, keys), "mcd-estimate")
+    total = est.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    for _ in range(STEPS):
+        near = join_groups(vectors, est, keys, "__n", total).withColumn("__bin", F.floor(F.log2(_distance() + 1e-9) * STEPS_PER_OCTAVE))
+        cells = near.groupBy(*keys, "__n", "__bin").agg(
+            F.count(F.lit(1)).alias("c"), *[F.sum(d).alias(f"s{i}") for i, d in enumerate(DIMS)],
+            *[F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"p{i}{j}") for i, j in pairs])
+        cells = cells.withColumn("__before", F.sum("c").over(W.partitionBy(*keys).orderBy("__bin")) - F.col("c"))
+        kept = cells.where(F.col("__before") < F.col("__n") * SUPPORT).groupBy(*keys, "__n").agg(
+            F.sum("c").alias("c"), *[F.sum(f"s{i}").alias(f"s{i}") for i in p], *[F.sum(f"p{i}{j}").alias(f"p{i}{j}") for i, j in pairs])
+        mean = [F.col(f"s{i}") / F.col("c") for i in p]
+        new = kept.select(*keys, "__n", *[mean[i].alias(f"m{i}") for i in p],
+                          *[(F.col(f"p{i}{j}") / F.col("c") - mean[i] * mean[j]).alias(f"c{i}{j}") for i, j in pairs])
+        est = scratch(_with_factor(new, keys), "mcd-estimate")
     return est
 
 
@@ -185,7 +169,7 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     all_rows = vectors.withColumn("__key", F.lit("all")).select("__key", *DIMS)
     wide_rows = lang_rows.unionByName(all_rows).join(F.broadcast(wide.select("__key")), "__key", "left_semi")
     est = mcd_estimates(scratch(pair_rows.unionByName(wide_rows), "quality-vectors"), ["__key"])
-    judged = level.join(est.drop("__n", "logdet"), "__key")
+    judged = level.join(est.drop("__n"), "__key")
     told = join_groups(good, judged, ["__lang", "__source"], "__n", total).withColumn("distance2", _distance())
     out = ["__doc", *added]
     told = told.withColumn("kept", F.col("distance2") <= CUTOFF).select(*out)

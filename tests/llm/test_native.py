@@ -80,10 +80,10 @@ def test_quality_window_overlaps(spark):
     assert got == {i: frames.base_statistics(t)[4] for i, t in enumerate(texts)}
 
 
-def _mcd(x, floor, steps=50):
-    """Concentration steps in numpy with the same start and floors."""
-    centre = np.median(x, axis=0)
-    scatter = np.diag((1.4826 * np.median(np.abs(x - centre), axis=0)) ** 2 + floor ** 2)
+def _mcd(x, floor, steps=quality_rules.STEPS):
+    """Concentration steps in numpy with the same start and floors, on exactly the nearest documents."""
+    low, centre, high = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    scatter = np.diag(((high - low) / 1.349) ** 2 + floor ** 2)
     for _ in range(steps):
         d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
         near = x[d <= np.sort(d)[int(np.ceil(len(x) * quality_rules.SUPPORT)) - 1]]
