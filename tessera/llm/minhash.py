@@ -406,6 +406,7 @@ def link_components(classes: DataFrame, docs: DataFrame, percent: int) -> DataFr
         pairs = scratch(pairs, "near-pairs")
         needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
         sets = scratch(full_sets(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "near-sets")
+        release(docs.sparkSession)  # the shuffled texts
         found = scratch(verified(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
         discard(sets)
         return found
@@ -424,7 +425,8 @@ def link_components(classes: DataFrame, docs: DataFrame, percent: int) -> DataFr
     seen = scratch(bucket_partners(live.join(classes.select("rep", "bands", "size"), "rep"), percent), "near-partners")
     release(classes.sparkSession)
     needed = scratch(seen.select(F.col("rep").alias("doc_id")).distinct(), "near-needed")
-    tokens = token_sets(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    tokens = scratch(token_sets(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "near-tokens")
+    release(classes.sparkSession)  # the shuffled texts
     live = live.join(seen, ["bucket", "x", "y", "rep"], "left_semi").join(classes.select("rep", "bands"), "rep").join(tokens, "rep")
     more = links_of(bucket_links(live, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     release(classes.sparkSession)
