@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tessera.llm.common import SPACE_CLASS, SPACES, col, join_groups, keep_ids, scratch, table
 
 ATTRS = ("source", "lang", "topic")
-#: Default targets: a level's share of all tokens, raised to this power and normalised.
-ALPHA, TOLERANCE, MAX_SWEEPS, SEED = 0.8, 1e-6, 60, 17
+#: Default targets: a level's share of all tokens, raised to ALPHA and normalised.  Share of all tokens that a sample has: KEEP.
+ALPHA, KEEP, TOLERANCE, MAX_SWEEPS, SEED = 0.8, 0.5, 1e-5, 60, 17
 
 
 def text_form(text: Column, n_words: Column, chars: Column) -> Column:
@@ -65,28 +66,44 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     Stops when every marginal is within ``tolerance`` of its target; if the targets contradict each other (a level with a
     target but no cell that may hold it) it stops after MAX_SWEEPS, with the topic marginal exact."""
     total = cells.agg(F.sum("tokens")).first()[0]
-    now = scratch(cells.where("tokens > 0").withColumn("weight", F.col("tokens") / F.lit(float(total or 1))), "rake")
+    now = cells.where("tokens > 0").withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
+    for attr in ATTRS:
+        now = now.join(targets[attr].withColumnRenamed("target", f"target_{attr}"), attr)
+    now = scratch(now, "rake")
     for _ in range(MAX_SWEEPS):
-        nxt, off = now.withColumn("off", F.lit(0.0)), F.lit(0.0)
-        for attr in ATTRS:
-            sums = nxt.groupBy(attr).agg(F.sum("weight").alias("sum"))
-            factor = sums.join(targets[attr], attr).select(attr, (F.col("target") / F.col("sum")).alias("factor"))
-            off = F.greatest("off", F.abs(F.col("factor") - 1))
-            nxt = nxt.join(factor, attr).withColumn("off", off).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        nxt = scratch(nxt, "rake")
+        nxt = now.withColumn("off", F.lit(0.0))
+        for attr in ATTRS:  # a window over cells, which are few beside documents
+            nxt = nxt.withColumn("factor", F.col(f"target_{attr}") / F.sum("weight").over(W.partitionBy(attr)))
+            nxt = nxt.withColumn("off", F.greatest("off", F.abs(F.col("factor") - 1))).withColumn("weight", F.col("weight") * F.col("factor"))
+        nxt = scratch(nxt.drop("factor"), "rake")
         worst = nxt.agg(F.max("off")).first()[0]
         now = nxt.drop("off")
         if worst is None or worst < tolerance:
             break
-    return now
+    return now.select(*ATTRS, "tokens", "docs", "weight")
+
+
+def inclusion_scale(raked: DataFrame, keep: float) -> float:
+    """The c for which documents drawn with probability min(1, c * weight / tokens) have ``keep`` of all tokens on average.
+
+    Each round takes the cells that are kept whole out of the sum; c only grows, so the rounds end."""
+    total, c = raked.agg(F.sum("tokens")).first()[0] or 0, None
+    while True:
+        full = F.lit(False) if c is None else F.lit(c) * F.col("weight") >= F.col("tokens")
+        got = raked.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("t"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("w")).first()
+        new = (keep * total - got.t) / got.w if got.w and keep * total > got.t else c
+        if new is None or new == c or (c is not None and new <= c * (1 + 1e-12)):
+            return c if c is not None else (new or 0.0)
+        c = new
 
 
 def mixing_weights(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None = None, alpha: float = ALPHA,
-                   **cols: str) -> DataFrame:
+                   keep: float = KEEP, **cols: str) -> DataFrame:
     """One row per row of ``docs``: doc_id, ATTRS, tokens, probability, kept.
 
-    Probabilities are proportional to weight per token and the largest is 1: the largest sample whose expected
-    marginals meet the targets.  Documents without words have no tokens to weigh; they are in no marginal and are kept.
+    Probabilities are proportional to weight per token, 1 at most, and scaled so that the sample has ``keep`` of all tokens on
+    average.  Where no cell reaches 1 the sample's expected marginals meet the targets; cells that would need more than
+    all their documents are kept whole and fall short.  Documents without words have no tokens to weigh; they are in no marginal and are kept.
     Nulls: see ``mixing_rows``; a null id has a hash like any other id and rows of one id share their fate.
     An empty table gives no rows.
     """
@@ -95,8 +112,9 @@ def mixing_weights(docs: DataFrame, targets: dict[str, dict[str, float] | None]
     wanted = targets or {}
     shares = {a: scratch(target_shares(cells, a, wanted.get(a), alpha), f"mix-target-{a}") for a in ATTRS}
     raked = rake(cells, shares).withColumn("ratio", F.col("weight") / F.col("tokens"))
-    top = raked.agg(F.max("ratio").alias("top"))  # one row
-    prob = scratch(raked.crossJoin(F.broadcast(top)).select(*ATTRS, "docs", (F.col("ratio") / F.col("top")).alias("probability"))
+    raked = scratch(raked, "mix-raked")
+    chance = F.least(F.lit(1.0), F.col("ratio") * F.lit(inclusion_scale(raked, keep)))
+    prob = scratch(raked.select(*ATTRS, "docs", chance.alias("probability"))
                    .unionByName(cells.where("tokens = 0").select(*ATTRS, "docs", F.lit(1.0).alias("probability"))), "mix-probability")
     total = cells.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
     told = join_groups(rows, prob, list(ATTRS), "docs", total)

