@@ -146,8 +146,9 @@ def document_vectors(docs: DataFrame, vectors, id_col: str = "doc_id", text_col:
     return docs.select(col(id_col), col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, x array<float>")
 
 
-def fit_network(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> dict[str, np.ndarray]:
-    """Two-layer network (tanh, logistic) by Adam; every CALIBRATE-th row only sets the temperature."""
+def fit_network(x: np.ndarray, y: np.ndarray, seed: int = SEED, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Two-layer network (tanh, logistic) by Adam; every CALIBRATE-th row only sets the temperature.  A row's loss counts
+    ``weight`` times (once without), in both."""
     mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(DIM + EXTRAS), np.ones(DIM + EXTRAS))
     rng = np.random.default_rng(seed)
     p = {"w1": rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), "b1": np.zeros(HIDDEN),
@@ -157,6 +158,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> dict[str, np.
         net["w2"] = np.zeros(HIDDEN)
         return net
     z = (x - mean) / scale
+    weight = np.ones(len(x)) if weight is None else weight / weight.mean()
     check = np.arange(len(x)) % CALIBRATE == CALIBRATE - 1
     fit = np.flatnonzero(~check)
     m, v, t = {k: 0 * a for k, a in p.items()}, {k: 0 * a for k, a in p.items()}, 0
@@ -165,7 +167,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> dict[str, np.
         for i in range(0, len(order), BATCH):
             rows = order[i:i + BATCH]
             h = np.tanh(z[rows] @ p["w1"] + p["b1"])
-            err = (1 / (1 + np.exp(-np.clip(h @ p["w2"] + p["b2"], -30, 30))) - y[rows]) / len(rows)
+            err = weight[rows] * (1 / (1 + np.exp(-np.clip(h @ p["w2"] + p["b2"], -30, 30))) - y[rows]) / len(rows)
             back = np.outer(err, p["w2"]) * (1 - h * h)
             g = {"w1": z[rows].T @ back + DECAY * p["w1"], "b1": back.sum(axis=0), "w2": h.T @ err + DECAY * p["w2"], "b2": err.sum(keepdims=True)}
             t += 1
@@ -177,7 +179,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> dict[str, np.
     if check.any():
         logit, target = network_logits(x[check], net), y[check]
         temperatures = np.exp(np.linspace(-2, 3, 101))
-        loss = [np.mean(np.logaddexp(0, logit / s) - target * logit / s) for s in temperatures]
+        loss = [np.average(np.logaddexp(0, logit / s) - target * logit / s, weights=weight[check]) for s in temperatures]
         net["temperature"] = np.array([temperatures[int(np.argmin(loss))]])
     return net
 
@@ -201,10 +203,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     seen = labels.select(col(id_col).alias("id"), F.col("quality").cast("int").alias("quality"),
                          remainder_of_id(col(id_col), folds).alias("fold")).where(F.col("fold") != held)
     chosen = bounded_sample(seen, "quality", fit_rows)
-    got = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["id"]).dropDuplicates(["doc_id"]).select("doc_id", "x", "quality")
+    got = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["id"]).dropDuplicates(["doc_id"]).select("doc_id", "x", "quality", "weight")
     got = got.orderBy(F.xxhash64("doc_id")).toPandas()
     x = np.stack(got["x"].to_numpy()).astype(float) if len(got) else np.zeros((0, DIM + EXTRAS))
-    net = spark.sparkContext.broadcast(fit_network(x, got["quality"].to_numpy(dtype=float)))
+    net = spark.sparkContext.broadcast(fit_network(x, got["quality"].to_numpy(dtype=float), weight=got["weight"].to_numpy(dtype=float)))
     kind = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -209,17 +209,19 @@ def likelihood_features(docs: DataFrame, model, id_col: str = "doc_id", text_col
     return docs.select(col(id_col), col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, scale, weights with the intercept last) of a ridge-penalised logistic regression by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, scale, weights with the intercept last) of a ridge-penalised logistic regression by Newton steps.  A row counts
+    ``weight`` times (once without)."""
     if not len(y):
         return np.zeros(x.shape[1]), np.ones(x.shape[1]), np.zeros(x.shape[1] + 1)
+    weight = np.ones(len(y)) if weight is None else weight
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w = np.zeros(z.shape[1])
     penalty = np.diag([*[ridge] * x.shape[1], 1e-3])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((z * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ z + penalty, z.T @ (weight * (y - p)) - penalty @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -227,9 +229,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 
 
 def bounded_sample(labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(id, <label>) of at most ``rows`` labelled ids a class, in the order of a hash of the id."""
+    """(id, <label>, weight) of at most ``rows`` labelled ids a class, in the order of a hash of the id.  ``weight`` is how many
+    labelled ids of its class an id stands for, so that weighted rows have the classes' shares of all labels."""
     one = labels.where(F.col("id").isNotNull() & F.col(label).isNotNull()).groupBy("id").agg(F.max(label).alias(label))
-    parts = [one.where(F.col(label) == v).orderBy(F.xxhash64("id"), "id").limit(rows) for v in (0, 1)]
+    size = {r[0]: r[1] for r in one.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
+    parts = [one.where(F.col(label) == v).orderBy(F.xxhash64("id"), "id").limit(rows)
+             .withColumn("weight", F.lit(max(1.0, size.get(v, 0) / max(rows, 1)))) for v in (0, 1)]
     return parts[0].unionByName(parts[1])
 
 
@@ -251,8 +256,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     model = spark.sparkContext.broadcast(fit_models(five))
     feats = scratch(likelihood_features(docs, model, id_col, text_col), "toxic-features")
     chosen = bounded_sample(seen.where(F.col("fold") == tune), "toxic", fit_rows)
-    got = feats.join(F.broadcast(chosen), feats["doc_id"] == chosen["id"]).dropDuplicates(["doc_id"]).select(*FEATURES, "toxic").toPandas()
-    mean, scale, w = fit_logistic(got[list(FEATURES)].to_numpy(dtype=float), got["toxic"].to_numpy(dtype=float))
+    got = feats.join(F.broadcast(chosen), feats["doc_id"] == chosen["id"]).dropDuplicates(["doc_id"]).select(*FEATURES, "toxic", "weight").toPandas()
+    mean, scale, w = fit_logistic(got[list(FEATURES)].to_numpy(dtype=float), got["toxic"].to_numpy(dtype=float), weight=got["weight"].to_numpy(dtype=float))
     logit = F.lit(float(w[-1]))
     for f, m, s, v in zip(FEATURES, mean, scale, w, strict=False):
         logit = logit + (F.col(f) - float(m)) / float(s) * float(v)

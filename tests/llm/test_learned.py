@@ -156,3 +156,20 @@ def test_network_is_calibrated():
     for low in (0.0, 0.25, 0.5, 0.75):
         some = (p >= low) & (p < low + 0.25)
         assert abs(p[some].mean() - y[4000:][some].mean()) < 0.08
+
+
+def test_a_capped_sample_keeps_the_class_shares(spark):
+    rng = random.Random(4)
+    # Texts that tell nothing: calibrated scores are near the share of the class, whatever the cap cuts.
+    docs = spark.createDataFrame([(i, frames.sentence(rng, 40), "en", "s", 0) for i in range(1200)], frames.SCHEMA)
+    labels = spark.createDataFrame([(i, int(rng.random() < 0.8), int(rng.random() < 0.1)) for i in range(1200)], "doc_id long, quality int, toxic int")
+    sample = toxicity.bounded_sample(labels.select(F.col("doc_id").alias("id"), "toxic"), "toxic", 20).collect()
+    assert Counter(r.toxic for r in sample) == {0: 20, 1: 20}
+    assert {t: 20 * next(r.weight for r in sample if r.toxic == t) for t in (0, 1)} == pytest.approx({r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()})
+    toxic = toxicity.toxicity_scores(docs, labels, fit_rows=20).agg(F.avg("score")).first()[0]
+    assert toxic < 0.25  # 0.5 without weights
+    x, y = np.random.default_rng(0).normal(size=(6000, quality_model.DIM + quality_model.EXTRAS)), np.arange(6000) % 2
+    net = quality_model.fit_network(x, y.astype(float), weight=np.where(y == 1, 8.0, 2.0))
+    assert (1 / (1 + np.exp(-quality_model.network_logits(x, net) / net["temperature"]))).mean() > 0.7
+    quality = quality_model.quality_scores(docs, labels, fit_rows=100).agg(F.avg("score")).first()[0]
+    assert quality > 0.65
