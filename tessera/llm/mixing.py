@@ -7,6 +7,8 @@ is sampled with a probability proportional to its cell's weight per token, by a
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,6 +18,9 @@ from tessera.llm.common import SPACE_CLASS, SPACES, col, join_groups, keep_ids,
 ATTRS = ("source", "lang", "topic")
 #: Default targets: a level's share of all tokens, raised to ALPHA and normalised.  Share of all tokens that a sample has: KEEP.
 ALPHA, KEEP, TOLERANCE, MAX_SWEEPS, SEED = 0.8, 0.5, 1e-5, 60, 17
+#: Where a level has too few tokens for its target, the sample is so small that this share of them is enough.  After sweeps that
+#: don't end, the sample shrinks by SHRINK, ROUNDS times at most.
+ROOM, SHRINK, ROUNDS = 0.98, 0.8, 8
 
 
 def text_form(text: Column, n_words: Column, chars: Column) -> Column:
@@ -97,11 +102,75 @@ def inclusion_scale(raked: DataFrame, keep: float) -> float:
         c = new
 
 
+def rake_within(cells: DataFrame, targets: dict[str, DataFrame], keep: float, tolerance: float = TOLERANCE) -> tuple[DataFrame, float, float]:
+    """(``cells`` that have tokens with ``probability``, share of all tokens kept, largest relative gap of a marginal).
+
+    Raking under the bound probability <= 1: a cell's weight grows on behind the bound, but counts with no more than its tokens, so
+    what a cell kept whole lacks is made up for by the free cells of the same level.  A sweep moves every level by one Newton step
+    towards its target.  The share is ``keep``, or as much less as the marginals need: no target may exceed the
+    level's tokens, and sweeps that run out are tried again with a smaller share.  If they run out every time, the
+    targets contradict each other, which a warning tells, level by level; the result is then that of the first share."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
+    start = cells.where("tokens > 0").withColumn("cap", F.col("tokens") / F.lit(total))
+    for attr in ATTRS:
+        start = start.join(targets[attr].withColumnRenamed("target", f"target_{attr}"), attr)
+        most = start.groupBy(attr, f"target_{attr}").agg(F.sum("cap").alias("cap")).where(f"target_{attr} > 0")
+        most = most.agg(F.min(F.col("cap") / F.col(f"target_{attr}"))).first()[0]
+        keep = keep if most is None else min(keep, ROOM * most)
+    start = scratch(start, "rake")
+    first = None
+    for _ in range(ROUNDS):
+        now, gap = _sweeps_within(start, keep, tolerance)
+        first = first or (now, keep, gap)
+        if gap < tolerance:
+            break
+        keep *= SHRINK
+    else:
+        now, keep, gap = first
+        warnings.warn(f"mixing: the targets contradict each other, after {MAX_SWEEPS} sweeps these shares are off: {marginal_gaps(now, tolerance)}", stacklevel=2)
+    return now.select(*ATTRS, "tokens", "docs", F.least(F.lit(1.0), F.col("weight") / F.col("cap")).alias("probability")), keep, gap
+
+
+def _sweeps_within(start: DataFrame, keep: float, tolerance: float) -> tuple[DataFrame, float]:
+    now, worst = start.withColumn("weight", F.col("cap") * F.lit(float(keep))), 0.0
+    for _ in range(MAX_SWEEPS):
+        nxt = now.withColumn("off", F.lit(0.0))
+        for attr in ATTRS:
+            level = W.partitionBy(attr)
+            nxt = (nxt.withColumn("held", F.sum(F.least("weight", "cap")).over(level))
+                   .withColumn("free", F.sum(F.when(F.col("weight") < F.col("cap"), F.col("weight")).otherwise(0.0)).over(level))
+                   .withColumn("want", F.col(f"target_{attr}") * F.lit(float(keep))))
+            want, held, free = F.col("want"), F.col("held"), F.col("free")
+            # The sum is concave in the factor: a Newton step from below stays below, one from above may go too far.
+            factor = (F.when((want <= 0) | (held <= 0), 0.0).when(free <= 0, F.least(F.lit(1.0), want / held))
+                      .otherwise(F.least(F.lit(1e6), F.greatest(1 + (want - held) / free, want / held / 2))))
+            nxt = (nxt.withColumn("off", F.greatest("off", F.when(want > 0, F.abs(held / want - 1)).otherwise(0.0)))
+                   .withColumn("weight", F.col("weight") * factor))
+        nxt = scratch(nxt.drop("held", "free", "want"), "rake")
+        worst = nxt.agg(F.max("off")).first()[0] or 0.0
+        now = nxt.drop("off")
+        if worst < tolerance:
+            break
+    return now, worst
+
+
+def marginal_gaps(raked: DataFrame, tolerance: float, most: int = 10) -> dict[str, list[tuple[str, float, float]]]:
+    """By attribute, the ``most`` levels (level, target, share in the sample) that are furthest off by more than ``tolerance``."""
+    mass = F.least("weight", "cap")
+    total, out = raked.agg(F.sum(mass)).first()[0] or 1.0, {}
+    for attr in ATTRS:
+        got = raked.groupBy(attr, F.col(f"target_{attr}").alias("target")).agg((F.sum(mass) / F.lit(total)).alias("share"))
+        got = got.withColumn("gap", F.abs(F.col("share") - F.col("target"))).where(F.col("gap") > F.lit(tolerance) * F.col("target"))
+        out[attr] = [(r[0], r.target, r.share) for r in got.orderBy(F.desc("gap"), attr).limit(most).collect()]
+    return out
+
+
 def mixing_weights(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None = None, alpha: float = ALPHA,
-                   keep: float = KEEP, **cols: str) -> DataFrame:
+                   keep: float = KEEP, meet: bool = False, **cols: str) -> DataFrame:
     """One row per row of ``docs``: doc_id, ATTRS, tokens, probability, kept.
 
-    Probabilities are proportional to weight per token, 1 at most, and scaled so that the sample has ``keep`` of all tokens on
+    With ``meet`` the sample's expected marginals meet the targets and it has ``keep`` of all tokens, or as much less as they need
+    (``rake_within``; contradicting targets give a warning).  Without it the sample's size comes first: probabilities are proportional to weight per token, 1 at most, and scaled so that the sample has ``keep`` of all tokens on
     average.  Where no cell reaches 1 the sample's expected marginals meet the targets; cells that would need more than
     all their documents are kept whole and fall short.  Documents without words have no tokens to weigh; they are in no marginal and are kept.
     Nulls: see ``mixing_rows``; a null id has a hash like any other id and rows of one id share their fate.
@@ -111,9 +180,13 @@ def mixing_weights(docs: DataFrame, targets: dict[str, dict[str, float] | None]
     cells = scratch(rows.groupBy(*ATTRS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mix-cells")
     wanted = targets or {}
     shares = {a: scratch(target_shares(cells, a, wanted.get(a), alpha), f"mix-target-{a}") for a in ATTRS}
-    raked = rake(cells, shares).withColumn("ratio", F.col("weight") / F.col("tokens"))
-    raked = scratch(raked, "mix-raked")
-    chance = F.least(F.lit(1.0), F.col("ratio") * F.lit(inclusion_scale(raked, keep)))
+    if meet:
+        raked, _, _ = rake_within(cells, shares, keep)
+        chance = F.col("probability")
+    else:
+        raked = rake(cells, shares).withColumn("ratio", F.col("weight") / F.col("tokens"))
+        raked = scratch(raked, "mix-raked")
+        chance = F.least(F.lit(1.0), F.col("ratio") * F.lit(inclusion_scale(raked, keep)))
     prob = scratch(raked.select(*ATTRS, "docs", chance.alias("probability"))
                    .unionByName(cells.where("tokens = 0").select(*ATTRS, "docs", F.lit(1.0).alias("probability"))), "mix-probability")
     total = cells.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
@@ -129,4 +202,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **args) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mixing_weights(docs, {"lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}})
+    return mixing_weights(docs, {"lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}}, meet=True)

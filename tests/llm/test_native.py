@@ -170,6 +170,40 @@ def test_mixing_probabilities_match_proportional_fitting(spark):
     assert abs(kept - sum(r.probability for r in got)) < 60 and kept == mixing.mix(docs, targets=wanted).count()
 
 
+def _shares(rows, level):
+    mass = Counter()
+    for r in rows:
+        mass[r[level]] += r.tokens * r.probability
+    return {k: v / sum(mass.values()) for k, v in mass.items()}
+
+
+def test_mixing_meets_its_targets_where_cells_are_kept_whole(spark):
+    rng = random.Random(2)
+    rows = [(i, frames.sentence(rng, rng.choice([30, 150, 400])), rng.choice(["en", "en", "de", "fr"]), rng.choice("aaaab"), 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, frames.SCHEMA)
+    for b, size in ((0.35, mixing.KEEP), (0.5, None)):  # source b has about 0.2 of the tokens: half of all would need 0.25
+        wanted = {"lang": {"en": 0.5, "de": 0.25, "fr": 0.25}, "source": {"a": 1 - b, "b": b}}
+        got = mixing.mixing_weights(docs, wanted, meet=True).collect()
+        assert max(r.probability for r in got) == 1 and len(got) == len(rows)
+        assert _shares(got, "lang") == pytest.approx(wanted["lang"], abs=1e-4)
+        assert _shares(got, "source") == pytest.approx(wanted["source"], abs=1e-4)
+        tokens = Counter()
+        for r in got:
+            tokens[r.topic] += r.tokens
+        topics = {t: n ** mixing.ALPHA for t, n in tokens.items()}
+        assert _shares(got, "topic") == pytest.approx({t: v / sum(topics.values()) for t, v in topics.items()}, abs=1e-4)
+        kept = sum(r.tokens * r.probability for r in got) / sum(tokens.values())
+        assert kept == pytest.approx(size, rel=1e-4) if size else 0.3 < kept < mixing.KEEP
+
+
+def test_mixing_tells_of_targets_that_contradict(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROUNDS", 1)
+    monkeypatch.setattr(mixing, "MAX_SWEEPS", 5)
+    docs = spark.createDataFrame([(i, "one two three", "en" if i % 2 else "de", "a" if i % 2 else "b", 0) for i in range(20)], frames.SCHEMA)
+    with pytest.warns(UserWarning, match="contradict"):
+        mixing.mixing_weights(docs, {"lang": {"en": 0.3, "de": 0.7}, "source": {"a": 0.6, "b": 0.4}}, meet=True)
+
+
 def test_mixing_on_odd_rows(spark):
     docs = frames.odd_docs(spark, CLASH)
     got = mixing.mixing_weights(docs).collect()
