@@ -17,15 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import col, remainder_of_id, scratch, small_batches, table
 from tessera.llm.minhash import mix64
 
 ORDER, BITS, DISCOUNT = 5, 20, 0.75
-#: At most so many labelled documents a class, taken in the order of a hash of their id: for counting, and for calibration.
-COUNT_ROWS, FIT_ROWS = 20_000, 10_000
+#: At most so many labelled documents a class, taken in the order of a hash of their id, calibrate.  Counting has no bound.
+FIT_ROWS = 10_000
 #: A word adds to the excess what its log ratio has beyond this.
 STRONG = 2.0
 FEATURES = ("mean_ratio", "log_excess", "top_ratio", "excess_share", "log_words")
@@ -70,22 +70,31 @@ def contexts(words: list[str]) -> list[np.ndarray]:
     return out
 
 
-def class_words(docs: DataFrame, id_col: str, text_col: str, marked: DataFrame) -> DataFrame:
-    """(word, toxic, ordinary): word counts of the documents in ``marked`` (id, toxic), which has a bounded size."""
+def class_words(docs: DataFrame, id_col: str, text_col: str, marked: DataFrame, may_be: Column | None = None) -> DataFrame:
+    """(word, toxic, ordinary): the words of all documents, with their counts in the documents that ``marked`` (id, toxic; an id
+    once) names.  Only documents that ``may_be`` (a condition on __id) allows are looked up there, the others' texts never move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter, Counter, Counter] = (Counter(), Counter(), Counter())  # ordinary, toxic, no label
         for batch in batches:
-            counts = (Counter(), Counter())
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                counts[toxic].update(words_in(text.as_py()))
-            words = list({**counts[0], **counts[1]})
-            for i in range(0, len(words), 100_000):
-                some = words[i:i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([counts[1][w] for w in some], pa.int64()),
-                                                  pa.array([counts[0][w] for w in some], pa.int64())], names=["word", "toxic", "ordinary"])
+                counts[2 if toxic is None else toxic].update(words_in(text.as_py()))
+            if sum(map(len, counts)) > 200_000:
+                yield from told(counts)
+                counts = (Counter(), Counter(), Counter())
+        yield from told(counts)
+
+    def told(counts: tuple[Counter, Counter, Counter]) -> Iterator[pa.RecordBatch]:
+        words = list({**counts[0], **counts[1], **counts[2]})
+        for i in range(0, len(words), 100_000):
+            some = words[i:i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([counts[1][w] for w in some], pa.int64()),
+                                              pa.array([counts[0][w] for w in some], pa.int64())], names=["word", "toxic", "ordinary"])
 
     slim = docs.select(col(id_col).alias("__id"), col(text_col).cast("string").alias("__text"))
-    rows = slim.join(F.broadcast(marked.select(F.col("id").alias("__id"), "toxic")), "__id").select("__text", F.col("toxic").cast("int"))
+    asked = F.col("__id").isNotNull() if may_be is None else F.col("__id").isNotNull() & may_be
+    rows = slim.where(asked).join(marked.select(F.col("id").alias("__id"), "toxic"), "__id", "left").select("__text", F.col("toxic").cast("int"))
+    rows = rows.unionByName(slim.where(~asked).select("__text", F.lit(None).cast("int").alias("toxic")))
     counts = rows.mapInArrow(run, "word string, toxic long, ordinary long")
     return counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
@@ -239,11 +248,12 @@ def bounded_sample(labels: DataFrame, label: str, rows: int) -> DataFrame:
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = 2,
-                    folds: int = 4, threshold: float = 0.3, count_rows: int = COUNT_ROWS, fit_rows: int = FIT_ROWS) -> DataFrame:
+                    folds: int = 4, threshold: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, toxic_ll, ordinary_ll (mean per word).
 
     ``labels`` has the id and ``toxic``; ids whose crc32 modulo ``folds`` is ``held`` are never learned from, the next
-    remainder calibrates and the others are counted.  Ids labelled twice take the larger label; null
+    remainder calibrates and all others are counted by class.  The shared lower orders, which know no label, count all documents,
+    held-out ones too.  Ids labelled twice take the larger label; null
     labels and ids are not learned from.  A null, empty or wordless text has no likelihoods (0) and gets the score of
     one, from the calibration.  Without any label the score is 0.5.  Repeated rows are scored each time.
     """
@@ -251,8 +261,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     seen = labels.select(col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic"),
                          remainder_of_id(col(id_col), folds).alias("fold")).where(F.col("fold") != held)
     tune = (held + 1) % folds
-    counted = scratch(bounded_sample(seen.where(F.col("fold") != tune), "toxic", count_rows), "toxic-sample")
-    five = scratch(gram_counts(class_words(docs, id_col, text_col, counted)), "toxic-grams")
+    counted = seen.where((F.col("fold") != tune) & F.col("id").isNotNull() & F.col("toxic").isin(0, 1))
+    counted = scratch(counted.groupBy("id").agg(F.max("toxic").alias("toxic")), "toxic-counted")
+    may_be = ~remainder_of_id(F.col("__id"), folds).isin(held, tune)
+    five = scratch(gram_counts(class_words(docs, id_col, text_col, counted, may_be)), "toxic-grams")
     model = spark.sparkContext.broadcast(fit_models(five))
     feats = scratch(likelihood_features(docs, model, id_col, text_col), "toxic-features")
     chosen = bounded_sample(seen.where(F.col("fold") == tune), "toxic", fit_rows)

@@ -111,6 +111,16 @@ def test_models_equal_a_plain_kneser_ney(spark):
         assert toxicity.log_likelihoods([w], model)[:, 0] == pytest.approx(plain(w), rel=1e-4)
 
 
+def test_all_documents_are_counted(spark):
+    docs = spark.createDataFrame([(1, "bad bad on"), (2, "on"), (3, "other on"), (3, "other"), (None, "nobody"), (4, "unasked"), (5, None)], "doc_id long, text string")
+    marked = spark.createDataFrame([(1, 1), (2, 0), (4, 1), (9, 0)], "id long, toxic int")
+    got = toxicity.class_words(docs.repartition(3), "doc_id", "text", marked, F.col("__id") != 4).collect()
+    assert {r.word: (r.toxic, r.ordinary) for r in got} == {"bad": (2, 0), "on": (1, 1), "other": (0, 0), "nobody": (0, 0), "unasked": (0, 0)}
+    five = toxicity.gram_counts(spark.createDataFrame(got)).collect()
+    assert len(five) == len({("^^^^" + r.word + "$")[i:i + 5] for r in got for i in range(len(r.word) + 1)})
+    assert not hasattr(toxicity, "COUNT_ROWS")
+
+
 def test_quality_finds_held_out_documents(spark):
     docs, labels, known = _frames(spark)
     got = {r.doc_id: r for r in quality_model.quality_scores(docs, labels).collect()}
