@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, exact_dedup, line_dedup, minhash, mixing, packing, quality_model, quality_rules, suffix_dedup, toxicity
+from tessera.llm import chat, exact_dedup, line_dedup, minhash, mixing, packing, quality_model, quality_rules, repair, resharding, spelling, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_minhash": minhash.op10_minhash,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_resharding": resharding.op12_resharding,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
 
 ORACLES = {
