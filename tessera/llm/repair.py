@@ -44,9 +44,11 @@ def damage(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), changed.alias("text"))
 
 
-def ordered_rows(rows: DataFrame) -> DataFrame:
-    """``rows`` (conv_id, turn, role, text) with key (the conversation, never null), pos (from 0), count, fault (blank, duplicate,
-    truncated or null) and symbol.  Rows are taken by turn, nulls first, ties by role and text.
+def ordered_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((conv_id, key, g, role, text), (key, g, turn, pos, count, fault, symbol)) of ``rows`` (conv_id, turn, role, text).
+
+    ``key`` is the conversation, never null, ``g`` a number that grows with the order, ``pos`` the place in the conversation (from 0), ``count`` its
+    rows, ``fault`` blank, duplicate, truncated or null.  Rows are taken by turn, nulls first, ties by role and text.
 
     Sorted as a whole in ranges, so that a long conversation lies in many parts; positions come from counts per part."""
     key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
@@ -59,7 +61,7 @@ def ordered_rows(rows: DataFrame) -> DataFrame:
     placed = scratch(placed.select("conv_id", "key", "turn", "role", "text", F.monotonically_increasing_id().alias("g"), same.alias("same"), last.alias("last")), "repair-sorted")
     discard(rows)
 
-    slim = placed.select("key", "g", F.shiftright("g", 33).alias("part"), "same", "last", F.substring("role", 1, 1).alias("initial"))
+    slim = placed.select("key", "turn", "g", F.shiftright("g", 33).alias("part"), "same", "last", F.substring("role", 1, 1).alias("initial"))
     counts = scratch(slim.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")), "repair-parts")
     whole = W.partitionBy("key")
     counts = counts.select("key", "part", (F.sum("n").over(whole.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("count"))
@@ -73,8 +75,8 @@ def ordered_rows(rows: DataFrame) -> DataFrame:
     slim = slim.withColumn("fault", fault).withColumn("kind", kind)
     pick = lambda letters: F.substring(F.lit(letters), F.col("kind"), F.lit(1))
     symbol = F.when(F.col("fault") == "truncated", pick(CUT)).when(F.col("fault").isNotNull(), pick(GONE)).otherwise(pick(SOUND))
-    slim = scratch(slim.select("g", (F.col("before") + F.col("k") - 1).alias("pos"), "count", "fault", symbol.alias("symbol")), "repair-slim")
-    return placed.select("conv_id", "key", "turn", "role", "text", "g").join(slim, "g")
+    slim = scratch(slim.select("key", "turn", "g", (F.col("before") + F.col("k") - 1).alias("pos"), "count", "fault", symbol.alias("symbol")), "repair-slim")
+    return placed.select("conv_id", "key", "g", "role", "text"), slim
 
 
 # --- the dynamic program over a block: a string of symbols
@@ -205,11 +207,11 @@ def _gathered(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("block", *columns))).alias("blocks"))
 
 
-def block_edits(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((key, block, start, edits, tokens), (key, cost, illegal)) for ``rows`` of ``ordered_rows``."""
+def block_edits(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((key, block, start, edits, tokens), (key, cost, illegal)) for ``slim`` of ``ordered_rows``; ``start`` is the first row's g."""
     length = F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.sqrt("count"))).cast("long")
-    cut = rows.select("key", "pos", "symbol", F.floor(F.col("pos") / length).cast("long").alias("block"))
-    blocks = cut.groupBy("key", "block").agg(F.min("pos").alias("start"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "symbol"))), lambda x: x["symbol"]), "").alias("symbols"))
+    cut = slim.select("key", "g", "symbol", F.floor(F.col("pos") / length).cast("long").alias("block"))
+    blocks = cut.groupBy("key", "block").agg(F.min("g").alias("start"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "symbol"))), lambda x: x["symbol"]), "").alias("symbols"))
     blocks = scratch(blocks, "repair-blocks")
     matrices = _rows(blocks.select("key", "block", "symbols"), _matrices, "key string, block long, matrix array<long>, illegal long, ends string")
     points = scratch(_rows(_gathered(matrices, "matrix", "illegal", "ends"), _checkpoints, "key string, block long, vector array<long>, last boolean, cost long, illegal long"), "repair-checkpoints")
@@ -221,11 +223,11 @@ def block_edits(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def repaired_lines(rows: DataFrame, edits: DataFrame) -> DataFrame:
-    """(key, pos, kind, tokens, role, text) sorted by key, pos and kind within partitions by key: a block's tokens (kind 0) come before its rows."""
-    tokens = edits.select("key", F.col("start").alias("pos"), F.lit(0).alias("kind"), "tokens", F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"))
-    lines = rows.select("key", "pos", F.lit(1).alias("kind"), F.lit(None).cast("array<string>").alias("tokens"), "role", "text")
+    """(key, g, kind, tokens, role, text) sorted by key, g and kind within partitions by key: a block's tokens (kind 0) come before its rows."""
+    tokens = edits.select("key", F.col("start").alias("g"), F.lit(0).alias("kind"), "tokens", F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"))
+    lines = rows.select("key", "g", F.lit(1).alias("kind"), F.lit(None).cast("array<string>").alias("tokens"), "role", "text")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tokens.unionByName(lines).repartition(parts, "key").sortWithinPartitions("key", "pos", "kind")
+    return tokens.unionByName(lines).repartition(parts, "key").sortWithinPartitions("key", "g", "kind")
 
 
 def _repairs(role: str | None, text: str | None, token: str) -> list[str]:
@@ -243,7 +245,7 @@ def repaired_digests(rows: DataFrame, edits: DataFrame) -> DataFrame:
     """(key, repaired_sha256): the hash runs over a conversation's lines as they stream by, whatever its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, digest, some, tokens, start = None, hashlib.sha256(), False, [], 0
+        at, digest, some, tokens, row = None, hashlib.sha256(), False, [], 0
 
         def add(lines: list[str]) -> None:
             nonlocal some
@@ -258,15 +260,16 @@ def repaired_digests(rows: DataFrame, edits: DataFrame) -> DataFrame:
                 done.append((at, digest.hexdigest()))
 
         for batch in batches:
-            for key, pos, kind, given, role, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for key, kind, given, role, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if key != at:
                     close()
                     at, digest, some = key, hashlib.sha256(), False
                 if kind == 0:
-                    tokens, start = given, pos
+                    tokens, row = given, 0
                     continue
-                add(_repairs(role, text, tokens[pos - start]))
-                if pos - start == len(tokens) - 2:  # a block's last row: what is inserted behind it
+                add(_repairs(role, text, tokens[row]))
+                row += 1
+                if row == len(tokens) - 1:  # a block's last row: what is inserted behind it
                     add(_repairs(None, None, tokens[-1]))
             if done:
                 yield frame(done)
@@ -278,21 +281,21 @@ def repaired_digests(rows: DataFrame, edits: DataFrame) -> DataFrame:
     def frame(done: list[tuple[str, str]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.string()) for i in range(2)], names=["key", "repaired_sha256"])
 
-    return repaired_lines(rows, edits).select("key", "pos", "kind", "tokens", "role", "text").mapInArrow(run, "key string, repaired_sha256 string")
+    return repaired_lines(rows, edits).select("key", "kind", "tokens", "role", "text").mapInArrow(run, "key string, repaired_sha256 string")
 
 
 def repaired_turns(turns: DataFrame) -> DataFrame:
     """(conv_id, k, role, text): the rows of every conversation of ``turns`` (conv_id, turn, role, text) after its repair, in order.
 
     Nothing is damaged here first; nulls in role and text are one space."""
-    rows = scratch(ordered_rows(turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit(" ")).alias("role"),
-                                             F.coalesce(F.col("text").cast("string"), F.lit(" ")).alias("text"))), "repair-rows")
-    edits, _ = block_edits(rows)
-    tokens = edits.select("key", F.col("start"), F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token"))
-    per_row = tokens.select("key", (F.col("start") + F.col("i")).alias("pos"), "token")
-    found = rows.select("key", "conv_id", "pos", "role", "text").join(per_row, ["key", "pos"], "right")
-    ids = rows.groupBy("key").agg(F.max("conv_id").alias("conv_id"))
-    found = found.drop("conv_id").join(ids, "key")
+    rows, slim = ordered_rows(turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit(" ")).alias("role"),
+                                           F.coalesce(F.col("text").cast("string"), F.lit(" ")).alias("text")))
+    edits, _ = block_edits(slim)
+    first = slim.select("key", F.col("g").alias("start"), F.col("pos").alias("first"))
+    tokens = edits.join(first, ["key", "start"]).select("key", "first", F.posexplode("tokens").alias("i", "token"))
+    per_row = tokens.select("key", (F.col("first") + F.col("i")).alias("pos"), "token")
+    found = rows.join(slim.select("g", "pos"), "g").select("key", "pos", "role", "text").join(per_row, ["key", "pos"], "right")
+    found = found.join(rows.groupBy("key").agg(F.max("conv_id").alias("conv_id")), "key")
     inserted = F.filter(F.split("token", ""), lambda c: c.isin("u", "a"))
     name = lambda c: F.when(c == "u", "user").otherwise("assistant")
     made = F.transform(inserted, lambda c, i: F.struct(i.alias("i"), name(c).alias("role"), F.lit("").alias("text")))
@@ -313,10 +316,10 @@ def repair_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     """
     ids = turns.select(col(conv).alias("conv_id")).distinct()
     damaged = damage(small_batches(turns), conv, turn, role, text)
-    rows = scratch(ordered_rows(damaged), "repair-rows")
-    edits, costs = block_edits(rows)
-    named = rows.groupBy("key").agg(*[F.count(F.when(F.col("fault") == f, 1)).alias(f) for f in ("blank", "duplicate", "truncated")])
-    by_turn = rows.groupBy("key", "turn").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+    rows, slim = ordered_rows(damaged)
+    edits, costs = block_edits(slim)
+    named = slim.groupBy("key").agg(*[F.count(F.when(F.col("fault") == f, 1)).alias(f) for f in ("blank", "duplicate", "truncated")])
+    by_turn = slim.groupBy("key", "turn").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
         F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count("turn"), F.lit(0)).cast("long").alias("gaps"))
     audit = edits.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "edits"))), lambda x: x["edits"]), "").alias("audit"))
     told = named.join(by_turn, "key").join(costs, "key").join(audit, "key").join(repaired_digests(rows, edits), "key")
