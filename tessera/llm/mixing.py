@@ -1,14 +1,18 @@
 """Mixing by iterative proportional fitting: token weights raked to source, language and topic marginals.
 
-Tokens are added up per (source, language, topic) cell.  Each sweep scales the cell weights to the target share of
-every source, then of every language, then of every topic, until all three marginals hold.  A document
-is sampled with a probability proportional to its cell's weight per token, by a hash of its id.
+Tokens are added up per (source, language, topic) cell.  The targets are first fitted to the tokens at hand: no level may be asked for more
+than all its tokens, what it cannot take is shared out to the other levels.  Then each sweep scales the cell weights to the
+target of every source, of every language and of every topic, until all three marginals hold; a cell gives no more than its tokens.  A
+document is sampled with its cell's probability, by a hash of its id.
 """
 
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,10 +21,14 @@ from tessera.llm.common import SPACE_CLASS, SPACES, col, join_groups, keep_ids,
 
 ATTRS = ("source", "lang", "topic")
 #: Default targets: a level's share of all tokens, raised to ALPHA and normalised.  Share of all tokens that a sample has: KEEP.
-ALPHA, KEEP, TOLERANCE, MAX_SWEEPS, SEED = 0.8, 0.5, 1e-5, 60, 17
-#: Where a level has too few tokens for its target, the sample is so small that this share of them is enough.  After sweeps that
-#: don't end, the sample shrinks by SHRINK, ROUNDS times at most.
-ROOM, SHRINK, ROUNDS = 0.98, 0.8, 8
+ALPHA, KEEP, TOLERANCE, SEED = 0.8, 0.5, 1e-4, 17
+#: A target is at most this share of what its level could give.  Sweeps are run so many at a time, and so often at most; they end
+#: earlier when so many sweeps have not brought the largest gap below STALLED of what it was.
+ROOM, SWEEPS, RUNS, STALLED = 0.98, 5, 12, 0.7
+#: Default targets that contradict each other are drawn towards the tokens' own shares, which always agree, by half each time.
+DRAWS = 4
+#: Up to so many cells are swept as arrays in one task, which spares all shuffles; more are spread over the tasks.
+FEW_CELLS = 100_000
 
 
 def text_form(text: Column, n_words: Column, chars: Column) -> Column:
@@ -47,147 +55,194 @@ def mixing_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select("doc_id", *ATTRS, "tokens")
 
 
-def target_shares(cells: DataFrame, attr: str, wanted: dict[str, float] | None, alpha: float = ALPHA) -> DataFrame:
-    """(attr, target): shares that sum to 1 over the levels which have tokens.  Levels that ``wanted`` doesn't name
-    share what it leaves over (nothing if it sums to 1), by their tokens; without ``wanted`` shares are tempered by ``alpha``."""
-    sums = cells.groupBy(attr).agg(F.sum("tokens").cast("double").alias("t"))
-    if wanted is None:
-        raw = sums.withColumn("raw", F.pow("t", alpha))
-    else:
-        named = F.lit(None).cast("double")
-        for level, share in wanted.items():
-            named = F.when(F.col(attr) == level, F.lit(float(share))).otherwise(named)
-        rest = sums.withColumn("named", named)
-        left = rest.where("named is null").agg(F.sum("t").alias("free"))
-        spare = max(0.0, 1.0 - sum(wanted.values()))
-        raw = rest.crossJoin(F.broadcast(left)).withColumn("raw", F.coalesce("named", F.lit(spare) * F.col("t") / F.col("free")))
-    whole = raw.agg(F.sum("raw").alias("whole"))  # one row
-    return raw.crossJoin(F.broadcast(whole)).select(attr, (F.col("raw") / F.col("whole")).alias("target"))
-
-
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE) -> DataFrame:
-    """``cells`` (ATTRS, tokens, docs) with ``weight``: the share of all tokens the cell should have.
-
-    Stops when every marginal is within ``tolerance`` of its target; if the targets contradict each other (a level with a
-    target but no cell that may hold it) it stops after MAX_SWEEPS, with the topic marginal exact."""
-    total = cells.agg(F.sum("tokens")).first()[0]
-    now = cells.where("tokens > 0").withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
+def level_targets(cells: DataFrame, wanted: dict[str, dict[str, float] | None], keep: float, alpha: float = ALPHA) -> tuple[DataFrame, float]:
+    """((attr, level, own, asked, target), share of tokens kept): shares of every level that has tokens.
+
+    ``own`` is the level's share of all tokens, ``asked`` what is wanted: levels that ``wanted[attr]`` doesn't name share what it leaves over
+    (nothing if it sums to 1), by their tokens; without ``wanted[attr]`` shares are tempered by ``alpha``.  ``target`` is ``asked``
+    bounded by ROOM of what the level can give to a sample of ``keep`` (its own share if that is more), the rest shared out in proportion to ``asked`` until
+    nothing is over.  Where all levels asked for together cannot fill the sample, it is that much smaller."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
+    level = F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(a).alias("level")) for a in ATTRS])).alias("x")
+    sums = cells.where("tokens > 0").select(level, "tokens").groupBy("x.attr", "x.level").agg((F.sum("tokens") / total).alias("own"))
+    raw = F.pow("own", alpha)
     for attr in ATTRS:
-        now = now.join(targets[attr].withColumnRenamed("target", f"target_{attr}"), attr)
-    now = scratch(now, "rake")
-    for _ in range(MAX_SWEEPS):
-        nxt = now.withColumn("off", F.lit(0.0))
-        for attr in ATTRS:  # a window over cells, which are few beside documents
-            nxt = nxt.withColumn("factor", F.col(f"target_{attr}") / F.sum("weight").over(W.partitionBy(attr)))
-            nxt = nxt.withColumn("off", F.greatest("off", F.abs(F.col("factor") - 1))).withColumn("weight", F.col("weight") * F.col("factor"))
-        nxt = scratch(nxt.drop("factor"), "rake")
-        worst = nxt.agg(F.max("off")).first()[0]
-        now = nxt.drop("off")
-        if worst is None or worst < tolerance:
+        if wanted.get(attr) is not None:
+            named = F.lit(None).cast("double")
+            for name, share in wanted[attr].items():
+                named = F.when(F.col("level") == name, F.lit(float(share))).otherwise(named)
+            spare = F.lit(max(0.0, 1.0 - sum(wanted[attr].values())))
+            free = F.sum(F.when(named.isNull(), F.col("own"))).over(W.partitionBy("attr"))
+            raw = F.when(F.col("attr") == attr, F.coalesce(named, spare * F.col("own") / free)).otherwise(raw)
+    levels = sums.withColumn("raw", raw)
+    levels = scratch(levels.withColumn("asked", F.col("raw") / F.sum("raw").over(W.partitionBy("attr"))).drop("raw"), "mix-levels")
+    most = {r.attr: r.m for r in levels.where("asked > 0").groupBy("attr").agg(F.sum("own").alias("m")).collect()}
+    keep = min([keep, *(ROOM * m for m in most.values())])
+    cap = F.least(F.lit(1.0), F.greatest(F.col("own"), F.lit(ROOM / keep) * F.col("own")))
+    scale = dict.fromkeys(ATTRS, 1.0)
+
+    def factor() -> Column:
+        out = F.lit(1.0)
+        for attr in ATTRS:
+            out = F.when(F.col("attr") == attr, F.lit(scale[attr])).otherwise(out)
+        return out
+
+    while True:  # the scale of an attribute only grows, and with it the levels at their bound
+        full = factor() * F.col("asked") >= cap
+        got = levels.where("asked > 0").groupBy("attr").agg(F.sum(F.when(full, cap).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("asked"))).alias("free")).collect()
+        new = {r.attr: (1 - r.full) / r.free if r.free > 1e-12 else scale[r.attr] for r in got}
+        if all(v <= scale[a] * (1 + 1e-9) for a, v in new.items()):
             break
-    return now.select(*ATTRS, "tokens", "docs", "weight")
-
-
-def inclusion_scale(raked: DataFrame, keep: float) -> float:
-    """The c for which documents drawn with probability min(1, c * weight / tokens) have ``keep`` of all tokens on average.
-
-    Each round takes the cells that are kept whole out of the sum; c only grows, so the rounds end."""
-    total, c = raked.agg(F.sum("tokens")).first()[0] or 0, None
-    while True:
-        full = F.lit(False) if c is None else F.lit(c) * F.col("weight") >= F.col("tokens")
-        got = raked.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("t"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("w")).first()
-        new = (keep * total - got.t) / got.w if got.w and keep * total > got.t else c
-        if new is None or new == c or (c is not None and new <= c * (1 + 1e-12)):
-            return c if c is not None else (new or 0.0)
-        c = new
+        scale = {a: max(scale[a], new.get(a, 1.0)) for a in ATTRS}
+    return scratch(levels.withColumn("target", F.least(cap, factor() * F.col("asked"))), "mix-targets"), keep
 
 
-def rake_within(cells: DataFrame, targets: dict[str, DataFrame], keep: float, tolerance: float = TOLERANCE) -> tuple[DataFrame, float, float]:
-    """(``cells`` that have tokens with ``probability``, share of all tokens kept, largest relative gap of a marginal).
+def rake_within(cells: DataFrame, wanted: dict[str, dict[str, float] | None], keep: float = KEEP, alpha: float = ALPHA,
+                tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame, float]:
+    """(``cells`` that have tokens with ``probability``, a report, share of all tokens kept).
 
     Raking under the bound probability <= 1: a cell's weight grows on behind the bound, but counts with no more than its tokens, so
-    what a cell kept whole lacks is made up for by the free cells of the same level.  A sweep moves every level by one Newton step
-    towards its target.  The share is ``keep``, or as much less as the marginals need: no target may exceed the
-    level's tokens, and sweeps that run out are tried again with a smaller share.  If they run out every time, the
-    targets contradict each other, which a warning tells, level by level; the result is then that of the first share."""
+    what a cell kept whole lacks is made up for by the free cells of the same level.  The targets are those of ``level_targets``; if the
+    attributes contradict each other, those without wishes are drawn towards the tokens' own shares.  If wishes still contradict, the
+    last weights are scaled to the share, and a warning tells.  The report has a row per level: attr, level, own, asked, target, share (in the sample), gap
+    (relative to target)."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
-    start = cells.where("tokens > 0").withColumn("cap", F.col("tokens") / F.lit(total))
-    for attr in ATTRS:
-        start = start.join(targets[attr].withColumnRenamed("target", f"target_{attr}"), attr)
-        most = start.groupBy(attr, f"target_{attr}").agg(F.sum("cap").alias("cap")).where(f"target_{attr} > 0")
-        most = most.agg(F.min(F.col("cap") / F.col(f"target_{attr}"))).first()[0]
-        keep = keep if most is None else min(keep, ROOM * most)
-    start = scratch(start, "rake")
-    first = None
-    for _ in range(ROUNDS):
-        now, gap = _sweeps_within(start, keep, tolerance)
-        first = first or (now, keep, gap)
-        if gap < tolerance:
+    levels, keep = level_targets(cells, wanted, keep, alpha)
+    free = [a for a in ATTRS if wanted.get(a) is None]
+    start, now, worst = cells.where("tokens > 0").withColumn("cap", F.col("tokens") / F.lit(total)), None, 0.0
+    for draw in range(DRAWS):
+        if draw:  # the last time to the own shares themselves
+            part = F.lit(1.0 if draw == DRAWS - 1 else 0.5)
+            drawn = F.col("target") + part * (F.col("own") - F.col("target"))
+            levels = scratch(levels.withColumn("target", F.when(F.col("attr").isin(*free), drawn).otherwise(F.col("target"))), "mix-targets")
+        put = start
+        for a in ATTRS:
+            put = put.join(levels.where(F.col("attr") == a).select(F.col("level").alias(a), (F.col("target") * keep).alias(f"want_{a}")), a)
+        now, worst = _raked(put.withColumn("weight", F.col("cap") * keep), tolerance)
+        if worst <= tolerance or not free:
+            break
+    if worst > tolerance:
+        now = _scaled(now, keep)
+    mass = F.least("weight", "cap")
+    held = now.agg(F.sum(mass)).first()[0] or 1.0
+    level = F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(a).alias("level")) for a in ATTRS])).alias("x")
+    shares = now.select(level, mass.alias("m")).groupBy("x.attr", "x.level").agg((F.sum("m") / held).alias("share"))
+    report = levels.join(shares, ["attr", "level"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    report = scratch(report.withColumn("gap", F.abs(F.col("share") - F.col("target")) / F.greatest("target", F.lit(1e-12))), "mix-report")
+    asked = F.col("attr").isin(*[a for a in ATTRS if a not in free])
+    short = report.where((asked & (F.abs(F.col("asked") - F.col("target")) > 0.001)) | (F.col("gap") > 10 * tolerance))
+    told = [(r.attr, r.level, round(r.asked, 4), round(r.share, 4)) for r in short.orderBy(F.desc(F.abs(F.col("asked") - F.col("share"))), "attr", "level").limit(10).collect()]
+    if told:
+        warnings.warn(f"mixing: not all wanted shares can be had in a sample of {held:.3f} of the tokens (attribute, level, asked, got): {told}", stacklevel=2)
+    return now.select(*ATTRS, "tokens", "docs", F.least(F.lit(1.0), F.col("weight") / F.col("cap")).alias("probability")), report, held
+
+
+def _raked(now: DataFrame, tolerance: float) -> tuple[DataFrame, float]:
+    """``now`` (ATTRS, cap, want_*, weight) after sweeps, and the largest relative gap of a level; SWEEPS sweeps make one job."""
+    if now.count() <= FEW_CELLS:
+        now = scratch(_swept_arrays(now, tolerance), "rake")
+        return now.drop("off"), now.agg(F.max("off")).first()[0] or 0.0
+    before = float("inf")
+    for _ in range(RUNS):
+        for k in range(SWEEPS):
+            now = now.withColumn("off", F.lit(0.0))
+            for attr in ATTRS:  # windows over cells, which are few beside documents
+                level, want = W.partitionBy(attr), F.col(f"want_{attr}")
+                now = now.withColumn("held", F.sum(F.least("weight", "cap")).over(level)).withColumn(
+                    "open", F.sum(F.when(F.col("weight") < F.col("cap"), F.col("weight")).otherwise(0.0)).over(level))
+                held, open_ = F.col("held"), F.col("open")
+                # the sum is concave in the factor: a Newton step from below stays below, one from above may go too far
+                factor = (F.when((want <= 0) | (held <= 0), 0.0).when(open_ <= 0, F.least(F.lit(1.0), want / held))
+                          .otherwise(F.least(F.lit(1e6), F.greatest(1 + (want - held) / open_, want / held / 2))))
+                now = now.withColumn("off", F.greatest("off", F.when(want > 0, F.abs(held / want - 1)).otherwise(0.0))).withColumn("weight", F.col("weight") * factor)
+            now = now.drop("held", "open") if k == SWEEPS - 1 else now.drop("held", "open", "off")
+        now = scratch(now, "rake")
+        worst = now.agg(F.max("off")).first()[0] or 0.0
+        now = now.drop("off")
+        if worst <= tolerance or worst > STALLED * before:
             break
-        keep *= SHRINK
-    else:
-        now, keep, gap = first
-        warnings.warn(f"mixing: the targets contradict each other, after {MAX_SWEEPS} sweeps these shares are off: {marginal_gaps(now, tolerance)}", stacklevel=2)
-    return now.select(*ATTRS, "tokens", "docs", F.least(F.lit(1.0), F.col("weight") / F.col("cap")).alias("probability")), keep, gap
+        before = worst
+    return now, worst
 
 
-def _sweeps_within(start: DataFrame, keep: float, tolerance: float) -> tuple[DataFrame, float]:
-    now, worst = start.withColumn("weight", F.col("cap") * F.lit(float(keep))), 0.0
-    for _ in range(MAX_SWEEPS):
-        nxt = now.withColumn("off", F.lit(0.0))
+def _swept_arrays(now: DataFrame, tolerance: float) -> DataFrame:
+    """``now`` with the weights after the same sweeps and ``off``, the largest relative gap: FEW_CELLS rows at most, in one task."""
+
+    def sweep(levels: list[np.ndarray], wants: list[np.ndarray], cap: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+        off = 0.0
+        for level, want in zip(levels, wants, strict=True):
+            held = np.bincount(level, np.minimum(weight, cap))
+            free = np.bincount(level, np.where(weight < cap, weight, 0.0))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                factor = np.minimum(1e6, np.maximum(1 + (want - held) / free, want / held / 2))
+                factor = np.where(free <= 0, np.minimum(1.0, want / held), factor)
+                gaps = np.abs(held / want - 1)
+            off = max(off, gaps[want > 0].max(initial=0.0))
+            weight = weight * np.where((want <= 0) | (held <= 0), 0.0, factor)[level]
+        return weight, off
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        held = pa.Table.from_batches(parts)
+        cap, weight = held["cap"].to_numpy(), held["weight"].to_numpy()
+        levels, wants = [], []
         for attr in ATTRS:
-            level = W.partitionBy(attr)
-            nxt = (nxt.withColumn("held", F.sum(F.least("weight", "cap")).over(level))
-                   .withColumn("free", F.sum(F.when(F.col("weight") < F.col("cap"), F.col("weight")).otherwise(0.0)).over(level))
-                   .withColumn("want", F.col(f"target_{attr}") * F.lit(float(keep))))
-            want, held, free = F.col("want"), F.col("held"), F.col("free")
-            # The sum is concave in the factor: a Newton step from below stays below, one from above may go too far.
-            factor = (F.when((want <= 0) | (held <= 0), 0.0).when(free <= 0, F.least(F.lit(1.0), want / held))
-                      .otherwise(F.least(F.lit(1e6), F.greatest(1 + (want - held) / free, want / held / 2))))
-            nxt = (nxt.withColumn("off", F.greatest("off", F.when(want > 0, F.abs(held / want - 1)).otherwise(0.0)))
-                   .withColumn("weight", F.col("weight") * factor))
-        nxt = scratch(nxt.drop("held", "free", "want"), "rake")
-        worst = nxt.agg(F.max("off")).first()[0] or 0.0
-        now = nxt.drop("off")
-        if worst < tolerance:
-            break
-    return now, worst
+            _, first, index = np.unique(held[attr].to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+            levels.append(index)
+            wants.append(held[f"want_{attr}"].to_numpy()[first])
+        before = off = float("inf")
+        for k in range(RUNS * SWEEPS):
+            weight, off = sweep(levels, wants, cap, weight)
+            if off <= tolerance:
+                break
+            if k % SWEEPS == SWEEPS - 1:
+                if off > STALLED * before:
+                    break
+                before = off
+        out = held.set_column(held.column_names.index("weight"), "weight", pa.array(weight)).append_column("off", pa.array(np.full(len(weight), off)))
+        yield from out.combine_chunks().to_batches()
+
+    from pyspark.sql.types import DoubleType, StructType
+    return now.coalesce(1).mapInArrow(run, StructType(list(now.schema.fields)).add("off", DoubleType()))
+
+
+def _scaled(now: DataFrame, keep: float) -> DataFrame:
+    """The weights times the number for which, bounded by the caps, they add up to ``keep``."""
+    c = 0.0
+    while True:
+        full = F.lit(c) * F.col("weight") >= F.col("cap")
+        got = now.agg(F.sum(F.when(full, F.col("cap")).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("free")).first()
+        new = (keep - got.full) / got.free if got.free else c
+        if new <= c * (1 + 1e-9):
+            return now.withColumn("weight", F.col("weight") * F.lit(c or 1.0))
+        c = new
 
 
-def marginal_gaps(raked: DataFrame, tolerance: float, most: int = 10) -> dict[str, list[tuple[str, float, float]]]:
-    """By attribute, the ``most`` levels (level, target, share in the sample) that are furthest off by more than ``tolerance``."""
-    mass = F.least("weight", "cap")
-    total, out = raked.agg(F.sum(mass)).first()[0] or 1.0, {}
-    for attr in ATTRS:
-        got = raked.groupBy(attr, F.col(f"target_{attr}").alias("target")).agg((F.sum(mass) / F.lit(total)).alias("share"))
-        got = got.withColumn("gap", F.abs(F.col("share") - F.col("target"))).where(F.col("gap") > F.lit(tolerance) * F.col("target"))
-        out[attr] = [(r[0], r.target, r.share) for r in got.orderBy(F.desc("gap"), attr).limit(most).collect()]
-    return out
+def mixing_cells(rows: DataFrame) -> DataFrame:
+    """(ATTRS, tokens, docs) of ``mixing_rows``."""
+    return scratch(rows.groupBy(*ATTRS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mix-cells")
+
+
+def mixing_report(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None = None, alpha: float = ALPHA, keep: float = KEEP, **cols: str) -> DataFrame:
+    """(attr, level, own, asked, target, share, gap): what ``mixing_weights`` of the same arguments aims at and expects to get."""
+    return rake_within(mixing_cells(mixing_rows(docs, **cols)), targets or {}, keep, alpha)[1]
 
 
 def mixing_weights(docs: DataFrame, targets: dict[str, dict[str, float] | None] | None = None, alpha: float = ALPHA,
-                   keep: float = KEEP, meet: bool = False, **cols: str) -> DataFrame:
+                   keep: float = KEEP, **cols: str) -> DataFrame:
     """One row per row of ``docs``: doc_id, ATTRS, tokens, probability, kept.
 
-    With ``meet`` the sample's expected marginals meet the targets and it has ``keep`` of all tokens, or as much less as they need
-    (``rake_within``; contradicting targets give a warning).  Without it the sample's size comes first: probabilities are proportional to weight per token, 1 at most, and scaled so that the sample has ``keep`` of all tokens on
-    average.  Where no cell reaches 1 the sample's expected marginals meet the targets; cells that would need more than
-    all their documents are kept whole and fall short.  Documents without words have no tokens to weigh; they are in no marginal and are kept.
+    The sample's expected marginals are the targets of ``level_targets``, and it has ``keep`` of all tokens (``rake_within``; wishes that
+    cannot be met give a warning, and ``mixing_report`` tells them level by level).  Documents without words have no tokens to weigh; they are in no marginal and are kept.
     Nulls: see ``mixing_rows``; a null id has a hash like any other id and rows of one id share their fate.
     An empty table gives no rows.
     """
     rows = scratch(mixing_rows(docs, **cols), "mix-rows")
-    cells = scratch(rows.groupBy(*ATTRS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mix-cells")
-    wanted = targets or {}
-    shares = {a: scratch(target_shares(cells, a, wanted.get(a), alpha), f"mix-target-{a}") for a in ATTRS}
-    if meet:
-        raked, _, _ = rake_within(cells, shares, keep)
-        chance = F.col("probability")
-    else:
-        raked = rake(cells, shares).withColumn("ratio", F.col("weight") / F.col("tokens"))
-        raked = scratch(raked, "mix-raked")
-        chance = F.least(F.lit(1.0), F.col("ratio") * F.lit(inclusion_scale(raked, keep)))
-    prob = scratch(raked.select(*ATTRS, "docs", chance.alias("probability"))
+    cells = mixing_cells(rows)
+    raked, _, _ = rake_within(cells, targets or {}, keep, alpha)
+    prob = scratch(raked.select(*ATTRS, "docs", "probability")
                    .unionByName(cells.where("tokens = 0").select(*ATTRS, "docs", F.lit(1.0).alias("probability"))), "mix-probability")
     total = cells.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
     told = join_groups(rows, prob, list(ATTRS), "docs", total)
@@ -202,4 +257,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **args) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mixing_weights(docs, {"lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}}, meet=True)
+    return mixing_weights(docs, {"lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}})
