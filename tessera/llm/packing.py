@@ -25,16 +25,15 @@ from tessera.llm.common import col, discard, scratch, small_batches, table
 
 WINDOW, END_ID, PAD_ID = 1024, 0, 0
 VOCABULARY = "byte_bpe_50k"
-#: Beyond these characters, two libraries' Unicode tables might class a character differently.
-BEYOND_LATIN = re.compile("[^\x00-ɏ]")
 
 
 @lru_cache(maxsize=4)
 def encoder(vocabulary: str):
-    """text -> ids of the public tokenizer file ``<vocabulary>.json``, special strings as ordinary text.
+    """text -> ids of the public tokenizer file ``<vocabulary>.json`` without added special tokens; a special string that a text
+    holds is one id, as the file has it.
 
-    Texts in Latin characters are encoded from the same vocabulary's rank file, which gives the
-    same ids several times faster; all others by the tokenizer file itself."""
+    A text that holds none of the file's special strings and only Latin characters is encoded from the same vocabulary's rank
+    file, which gives the same ids several times faster; all others by the tokenizer file itself."""
     import base64
 
     import public_tokenizers
@@ -42,13 +41,15 @@ def encoder(vocabulary: str):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-    whole.encode_special_tokens = True
+    added = [re.escape(t.content) for t in whole.get_added_tokens_decoder().values()]
+    # beyond these characters, two libraries' Unicode tables might class a character differently
+    beyond = re.compile("|".join(["[^\x00-\u024f]", *added]))
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     quick = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
-        if BEYOND_LATIN.search(text):
+        if beyond.search(text):
             return whole.encode(text, add_special_tokens=False).ids
         return quick.encode_ordinary(text)
 
