@@ -30,8 +30,8 @@ SHINGLE, PERCENT = 5, 75
 PLACES, BAND_ROWS, NEED = 192, 4, 2
 #: Bands a member shares with its bucket's leader before their sets are fetched (others are left to the search in blocks).
 NEED_LEADER = 6
-#: Members of a block of a bucket.
-BLOCK = 1024
+#: Members of a block of a bucket; pairs that share one copy of a leader's set.
+BLOCK, PAIRS = 1024, 2048
 _GOLDEN, _MASK, _K = 0x9E3779B97F4A7C15, (1 << 64) - 1, np.uint64(0xD1342543DE82EF95)
 
 
@@ -159,23 +159,28 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "rep long, elements binary")
 
 
-def token_sets(docs: DataFrame) -> DataFrame:
-    """(rep, tokens): as ``full_sets``, with 32-bit hashes (repeated ones kept, so sizes are exact)."""
+def token_sets(docs: DataFrame, kind: str = "<u4") -> DataFrame:
+    """(rep, tokens): as ``full_sets``, by default with 32-bit hashes (repeated ones kept, so sizes are exact)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.astype("<u4").tobytes() for s in sets], pa.binary())],
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.astype(kind).tobytes() for s in sets], pa.binary())],
                                              names=["rep", "tokens"])
 
     return docs.mapInArrow(run, "rep long, tokens binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose sets meet 100 * intersection >= percent * union.  ``a`` may be hot."""
+    """The rows of ``pairs`` (a, b) whose sets meet 100 * intersection >= percent * union.
+
+    ``a`` may be hot and its set large: its pairs are salted over as many shares as hold PAIRS of them, and its set goes to each share."""
     total = pairs.count()
-    right = pairs.join(sets.select(F.col("rep").alias("b"), F.col("elements").alias("eb")), "b")
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    shares = F.ceil(F.col("n") / PAIRS).cast("int")
+    salted = join_groups(pairs, sizes, ["a"], "n", total).select("a", "b", F.pmod(F.xxhash64("b"), shares).cast("int").alias("salt"))
+    right = salted.join(sets.select(F.col("rep").alias("b"), F.col("elements").alias("eb")), "b")
     left = sizes.join(sets.select(F.col("rep").alias("a"), F.col("elements").alias("ea")), "a")
+    left = left.select("a", "ea", F.explode(F.sequence(F.lit(0), shares - 1)).alias("salt"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +191,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 hit.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    return join_groups(right, left, ["a"], "n", total).select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
+    return right.join(left, ["a", "salt"]).select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
 
 
 def _forest(edges: DataFrame) -> DataFrame:
@@ -306,7 +311,8 @@ def block_links(rep: np.ndarray, comp: np.ndarray, side: np.ndarray, bands: np.n
                 need: int = NEED) -> list[tuple[int, int]]:
     """Links that join components, among the members of one block pair of the bucket ``key``.
 
-    Sets hold 32-bit hashes here, so a shared hash may be a coincidence, but no link is missed."""
+    With 32-bit hashes in the sets a shared hash may be a coincidence, and a pair that passes by one hides later pairs of the same
+    components; ``link_components`` finds these when the pair fails the exact check."""
     n = np.array([len(s) for s in sets])
     starts = np.cumsum(n) - n
     tokens, ids = np.unique(np.concatenate(sets), return_inverse=True)
@@ -385,11 +391,11 @@ def bucket_partners(live: DataFrame, percent: int) -> DataFrame:
     return _by_block(live.withColumns({"bx": F.col("x"), "by": F.col("y")}), ["size", "bx", "by"], work, "bucket long, x long, y long, rep long")
 
 
-def bucket_links(live: DataFrame, percent: int) -> DataFrame:
-    """(a, b): candidate links between components.  ``live``: bucket, x, y, side, rep, comp, bands, tokens (binary 32-bit hashes)."""
+def bucket_links(live: DataFrame, percent: int, kind: str = "<u4") -> DataFrame:
+    """(a, b): candidate links between components.  ``live``: bucket, x, y, side, rep, comp, bands, tokens (hashes of type ``kind``)."""
 
     def work(rows: list[tuple]) -> list[tuple]:
-        return block_links(*_arrays(rows), [np.frombuffer(r[5], dtype="<u4") for r in rows], rows[0][0], percent)
+        return block_links(*_arrays(rows), [np.frombuffer(r[5], dtype=kind) for r in rows], rows[0][0], percent)
 
     return _by_block(live, ["tokens"], work, "a long, b long")
 
@@ -402,35 +408,45 @@ def link_components(classes: DataFrame, docs: DataFrame, percent: int) -> DataFr
     rows = scratch(join_groups(members, buckets, ["bucket"], "n", total), "near-members")
     release(classes.sparkSession)
 
-    def links_of(pairs: DataFrame) -> DataFrame:
+    def links_of(pairs: DataFrame) -> tuple[DataFrame, int]:
+        """The pairs that are links, and the number of those that are not."""
         pairs = scratch(pairs, "near-pairs")
         needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
         sets = scratch(full_sets(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "near-sets")
         release(docs.sparkSession)  # the shuffled texts
         found = scratch(verified(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
         discard(sets)
-        return found
-
-    links = links_of(star_pairs(rows, classes))
+        return found, pairs.count() - found.count()
+
+    def searched(comps: DataFrame, kind: str) -> DataFrame:
+        """Candidate links between the components that still share a bucket, from sets of hashes of type ``kind``."""
+        labelled = rows.join(comps, rows["rep"] == comps["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+        labelled = scratch(labelled, "near-labelled")
+        spans = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.first("n").alias("n")).where("c0 < c1")
+        live = join_groups(labelled.drop("n"), spans.select("bucket", "n"), ["bucket"], "n", total)
+        live = live.withColumn("g", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")))
+        live = live.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))).select(
+            "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp")
+        live = scratch(live, "near-live")
+        seen = scratch(bucket_partners(live.join(classes.select("rep", "bands", "size"), "rep"), percent), "near-partners")
+        release(classes.sparkSession)
+        needed = scratch(seen.select(F.col("rep").alias("doc_id")).distinct(), "near-needed")
+        tokens = scratch(token_sets(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), kind), "near-tokens")
+        release(classes.sparkSession)  # the shuffled texts
+        live = live.join(seen, ["bucket", "x", "y", "rep"], "left_semi").join(classes.select("rep", "bands"), "rep").join(tokens, "rep")
+        return bucket_links(live, percent, kind).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    links, _ = links_of(star_pairs(rows, classes))
     comps = components(links)
     release(classes.sparkSession)
-    labelled = rows.join(comps, rows["rep"] == comps["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    labelled = scratch(labelled, "near-labelled")
-    spans = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.first("n").alias("n")).where("c0 < c1")
-    live = join_groups(labelled.drop("n"), spans.select("bucket", "n"), ["bucket"], "n", total)
-    live = live.withColumn("g", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")))
-    live = live.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))).select(
-        "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp")
-    live = scratch(live, "near-live")
-    seen = scratch(bucket_partners(live.join(classes.select("rep", "bands", "size"), "rep"), percent), "near-partners")
-    release(classes.sparkSession)
-    needed = scratch(seen.select(F.col("rep").alias("doc_id")).distinct(), "near-needed")
-    tokens = scratch(token_sets(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "near-tokens")
-    release(classes.sparkSession)  # the shuffled texts
-    live = live.join(seen, ["bucket", "x", "y", "rep"], "left_semi").join(classes.select("rep", "bands"), "rep").join(tokens, "rep")
-    more = links_of(bucket_links(live, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    more, failed = links_of(searched(comps, "<u4"))
+    links = links.unionByName(more)
+    comps = components(links)
     release(classes.sparkSession)
-    return components(links.unionByName(more))
+    if failed:  # a pair passed on coincidences and may have hidden others: once more with whole hashes, which the check uses too
+        more, _ = links_of(searched(comps, "<u8"))
+        comps = components(links.unionByName(more))
+    return comps
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **args) -> DataFrame:

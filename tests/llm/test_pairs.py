@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import minhash, packing, suffix_dedup
 from tests.llm import frames
@@ -19,9 +20,7 @@ CLASH = ("rep", "bucket", "bands", "n", "size", "part", "local", "ids", "__doc",
 def _tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @lru_cache(maxsize=1000)
@@ -70,6 +69,17 @@ def test_quick_encoder_equals_the_tokenizer():
     for _ in range(1500):
         text = "".join(rng.choices(bits, k=rng.randrange(1, 20)))
         assert [*encode(text), 0] == _ids(text).tolist(), repr(text)
+    assert encode("x <|endoftext|> y") == _tokenizer().encode("x <|endoftext|> y", add_special_tokens=False).ids and 50256 in encode("x <|endoftext|> y")
+
+
+def test_quick_encoder_equals_the_tokenizer_on_all_texts_of_the_table():
+    import duckdb
+    encode = packing.encoder("byte_bpe_50k")
+    texts = [t or "" for t, in duckdb.sql(f"select text from '{frames.SF.replace('0.001', '0.1')}/documents.parquet'").fetchall()]
+    assert len(texts) == 10_000
+    for at in range(0, len(texts), 500):
+        whole = _tokenizer().encode_batch(texts[at:at + 500], add_special_tokens=False)
+        assert all(encode(t) == e.ids for t, e in zip(texts[at:at + 500], whole, strict=True))
 
 
 @pytest.mark.parametrize(("length", "kgram", "most"), [(200, 64, 4096), (40, 16, 4096), (40, 16, 2)])
@@ -134,6 +144,22 @@ def test_blocks_of_a_large_bucket_lose_no_link(spark, monkeypatch):
     test_near_duplicates_equal_brute_force(spark)
 
 
+def test_coinciding_hashes_and_salted_pairs_hide_no_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PAIRS", 3)
+    narrow = minhash.token_sets
+
+    def coinciding(docs, kind="<u4"):
+        sets = narrow(docs, kind)
+        if kind == "<u8":
+            return sets
+        alike = F.expr("cast(repeat('same', cast(length(tokens) / 4 as int)) as binary)")  # every set like any other of its size
+        return sets.withColumn("tokens", alike)
+
+    monkeypatch.setattr(minhash, "token_sets", coinciding)
+    monkeypatch.setattr(minhash, "NEED_LEADER", 99)
+    test_near_duplicates_equal_brute_force(spark)
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(3)
     for n, both in ((40, 30), (300, 150), (3000, 2700)):
