@@ -32,6 +32,8 @@ PLACES, BAND_ROWS, NEED = 192, 4, 2
 NEED_LEADER = 6
 #: Members of a block of a bucket; pairs that share one copy of a leader's set.
 BLOCK, PAIRS = 1024, 2048
+#: Bit tables of 32768 ids each that are looked up before texts are shuffled.
+FILTER_PARTS = 4096
 _GOLDEN, _MASK, _K = 0x9E3779B97F4A7C15, (1 << 64) - 1, np.uint64(0xD1342543DE82EF95)
 
 
@@ -170,6 +172,19 @@ def token_sets(docs: DataFrame, kind: str = "<u4") -> DataFrame:
     return docs.mapInArrow(run, "rep long, tokens binary")
 
 
+def texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """One row of ``docs`` (doc_id, text) per id of ``needed`` (doc_id).
+
+    Before texts are shuffled, a bit table of the ids (FILTER_PARTS * 4 kB, whatever the input) lets through the needed ones and, by chance, some
+    others; the join that follows is exact."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_PARTS * 32768)) + 1
+    part, at = F.bitmap_bucket_number(spot), F.bitmap_bit_position(spot)
+    bits = needed.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(at).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    likely = docs.withColumns({"part": part, "at": at}).join(F.broadcast(bits), "part").where(F.getbit(byte, F.col("at") % 8) == 1)
+    return likely.select("doc_id", "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rows of ``pairs`` (a, b) whose sets meet 100 * intersection >= percent * union.
 
@@ -412,7 +427,7 @@ def link_components(classes: DataFrame, docs: DataFrame, percent: int) -> DataFr
         """The pairs that are links, and the number of those that are not."""
         pairs = scratch(pairs, "near-pairs")
         needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = scratch(full_sets(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "near-sets")
+        sets = scratch(full_sets(texts_of(docs, needed)), "near-sets")
         release(docs.sparkSession)  # the shuffled texts
         found = scratch(verified(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
         discard(sets)
@@ -422,16 +437,20 @@ def link_components(classes: DataFrame, docs: DataFrame, percent: int) -> DataFr
         """Candidate links between the components that still share a bucket, from sets of hashes of type ``kind``."""
         labelled = rows.join(comps, rows["rep"] == comps["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
         labelled = scratch(labelled, "near-labelled")
-        spans = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.first("n").alias("n")).where("c0 < c1")
-        live = join_groups(labelled.drop("n"), spans.select("bucket", "n"), ["bucket"], "n", total)
-        live = live.withColumn("g", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")))
-        live = live.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))).select(
+        # only pairs of different components count, so the members of a bucket's largest one (main) meet the others alone
+        sizes = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+        spans = sizes.groupBy("bucket").agg(F.sum("c").alias("n"), F.max("c").alias("in_main"), F.max_by("comp", "c").alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        live = join_groups(labelled.drop("n"), spans, ["bucket"], "n", total)
+        is_main, others = F.col("comp") == F.col("main"), F.ceil((F.col("n") - F.col("in_main")) / BLOCK).cast("long")
+        mains = F.ceil(F.col("in_main") / BLOCK).cast("long")
+        live = live.withColumn("own", F.when(is_main, others + F.pmod(F.xxhash64("rep"), mains)).otherwise(F.pmod(F.xxhash64("rep"), others)))
+        live = live.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_main, others).otherwise(others + mains) - 1))).select(
             "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp")
         live = scratch(live, "near-live")
         seen = scratch(bucket_partners(live.join(classes.select("rep", "bands", "size"), "rep"), percent), "near-partners")
         release(classes.sparkSession)
         needed = scratch(seen.select(F.col("rep").alias("doc_id")).distinct(), "near-needed")
-        tokens = scratch(token_sets(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), kind), "near-tokens")
+        tokens = scratch(token_sets(texts_of(docs, needed), kind), "near-tokens")
         release(classes.sparkSession)  # the shuffled texts
         live = live.join(seen, ["bucket", "x", "y", "rep"], "left_semi").join(classes.select("rep", "bands"), "rep").join(tokens, "rep")
         return bucket_links(live, percent, kind).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
