@@ -1,16 +1,17 @@
-"""Exact k-nearest neighbours as rounds of band joins.
-
-For a coordinate j, |q_j - x_j| <= ||q - x|| (Euclidean or Manhattan), so a
-training point whose coordinate lies outside [q_j - w, q_j + w] is farther
-than w.  Each round joins every pending query with the training points of its
-own and both neighbouring buckets of width w (an equi-join on the bucket id),
-keeps the k nearest, and accepts a query when its k-th distance is below w -
-nothing outside the band can beat it.  The rest retry with a 4x wider band;
-once the band spans the whole coordinate range every query is final, so the
-result is exact.  Top-k is taken in two steps - per (query, salt) then per
-query - so a query whose band holds a hot bucket is spread over ``SALTS``
-tasks.  Each round's pending queries are checkpointed (reliable checkpoint in
-the shared folder) to keep the lineage short.
+"""Exact k-nearest neighbours by pivots and blocks.
+
+A few training rows are pivots.  Every training row belongs to the cell of its nearest pivot, and a cell with many rows is cut
+into blocks of bounded size, so no join key ever holds more than a block.  A query first meets the blocks of its own cell; its k-th
+distance there is a bound.  By the triangle inequality (Euclidean or Manhattan) a row x is farther than the bound r
+if |d(q, p) - d(x, p)| > r for any pivot p: applied to the range of distances that a cell's rows have to each pivot it rules out
+whole cells, applied to the row it spares the distance.  The second round joins every query with the blocks of
+the cells that are left.  Nothing nearer can be missed, so the result is exact.
+
+The k nearest are taken per (query, block) and then per query.  Queries that meet one block in great number are salted, and the
+block's rows go to every salt.
+
+Imputation compares rows with gaps, for which no such distance exists: it takes rounds of band joins on each coordinate
+(|x_j - y_j| bounds the distance), and in the last round every row that is not settled meets every block of the donors once.
 """
 
 from __future__ import annotations
@@ -18,66 +19,116 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import shared_dir
+from tessera.session import materialize, shared_dir
 
 # Growth of the band per round, salt fan-out of the top-k step.
 BAND_GROWTH = 4.0
 SALTS = 16
+#: Rows of a block, queries that share a copy of a block, pivots at most, and vector lengths up to which distances are written out.
+BLOCK_ROWS, QUERY_SHARE, MOST_PIVOTS, WRITTEN_OUT = 4096, 16384, 32, 256
 
 
-def distance(a: Column, b: Column, p: int = 2) -> Column:
+def distance(a: Column, b: Column, p: int = 2, size: int | None = None) -> Column:
+    """Euclidean (p = 2) or Manhattan (p = 1) distance of two arrays; with ``size``, their length, as one plain expression."""
+    if size is not None and size <= WRITTEN_OUT:
+        total = F.lit(0.0)
+        for i in range(size):
+            d = F.get(a, F.lit(i)) - F.get(b, F.lit(i))
+            total = total + (F.abs(d) if p == 1 else d * d)
+        return total if p == 1 else F.sqrt(total)
     if p == 1:
         return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, v: s + v)
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
 
-def _split_axis(train: DataFrame, vec: str) -> tuple[int, float, float]:
-    """Coordinate of largest variance and its range over the training points."""
-    per = (train.select(F.posexplode(vec).alias("j", "v")).groupBy("j")
-           .agg(F.var_pop("v").alias("var"), F.min("v").alias("lo"), F.max("v").alias("hi")))
-    best = per.orderBy(F.desc("var"), "j").first()  # one row per coordinate
-    return int(best.j), float(best.lo), float(best.hi)
+def choose_pivots(train: DataFrame, vec: str, n: int, p: int) -> list[list[float]]:
+    """At most MOST_PIVOTS training vectors far from each other: of a few hundred rows picked by hash, each next one is the farthest from
+    those chosen before."""
+    want = max(1, min(MOST_PIVOTS, round((n / 64) ** 0.5)))
+    rows = train.select(F.col(vec).alias("v")).where(F.col("v").isNotNull()).orderBy(F.xxhash64("v")).limit(16 * want).collect()
+    pool = [list(r.v) for r in rows]
+
+    def apart(a: list[float], b: list[float]) -> float:
+        return sum(abs(x - y) ** p for x, y in zip(a, b, strict=True))
+
+    chosen, near = [], [float("inf")] * len(pool)
+    while pool and len(chosen) < want:
+        far = max(range(len(pool)), key=lambda i: near[i])
+        if chosen and near[far] == 0:
+            break
+        chosen.append(pool[far])
+        near = [min(d, apart(v, pool[far])) for d, v in zip(near, pool, strict=True)]
+    return chosen
+
+
+def _to_pivots(vec: Column, pivots: list[list[float]], p: int) -> Column:
+    return F.array(*[distance(vec, F.array(*[F.lit(float(x)) for x in v]), p, len(v)) for v in pivots])
+
+
+def _nearest(pairs: DataFrame, k: int, carry: tuple[str, ...]) -> DataFrame:
+    """The k nearest per query, first per part of the pairs."""
+    w1 = Window.partitionBy("_qid", "_part").orderBy("dist", "_id")
+    part = pairs.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r")
+    w2 = Window.partitionBy("_qid").orderBy("dist", "_id")
+    return part.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k).select("_qid", "_id", "dist", "rank", *carry)
+
+
+def _meet(rows: DataFrame, visits: DataFrame, size: int | None, p: int, carry: tuple[str, ...]) -> DataFrame:
+    """Distances of all (query, cell) ``visits`` (_qid, _qv, _qd, _r, _cell, _blocks) to the rows of the cell's blocks within _r."""
+    load = visits.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_SHARE).cast("int").alias("_shares"))  # one row per cell
+    dealt = rows.join(F.broadcast(load), "_cell").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
+    asked = visits.join(F.broadcast(load), "_cell").withColumn("_salt", F.pmod(F.xxhash64("_qid"), F.col("_shares")).cast("int")).drop("_shares")
+    asked = asked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    pairs = asked.join(dealt, ["_cell", "_block", "_salt"])
+    near = F.forall(F.arrays_zip("_qd", "_td"), lambda z: F.abs(z["_qd"] - z["_td"]) <= F.col("_r"))
+    pairs = pairs.where(F.col("_r").isNull() | near)
+    return pairs.select("_qid", "_id", F.struct("_cell", "_block").alias("_part"), *carry, distance(F.col("_qv"), F.col("_tv"), p, size).alias("dist"))
 
 
 def nearest_neighbors(train: DataFrame, queries: DataFrame, k: int, id_col: str = "id", qid_col: str = "qid",
                       vec: str = "vec", p: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
     """(qid, id, dist, rank, carry...) for the k nearest training rows of every query
-    (ties broken by training id).  ``vec`` is array<double> in both frames."""
-    spark = train.sparkSession
-    shared_dir(spark)
-    j, lo, hi = _split_axis(train, vec)
-    n = train.count()
-    span = max(hi - lo, 1e-12)
-    w = max(span * 2.0 * k / max(n, 1), span * 1e-9)
-    t = train.select(F.col(id_col).alias("_id"), F.col(vec).alias("_tv"), *carry,
-                     F.col(vec)[j].alias("_ts"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).alias("_salt"))
-    pending = queries.select(F.col(qid_col).alias("_qid"), F.col(vec).alias("_qv"))
-    qlo = pending.agg(F.min(F.col("_qv")[j]), F.max(F.col("_qv")[j])).first()
-    full = max(hi, qlo[1] if qlo[1] is not None else hi) - min(lo, qlo[0] if qlo[0] is not None else lo)
-    done = []
-    while True:
-        last = w > full
-        tb = t.withColumn("_b", F.floor(F.col("_ts") / w))
-        qb = pending.withColumn("_b", F.explode(F.array(*[F.floor(F.col("_qv")[j] / w) + d for d in (-1, 0, 1)])))
-        if last:  # the band covers every training point: one bucket
-            tb, qb = tb.withColumn("_b", F.lit(0)), pending.withColumn("_b", F.lit(0))
-        pairs = qb.join(tb, "_b").select("_qid", "_id", "_salt", *carry, distance(F.col("_qv"), F.col("_tv"), p)
-                                         .alias("dist"))
-        w1 = Window.partitionBy("_qid", "_salt").orderBy("dist", "_id")
-        part = pairs.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r")
-        w2 = Window.partitionBy("_qid").orderBy("dist", "_id")  # at most SALTS x k rows per query
-        top = part.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
-        stat = top.groupBy("_qid").agg(F.count(F.lit(1)).alias("_c"), F.max("dist").alias("_kth"))
-        ok = stat.where(F.lit(last) | ((F.col("_c") >= F.lit(min(k, n))) & (F.col("_kth") < F.lit(w))))
-        res = top.join(ok.select("_qid"), "_qid").select("_qid", "_id", "dist", "rank", *carry).checkpoint()
-        done.append(res)
-        pending = pending.join(res.select("_qid").distinct(), "_qid", "left_anti").checkpoint()
-        if last or pending.isEmpty():
-            break
-        w *= BAND_GROWTH
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+    (ties broken by training id).  ``vec`` is array<double>, of one length and without nulls, in both frames."""
+    shared_dir(train.sparkSession)
+    t = train.select(F.col(id_col).alias("_id"), F.col(vec).alias("_tv"), *carry)
+    q = queries.select(F.col(qid_col).alias("_qid"), F.col(vec).alias("_qv"))
+    n = t.count()
+    pivots = choose_pivots(t, "_tv", n, p)
+    if not pivots:
+        none = t.limit(0).crossJoin(q.limit(0)).select("_qid", "_id", F.lit(0.0).alias("dist"), F.lit(0).alias("rank"), *carry)
+        return none.withColumnRenamed("_qid", qid_col).withColumnRenamed("_id", id_col)
+    size = len(pivots[0])
+    cell = lambda d: (F.array_position(d, F.array_min(d)) - 1).cast("int")
+    t = t.withColumn("_td", _to_pivots(F.col("_tv"), pivots, p)).withColumn("_cell", cell(F.col("_td")))
+    ranges = [x for i in range(len(pivots)) for x in (F.min(F.col("_td")[i]).alias(f"lo{i}"), F.max(F.col("_td")[i]).alias(f"hi{i}"))]
+    cells = {r["_cell"]: r for r in t.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), *ranges).collect()}  # one row per pivot
+    blocks = {c: -(-r.n // BLOCK_ROWS) for c, r in cells.items()}
+    blocks_of = F.create_map(*[F.lit(x) for c, b in blocks.items() for x in (c, b)])
+    t = materialize(t.withColumn("_block", F.pmod(F.xxhash64("_id"), blocks_of[F.col("_cell")]).cast("int")))
+    q = q.withColumn("_qd", _to_pivots(F.col("_qv"), pivots, p)).withColumn("_own", cell(F.col("_qd")))
+    q = materialize(q)
+
+    first = q.withColumn("_cell", F.col("_own")).withColumn("_r", F.lit(None).cast("double")).withColumn("_blocks", blocks_of[F.col("_own")])
+    top = materialize(_nearest(_meet(t, first.drop("_own"), size, p, carry), k, carry))
+    bound = top.groupBy("_qid").agg(F.count(F.lit(1)).alias("_c"), F.max("dist").alias("_kth"))
+    # rounding may part equal numbers, so the bound is a little wider
+    r = F.when(F.col("_c") >= k, F.col("_kth") * (1 + 1e-9) + 1e-12)
+    q = q.join(bound, "_qid", "left").withColumn("_r", r).drop("_c", "_kth")
+
+    def may_hold(c: int) -> Column:
+        """Whether a row of the cell may lie within the bound: its distance to every pivot differs little enough from the query's."""
+        row, ok = cells[c], F.lit(True)
+        for i in range(len(pivots)):
+            d = F.col("_qd")[i]
+            ok = ok & (d <= F.lit(row[f"hi{i}"]) + F.col("_r")) & (d >= F.lit(row[f"lo{i}"]) - F.col("_r"))
+        return (F.col("_own") != c) & (F.col("_r").isNull() | ok)
+
+    visits = F.filter(F.array(*[F.when(may_hold(c), F.lit(c)) for c in cells]), lambda c: c.isNotNull())
+    second = q.withColumn("_cell", F.explode(visits)).withColumn("_blocks", blocks_of[F.col("_cell")]).drop("_own")
+    more = _nearest(_meet(t, second, size, p, carry), k, carry)
+    w = Window.partitionBy("_qid").orderBy("dist", "_id")  # at most 2 k rows per query
+    out = top.drop("rank").unionByName(more.drop("rank")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = materialize(out.select("_qid", "_id", "dist", "rank", *carry))
     return out.withColumnRenamed("_qid", qid_col).withColumnRenamed("_id", id_col)
 
 
@@ -151,13 +202,15 @@ def _nan_knn(donors: DataFrame, receivers: DataFrame, k: int, p: int, scales: li
     pending = receivers
     w = 2.0 * k / max(n, 1)
     done = []
+    own = lambda c: F.pmod(F.xxhash64(c), F.lit(-(-max(n, 1) // BLOCK_ROWS)))
     while True:
         last = w >= 1.0
         db = d_long.withColumn("_b", F.floor(F.col("_x") / (w * scale)))
         rl = pending.select("rid", "f", "rvec", F.posexplode("rvec").alias("_j", "_x")).where("_x IS NOT NULL")
         rb = rl.withColumn("_b", F.explode(F.array(*[F.floor(F.col("_x") / (w * scale)) + d for d in (-1, 0, 1)])))
-        if last:  # every donor sharing any coordinate is a candidate
-            db, rb = db.withColumn("_b", F.lit(0)), rl.withColumn("_b", F.lit(0))
+        if last:  # every donor is a candidate: each receiver left goes to every block of donors, once
+            db = donors.withColumn("_j", F.lit(0)).withColumn("_b", own("did"))
+            rb = pending.withColumn("_j", F.lit(0)).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // BLOCK_ROWS).cast("long"))))
         pairs = (rb.select("rid", "f", "rvec", "_j", "_b").join(db.select("did", "dvec", "_j", "_b"), ["_j", "_b"])
                  .where(F.element_at("dvec", F.col("f") + 1).isNotNull())
                  .dropDuplicates(["rid", "f", "did"])

@@ -1,10 +1,38 @@
 import numpy as np
 import pandas as pd
+import pytest
 
 from tessera.operators.knn import knn_vote, nearest_neighbors
 
 
-def test_band_join_knn_is_exact_with_hot_cluster(spark):
+@pytest.mark.parametrize(("p", "blocks", "share"), [(2, 4096, 16384), (1, 7, 3)])
+def test_pivot_knn_is_exact_on_clusters(spark, monkeypatch, p, blocks, share):
+    """Clusters, an outlying query, integer coordinates (many ties), blocks and salts of a few rows."""
+    from tessera.operators import knn
+    monkeypatch.setattr(knn, "BLOCK_ROWS", blocks)
+    monkeypatch.setattr(knn, "QUERY_SHARE", share)
+    rng = np.random.default_rng(3)
+    pts = np.vstack([rng.integers(0, 6, (500, 4)) + c for c in (0, 20, 50)]).astype(float)
+    queries = np.vstack([rng.integers(0, 6, (40, 4)) + 19, [[300.0] * 4], pts[:20], rng.normal(size=(20, 4)) * 30])
+    train = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(pts)), "vec": list(pts)}))
+    q = spark.createDataFrame(pd.DataFrame({"qid": np.arange(len(queries)), "vec": list(queries)}))
+    got = nearest_neighbors(train, q, 6, p=p).toPandas()
+    for i, qv in enumerate(queries):
+        d = (np.abs(pts - qv) ** p).sum(axis=1) ** (1 / p)
+        order = sorted(range(len(pts)), key=lambda j: (d[j], j))[:6]
+        mine = got[got.qid == i].sort_values("rank")
+        assert list(mine.id) == order and np.allclose(mine.dist, d[order])
+
+
+def test_few_or_no_training_rows(spark):
+    train = spark.createDataFrame([(1, [0.0, 1.0]), (2, [3.0, 1.0])], "id long, vec array<double>")
+    q = spark.createDataFrame([(7, [0.0, 0.0]), (8, [9.0, 9.0])], "qid long, vec array<double>")
+    got = nearest_neighbors(train, q, 5).toPandas().sort_values(["qid", "rank"])
+    assert got[["qid", "id"]].to_numpy().tolist() == [[7, 1], [7, 2], [8, 2], [8, 1]]
+    assert nearest_neighbors(train.limit(0), q, 5).count() == nearest_neighbors(train, q.limit(0), 5).count() == 0
+
+
+def test_pivot_knn_is_exact_with_hot_cluster(spark):
     rng = np.random.default_rng(7)
     pts = rng.normal(size=(300, 3))
     pts[:100] = 0.5  # a third of the training points share one location
@@ -44,8 +72,11 @@ def _brute_knn_impute(X, keys, k):
     return out
 
 
-def test_knn_impute_matches_brute_force(spark):
+@pytest.mark.parametrize("blocks", [4096, 10])
+def test_knn_impute_matches_brute_force(spark, monkeypatch, blocks):
+    from tessera.operators import knn
     from tessera.operators.knn import knn_impute
+    monkeypatch.setattr(knn, "BLOCK_ROWS", blocks)
     rng = np.random.default_rng(11)
     X = rng.normal(size=(120, 3)).round(1)
     X[rng.random((120, 3)) < 0.2] = np.nan
