@@ -132,33 +132,42 @@ def nearest_neighbors(train: DataFrame, queries: DataFrame, k: int, id_col: str
     return out.withColumnRenamed("_qid", qid_col).withColumnRenamed("_id", id_col)
 
 
-def knn_vote(neighbors: DataFrame, qid_col: str, label: str, weights: str = "uniform") -> DataFrame:
-    """(qid, prediction): weighted majority of the neighbours' labels, ties to the
-    smallest label.  ``distance`` weights are 1/d; zero-distance neighbours, when
-    present, take all the weight."""
+def knn_shares(neighbors: DataFrame, qid_col: str, label: str, weights: str = "uniform") -> DataFrame:
+    """(qid, label, probability): every class's share of the neighbours' weights, for the classes among them.  ``distance``
+    weights are 1/d; zero-distance neighbours, when present, take all the weight."""
     if weights == "distance":
         zero = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy(qid_col))  # k rows per query
         wcol = F.when(zero == 1, (F.col("dist") == 0).cast("double")).otherwise(1.0 / F.col("dist"))
     else:
         wcol = F.lit(1.0)
     votes = neighbors.withColumn("_w", wcol).groupBy(qid_col, label).agg(F.sum("_w").alias("_s"))
-    best = F.min(F.struct((-F.col("_s")).alias("neg"), F.col(label).alias("lab")))
+    whole = F.sum("_s").over(Window.partitionBy(qid_col))  # at most k classes per query
+    return votes.select(qid_col, label, (F.col("_s") / whole).alias("probability"))
+
+
+def knn_vote(neighbors: DataFrame, qid_col: str, label: str, weights: str = "uniform") -> DataFrame:
+    """(qid, prediction): weighted majority of the neighbours' labels (``knn_shares``), ties to the smallest label."""
+    votes = knn_shares(neighbors, qid_col, label, weights)
+    best = F.min(F.struct((-F.col("probability")).alias("neg"), F.col(label).alias("lab")))
     return votes.groupBy(qid_col).agg(best.lab.alias("prediction"))
 
 
 class KNNClassifierModel:
-    def __init__(self, train: DataFrame, k: int, weights: str, p: int, features_col: str, label_col: str):
+    def __init__(self, train: DataFrame, k: int, weights: str, p: int, features_col: str, label_col: str, classes: int):
         self.train, self.k, self.weights, self.p = train, k, weights, p
-        self.features_col, self.label_col = features_col, label_col
+        self.features_col, self.label_col, self.classes = features_col, label_col, classes
 
     def transform(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
+        """``df`` with prediction and probability, the classes' shares of the neighbours' weights."""
+        from pyspark.ml.functions import array_to_vector, vector_to_array
         q = df.withColumn("_qid", F.monotonically_increasing_id()).checkpoint()
         queries = q.select("_qid", vector_to_array(self.features_col).alias("vec"))
         nb = nearest_neighbors(self.train, queries, self.k, id_col="_tid", qid_col="_qid", p=self.p,
                                carry=("_tlabel",))
         pred = knn_vote(nb, "_qid", "_tlabel", self.weights)
-        return q.join(pred, "_qid").drop("_qid")
+        shares = knn_shares(nb, "_qid", "_tlabel", self.weights).groupBy("_qid").agg(F.map_from_entries(F.collect_list(F.struct("_tlabel", "probability"))).alias("_p"))
+        per_class = F.array(*[F.coalesce(F.col("_p")[F.lit(float(c))], F.lit(0.0)) for c in range(self.classes)])
+        return q.join(pred, "_qid").join(shares, "_qid").withColumn("probability", array_to_vector(per_class)).drop("_qid", "_p")
 
 
 class KNNClassifier:
@@ -173,8 +182,9 @@ class KNNClassifier:
         from pyspark.ml.functions import vector_to_array
         train = df.select(F.monotonically_increasing_id().alias("_tid"),
                           vector_to_array(self.features_col).alias("vec"),
-                          F.col(self.label_col).alias("_tlabel")).checkpoint()
-        return KNNClassifierModel(train, self.k, self.weights, self.p, self.features_col, self.label_col)
+                          F.col(self.label_col).cast("double").alias("_tlabel")).checkpoint()
+        classes = int(train.agg(F.coalesce(F.max("_tlabel"), F.lit(-1.0))).first()[0]) + 1
+        return KNNClassifierModel(train, self.k, self.weights, self.p, self.features_col, self.label_col, classes)
 
 
 # --------------------------------------------------------------------------- KNN imputation

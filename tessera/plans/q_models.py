@@ -233,7 +233,7 @@ def model_save_load(spark, sf):
 _EMB_SPLIT = ("('0x' || substr(md5(concat_ws('|', CAST(vec_id AS VARCHAR), '42')), 1, 8))::BIGINT")
 
 
-@query("train_knn", f"""
+_KNN_CTE = f"""
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label,
                   {_EMB_SPLIT} < {test_threshold(0.2)} AS is_test FROM embeddings),
 q AS (SELECT * FROM e WHERE is_test), t AS (SELECT * FROM e WHERE NOT is_test),
@@ -241,17 +241,35 @@ d AS (SELECT q.vec_id AS qid, t.vec_id AS id, t.label AS tl,
              sqrt(list_sum(list_transform(list_zip(q.v, t.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS dist
       FROM q, t),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rn FROM d),
-v AS (SELECT qid, tl, count(*) AS c FROM r WHERE rn <= 5 GROUP BY ALL),
+v AS (SELECT qid, tl, count(*) AS c FROM r WHERE rn <= 5 GROUP BY ALL)"""
+
+
+@query("train_knn", f"""{_KNN_CTE},
 b AS (SELECT qid, tl, row_number() OVER (PARTITION BY qid ORDER BY c DESC, tl) AS rk FROM v)
 SELECT q.vec_id, q.label, b.tl AS prediction FROM b JOIN q ON q.vec_id = b.qid WHERE rk = 1""")
 def train_knn(spark, sf):
     """5-nearest-neighbour vote (Euclidean, uniform) of the held-out embeddings."""
-    from tessera.operators.knn import knn_vote, nearest_neighbors
+    from tessera.operators.knn import knn_vote
+    test, nb = _held_out_neighbors(spark, sf)
+    pred = knn_vote(nb, "qid", "tl")
+    return test.select("vec_id", "label").join(pred.withColumnRenamed("qid", "vec_id"), "vec_id")
+
+
+@query("knn_proba", f"""{_KNN_CTE}
+SELECT qid AS vec_id, tl AS class, round(c / 5.0, 6) AS probability FROM v""")
+def knn_proba(spark, sf):
+    """Class probabilities of the same vote: every class's share of the five neighbours."""
+    from tessera.operators.knn import knn_shares
+    _, nb = _held_out_neighbors(spark, sf)
+    return rounded(knn_shares(nb, "qid", "tl").select(F.col("qid").alias("vec_id"), F.col("tl").alias("class"), "probability"))
+
+
+def _held_out_neighbors(spark, sf):
+    from tessera.operators.knn import nearest_neighbors
     from tessera.operators.split import with_split
     e = with_split(table(spark, sf, "embeddings"), ["vec_id"]).withColumn(
         "vec", F.col("embedding").cast("array<double>"))
     train, test = e.where(~F.col("is_test")), e.where("is_test")
     nb = nearest_neighbors(train.select(F.col("vec_id").alias("id"), "vec", F.col("label").alias("tl")),
                            test.select(F.col("vec_id").alias("qid"), "vec"), 5, carry=("tl",))
-    pred = knn_vote(nb, "qid", "tl")
-    return test.select("vec_id", "label").join(pred.withColumnRenamed("qid", "vec_id"), "vec_id")
+    return test, nb

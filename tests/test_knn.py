@@ -86,3 +86,22 @@ def test_knn_impute_matches_brute_force(spark, monkeypatch, blocks):
     got = knn_impute(spark.createDataFrame(pdf), "k", ["x", "y", "z"], k=5).toPandas().sort_values("k")
     exp = _brute_knn_impute(X, keys, 5)
     assert np.allclose(got[["x", "y", "z"]].to_numpy(), exp)
+
+
+def test_classifier_gives_probabilities(spark):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from tessera.operators.knn import KNNClassifier
+    rng = np.random.default_rng(5)
+    pts, labels = rng.normal(size=(120, 3)), rng.integers(0, 3, 120)
+    pts[:5] = pts[5]  # equal points: their distance is 0
+    df = spark.createDataFrame(pd.DataFrame({"i": np.arange(120), "vec": list(pts), "label": labels.astype(float)})).withColumn("features", array_to_vector("vec"))
+    for weights in ("uniform", "distance"):
+        out = KNNClassifier(k=4, weights=weights).fit(df.where("i < 100")).transform(df).orderBy("i").toPandas()
+        for i, row in out.iterrows():
+            d = np.sqrt(((pts[:100] - pts[i]) ** 2).sum(axis=1))
+            near = np.argsort(d, kind="stable")[:4]
+            w = np.ones(4) if weights == "uniform" else (d[near] == 0).astype(float) if (d[near] == 0).any() else 1 / d[near]
+            want = np.array([w[labels[near] == c].sum() for c in range(3)]) / w.sum()
+            assert np.allclose(row.probability.toArray(), want) and row.prediction == want.argmax()
