@@ -116,10 +116,34 @@ class PlattScaled:
 
 # ---------------------------------------------------------------- metrics / scoring
 
-def _score(pred: DataFrame, is_classification: bool) -> float:
-    if is_classification:
-        return pred.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0] or 0.0
-    return -(pred.agg(F.avg(F.pow(F.col("label") - F.col("prediction"), 2))).first()[0] or 0.0)
+#: Scores that a search can maximise, larger is better: name -> (task, column of the metrics, sign).
+SCORING = {
+    "accuracy": (True, "accuracy", 1), "precision": (True, "precision", 1), "recall": (True, "recall", 1), "f1": (True, "f1", 1),
+    "precision_weighted": (True, "precision", 1), "recall_weighted": (True, "recall", 1), "f1_weighted": (True, "f1", 1),
+    "neg_mean_squared_error": (False, "mse", -1), "neg_root_mean_squared_error": (False, "rmse", -1),
+    "neg_mean_absolute_error": (False, "mae", -1), "r2": (False, "r2", 1),
+}
+
+
+def check_scoring(scoring: str | None, is_classification: bool) -> str:
+    """The score's name; without one accuracy or the negative mean squared error."""
+    name = scoring or ("accuracy" if is_classification else "neg_mean_squared_error")
+    if name not in SCORING or SCORING[name][0] != is_classification:
+        known = sorted(k for k, v in SCORING.items() if v[0] == is_classification)
+        raise ValueError(f"scoring {name!r} does not fit the task; known: {known}")
+    return name
+
+
+def score_by_name(pred: DataFrame, scoring: str) -> float:
+    """One score of predictions (label, prediction).  precision, recall and f1 are those of class 1, the _weighted ones averages over classes."""
+    task, column, sign = SCORING[scoring]
+    if not task:
+        found = E.regression_metrics(pred, "label", "prediction")
+    elif scoring.endswith("_weighted") or scoring == "accuracy":
+        found = E.weighted_metrics(pred, "label", "prediction")
+    else:
+        found = E.binary_metrics(pred, "label", "prediction", 1.0)
+    return sign * (found.first()[column] or 0.0)
 
 
 def importances_of(model, names: Sequence[str]) -> list[float] | None:
@@ -164,7 +188,8 @@ def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
                 test_size: float = 0.2, random_state: int | None = 42, cv: int = 5, use_grid_search: bool = False,
                 use_randomized_search: bool = False, n_iter: int = 10, custom_params: dict | None = None,
                 params: dict | None = None, prep_config: PrepConfig | None = None, fit_on: str = "train",
-                parallelism: int = 4) -> TrainResult:
+                parallelism: int = 4, scoring: str | None = None) -> TrainResult:
+    """``scoring`` names the score that a search maximises (SCORING)."""
     from pyspark import StorageLevel
     if random_state is None:  # a split of its own for this run
         random_state = int.from_bytes(os.urandom(3), "big")
@@ -175,6 +200,7 @@ def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     task_cls = label.task == "classification"
     if is_classification is None:
         is_classification = task_cls
+    scoring = check_scoring(scoring, is_classification)
     base = source
     h = key_hash(keys, random_state)
     base = base.withColumn("_is_test", h < F.lit(test_threshold(test_size)))
@@ -230,7 +256,7 @@ def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
             ci, f = job
             model, fmap = fit(cands[ci], train.where(F.col("_fold") != f), f)
             hold = train.where(F.col("_fold") == f)
-            return ci, f, _score(model.transform(fmap(hold) if fmap else hold), is_classification)
+            return ci, f, score_by_name(model.transform(fmap(hold) if fmap else hold), scoring)
 
         jobs = [(ci, f) for ci in range(len(cands)) for f in range(cv)]
         with ThreadPoolExecutor(max_workers=parallelism) as pool:

@@ -167,3 +167,18 @@ def test_release_cached_rows(spark):
     assert res.cached.is_cached
     res.release()
     assert res.cached is None
+
+
+def test_scores_by_name(spark):
+    rows = [(0, 0), (0, 1), (1, 1), (1, 1), (2, 1), (2, 2)]
+    pred = spark.createDataFrame([(float(a), float(b)) for a, b in rows], "label double, prediction double")
+    want = {"accuracy": 4 / 6, "precision": 2 / 4, "recall": 1.0, "f1": 2 * 0.5 / 1.5, "recall_weighted": 4 / 6,
+            "precision_weighted": (1 + 0.5 + 1) / 3, "f1_weighted": (2 / 3 + 2 / 3 + 2 / 3) / 3,
+            "neg_mean_squared_error": -2 / 6, "neg_root_mean_squared_error": -(2 / 6) ** 0.5, "neg_mean_absolute_error": -2 / 6, "r2": 1 - 2 / 4}
+    assert set(want) == set(TR.SCORING)
+    for name, value in want.items():
+        assert abs(TR.score_by_name(pred, name) - value) < 1e-12, name
+    assert TR.check_scoring(None, True) == "accuracy" and TR.check_scoring(None, False) == "neg_mean_squared_error"
+    for name, task in (("r2", True), ("f1", False), ("other", True)):
+        with pytest.raises(ValueError, match="scoring"):
+            TR.check_scoring(name, task)
