@@ -33,7 +33,7 @@ NEED_LEADER = 6
 #: Members of a block of a bucket; pairs that share one copy of a leader's set.
 BLOCK, PAIRS = 1024, 2048
 #: Bit tables of 32768 ids each that are looked up before texts are shuffled.
-FILTER_PARTS = 4096
+FILTER_PARTS = 1024
 _GOLDEN, _MASK, _K = 0x9E3779B97F4A7C15, (1 << 64) - 1, np.uint64(0xD1342543DE82EF95)
 
 
@@ -182,7 +182,8 @@ def texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
     bits = needed.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(at).alias("bits"))
     byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     likely = docs.withColumns({"part": part, "at": at}).join(F.broadcast(bits), "part").where(F.getbit(byte, F.col("at") % 8) == 1)
-    return likely.select("doc_id", "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # an inner join: a semi join would be pushed below the bit table, and all texts shuffled
+    return likely.select("doc_id", "text").join(needed.distinct(), "doc_id").dropDuplicates(["doc_id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
