@@ -70,7 +70,7 @@ ENGINE_ONLY = {"solver", "penalty", "copy_X", "n_jobs", "selection", "algorithm"
 def grid(model_name: str, is_classification: bool, custom: dict | None = None) -> dict[str, list]:
     grids = CLASSIFICATION_GRIDS if is_classification else REGRESSION_GRIDS
     if model_name not in grids:
-        raise ValueError(f"Model '{model_name}' not found")
+        raise ValueError(f"unknown model {model_name!r}")
     return custom or grids[model_name]
 
 
@@ -151,7 +151,7 @@ def make_estimator(model_name: str, is_classification: bool, params: dict, ctx:
                                 weights=p.get("weights", "uniform"), p=int(p.get("p", 2)), **base)
             w = None
         else:
-            raise ValueError(f"Model '{model_name}' not found")
+            raise ValueError(f"unknown model {model_name!r}")
     else:
         if model_name == "Linear Regression":
             est = R.LinearRegression(**base, regParam=0.0, fitIntercept=bool(p.get("fit_intercept", True)),
@@ -183,7 +183,7 @@ def make_estimator(model_name: str, is_classification: bool, params: dict, ctx:
             est = LinearSVR(C=float(p.get("C", DEFAULTS["C"])), epsilon=float(p.get("epsilon", DEFAULTS["epsilon"])),
                             **base)
         else:
-            raise ValueError(f"Model '{model_name}' not found")
+            raise ValueError(f"unknown model {model_name!r}")
     if w and hasattr(est, "setWeightCol"):
         est.setWeightCol(w)
     return est

@@ -65,7 +65,7 @@ def load_model(spark: SparkSession, path: str) -> LoadedModel:
     try:
         meta = json.loads(spark.read.text(os.path.join(path, "metadata")).first()[0])
     except Exception as e:  # noqa: BLE001
-        raise RuntimeError(f"Failed to load model: {e}") from e
+        raise RuntimeError(f"no readable model there: {e}") from e
     st = meta["prep"]
     prep = FittedPrep(st["numeric"], st["categorical"], PrepConfig(**st["config"]), st["numeric_fill"],
                       st["categorical_fill"], {k: tuple(v) for k, v in st["clip"].items()},
