@@ -129,11 +129,14 @@ def make_estimator(model_name: str, is_classification: bool, params: dict, ctx:
                                            maxDepth=_depth(p.get("max_depth")), minInstancesPerNode=_leaf(p),
                                            bootstrap=bool(p.get("bootstrap", True)), seed=ctx.seed)
         elif model_name == "Gradient Boosting":
-            gbt = C.GBTClassifier(**base, maxIter=int(p.get("n_estimators", DEFAULTS["n_estimators"])),
-                                  stepSize=float(p.get("learning_rate", DEFAULTS["learning_rate"])),
-                                  maxDepth=_depth(p.get("max_depth", DEFAULTS["max_depth_gb"])),
-                                  minInstancesPerNode=_leaf(p), seed=ctx.seed)
-            est = gbt if ctx.n_classes <= 2 else C.OneVsRest(classifier=gbt, **base)
+            rounds = int(p.get("n_estimators", DEFAULTS["n_estimators"]))
+            rate = float(p.get("learning_rate", DEFAULTS["learning_rate"]))
+            depth = _depth(p.get("max_depth", DEFAULTS["max_depth_gb"]))
+            if ctx.n_classes <= 2:
+                est = C.GBTClassifier(**base, maxIter=rounds, stepSize=rate, maxDepth=depth, minInstancesPerNode=_leaf(p), seed=ctx.seed)
+            else:
+                from tessera.operators.boosting import SoftmaxBoosting
+                est = SoftmaxBoosting(ctx.n_classes, rounds, rate, depth, _leaf(p), seed=ctx.seed, **base)
             w = None
         elif model_name == "Support Vector Machine":
             svc = C.LinearSVC(**base, regParam=1.0 / (float(p.get("C", DEFAULTS["C"])) * n),

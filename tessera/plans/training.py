@@ -9,6 +9,7 @@ fit is data-parallel and several fits share the cluster.
 
 from __future__ import annotations
 
+import itertools
 import math
 import os
 from collections.abc import Sequence
@@ -63,32 +64,46 @@ class TrainResult:
 
 # ---------------------------------------------------------------- kernel feature maps
 
-def kernel_map(kernel: str, gamma, n_features: int, feature_var: float, seed: int):
-    """Feature map standing in for an SVM kernel: identity (linear), degree-3
-    polynomial expansion (poly) or random Fourier features (rbf)."""
+class FeatureMap:
+    """Features standing in for an SVM kernel, as plain numbers that are saved with a model.
+
+    ``poly``: all monomials of degree 3, weighted so that their inner product is (gamma <x, y>)^3 exactly.
+    ``rbf``: random Fourier features, whose inner product estimates exp(-gamma |x - y|^2)."""
+
+    def __init__(self, kernel: str, n_features: int, gamma: float, weights=None, offsets=None):
+        self.kernel, self.n_features, self.gamma, self.weights, self.offsets = kernel, n_features, gamma, weights, offsets
+
+    def state(self) -> dict:
+        return dict(self.__dict__)
+
+    def components(self, x) -> list:
+        if self.kernel == "poly":
+            out = []
+            for powers in itertools.combinations_with_replacement(range(self.n_features), POLY_DEGREE):
+                orders = math.factorial(POLY_DEGREE) / math.prod(math.factorial(powers.count(j)) for j in set(powers))
+                out.append(math.prod((x[j] for j in powers), start=F.lit(math.sqrt(orders * self.gamma ** POLY_DEGREE))))
+            return out
+        scale = math.sqrt(2.0 / len(self.weights))
+        return [F.cos(sum((x[j] * w[j] for j in range(self.n_features)), F.lit(b))) * scale
+                for w, b in zip(self.weights, self.offsets)]
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        arr = df.withColumn("_fa", vector_to_array("features"))  # opened once per row
+        return arr.withColumn("features", array_to_vector(F.array(*self.components(F.col("_fa"))))).drop("_fa")
+
+
+def kernel_map(kernel: str, gamma, n_features: int, feature_var: float, seed: int) -> FeatureMap | None:
+    """The feature map of an SVM kernel; None for the linear one."""
     if kernel == "linear":
         return None
-    if kernel == "poly":
-        from pyspark.ml.feature import PolynomialExpansion
-
-        def poly(df):
-            pe = PolynomialExpansion(degree=POLY_DEGREE, inputCol="features", outputCol="_poly")
-            return pe.transform(df).drop("features").withColumnRenamed("_poly", "features")
-        return poly
     g = (1.0 / (n_features * feature_var) if gamma == "scale" and feature_var > 0
          else 1.0 / n_features if gamma in ("scale", "auto") else float(gamma))
+    if kernel == "poly":
+        return FeatureMap("poly", n_features, g)
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, math.sqrt(2 * g), size=(RFF_COMPONENTS, n_features))
     b = rng.uniform(0, 2 * math.pi, size=RFF_COMPONENTS)
-    scale = math.sqrt(2.0 / RFF_COMPONENTS)
-
-    def rff(df):
-        x = F.col("_fa")
-        comps = [F.cos(sum((x[j] * float(w[k, j]) for j in range(n_features)), F.lit(float(b[k])))) * scale
-                 for k in range(RFF_COMPONENTS)]
-        arr = df.withColumn("_fa", vector_to_array("features"))  # opened once per row
-        return arr.withColumn("features", array_to_vector(F.array(*comps))).drop("_fa")
-    return rff
+    return FeatureMap("rbf", n_features, g, w.tolist(), b.tolist())
 
 
 class PlattScaled:

@@ -2,7 +2,9 @@
 
 Layout under ``<dir>/<name>``: ``model`` (Spark ML writer output) and
 ``metadata`` (one JSON row: model class, feature names, label classes,
-fitted preparation state, timestamp).
+fitted preparation state, timestamp).  Models of plain numbers (linear SVR, softmax
+boosting) and kernel feature maps lie in the metadata, a nearest-neighbour model's
+training rows as Parquet under ``model``.
 """
 
 from __future__ import annotations
@@ -37,15 +39,22 @@ def save_model(result, base_dir: str, model_name: str) -> str:
             "target": result.label.column, "task": result.label.task, "classes": result.label.classes,
             "prep": _prep_state(result.prep), "best_params": {k: str(v) for k, v in result.best_params.items()},
             "timestamp": datetime.datetime.now().strftime("%Y-%m-%d %H:%M:%S"), "calibration": calibration}
+    kind = type(m).__name__
     if hasattr(m, "write"):
         m.write().overwrite().save(os.path.join(path, "model"))
-        meta["model_class"] = f"{type(m).__module__}.{type(m).__name__}"
+        meta["model_class"] = f"{type(m).__module__}.{kind}"
+    elif kind == "KNNClassifierModel":
+        m.train.write.mode("overwrite").parquet(os.path.join(path, "model"))
+        meta["model_class"] = "knn"
+        meta["knn"] = [m.k, m.weights, m.p, m.features_col, m.label_col, m.classes]
+    elif kind == "SoftmaxBoostingModel":
+        meta["model_class"] = "softmax_boosting"
+        meta["boosting"] = m.state()
     else:  # driver-held linear model (SVR): coefficients in the metadata
         meta["model_class"] = "linear"
         meta["coefficients"] = [float(v) for v in m.coefficients.toArray()]
         meta["intercept"] = float(m.intercept)
-    if result.feature_map is not None:
-        raise ValueError("kernel feature maps are rebuilt from the estimator parameters; save the linear model")
+    meta["feature_map"] = result.feature_map.state() if result.feature_map is not None else None
     spark = result.metrics.sparkSession
     spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").text(
         os.path.join(path, "metadata"))
@@ -53,11 +62,12 @@ def save_model(result, base_dir: str, model_name: str) -> str:
 
 
 class LoadedModel:
-    def __init__(self, model, prep: FittedPrep, label: LabelEncoding, meta: dict):
-        self.model, self.prep, self.label, self.meta = model, prep, label, meta
+    def __init__(self, model, prep: FittedPrep, label: LabelEncoding, meta: dict, feature_map=None):
+        self.model, self.prep, self.label, self.meta, self.feature_map = model, prep, label, meta, feature_map
 
     def transform(self, df: DataFrame, keep=()) -> DataFrame:
-        return self.model.transform(self.prep.assemble(df, keep=keep))
+        x = self.prep.assemble(df, keep=keep)
+        return self.model.transform(self.feature_map(x) if self.feature_map is not None else x)
 
 
 def load_model(spark: SparkSession, path: str) -> LoadedModel:
@@ -76,10 +86,22 @@ def load_model(spark: SparkSession, path: str) -> LoadedModel:
 
         from tessera.plans.svr import LinearSVRModel
         model = LinearSVRModel(np.asarray(meta["coefficients"]), meta["intercept"], "features")
+    elif meta["model_class"] == "knn":
+        from tessera.operators.knn import KNNClassifierModel
+        from tessera.session import shared_dir
+        shared_dir(spark)  # its scoring checkpoints
+        model = KNNClassifierModel(spark.read.parquet(os.path.join(path, "model")), *meta["knn"])
+    elif meta["model_class"] == "softmax_boosting":
+        from tessera.operators.boosting import SoftmaxBoostingModel
+        model = SoftmaxBoostingModel.from_state(meta["boosting"])
     else:
         mod, cls = meta["model_class"].rsplit(".", 1)
         model = getattr(importlib.import_module(mod), cls).load(os.path.join(path, "model"))
         if meta.get("calibration"):
             from tessera.plans.training import PlattScaled
             model = PlattScaled(model, *meta["calibration"])
-    return LoadedModel(model, prep, label, meta)
+    feature_map = None
+    if meta.get("feature_map"):
+        from tessera.plans.training import FeatureMap
+        feature_map = FeatureMap(**meta["feature_map"])
+    return LoadedModel(model, prep, label, meta, feature_map)
