@@ -51,35 +51,63 @@ def turns_as_events(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
                         F.lit(None).cast("string").alias("msg"), F.col(role).alias("role"), F.col(text).alias("text"))
 
 
+CHANGES = ("delta", "edit", "regenerate")
+
+
+def _dropped(log: Column) -> Column:
+    """Disjoint spans (s, r) of a log: the regeneration at position r of the message started at s dropped what started between them.
+
+    Only positions and names are folded, and of a run of events of one message only the first and the regenerations."""
+    at = F.transform(log, lambda e, i: F.struct(i.alias("p"), e["kind"].alias("kind"), e["msg"].alias("msg"), F.get(log["msg"], i - 1).alias("last")))
+    heads = F.filter(at, lambda e: e["msg"].isNotNull() & ((e["kind"] == "regenerate") | ~e["msg"].eqNullSafe(e["last"])))
+    start = F.expr("struct(cast(array() as array<struct<msg:string,p:int>>) AS live, cast(array() as array<struct<s:int,r:int>>) AS spans)")
+
+    def step(state: Column, e: Column) -> Column:
+        place = F.coalesce(F.array_position(state["live"]["msg"], e["msg"]), F.lit(0)).cast("int")
+        s = F.get(state["live"], place - 1)["p"]
+        drops = F.concat(F.filter(state["spans"], lambda x: x["s"] < s), F.array(F.struct(s.alias("s"), e["p"].alias("r"))))
+        return (F.when(place == 0, F.struct(F.concat(state["live"], F.array(F.struct(e["msg"].alias("msg"), e["p"].alias("p")))).alias("live"), state["spans"].alias("spans")))
+                .when(e["kind"] == "regenerate", F.struct(F.slice(state["live"], F.lit(1), place).alias("live"), drops.alias("spans")))
+                .otherwise(state))
+
+    return F.aggregate(heads, start, step, lambda state: state["spans"])
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, messages array<struct<msg, role, text>>), one row per conversation.
 
     Nulls: a null text or role is empty, a null kind is ``message``, a null message name
     belongs to this event alone, null conversations form one conversation and a null sequence comes first.
     Events of one sequence are taken in the order kind, message, role, text.  A delta, edit or regeneration
-    of an unknown message starts it.  An unknown kind counts as ``message``.  A conversation's log is one row from here on,
-    as its rendered text has to be.  A log with ``message`` events alone needs no fold: it is sorted only.
+    of an unknown message starts it.  An unknown kind counts as ``message``; a ``message`` event of a name in use is one more
+    message, which no later event changes.  A conversation's log is one row, as its rendered text has to be.
+
+    Every log takes one way, linear in its texts: its events are grouped by message, a message's events are folded into its
+    text (the last replacement and the deltas after it), and the messages meet again in their order.  Events are
+    shuffled once.  Logs with regenerations first find the dropped spans (``_dropped``).
     """
     event = F.struct("seq", F.coalesce("kind", F.lit("message")).alias("kind"), "msg",
                      F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     logs = events.groupBy("conv_id").agg(F.sort_array(F.collect_list(event)).alias("log"))
-    plain = F.forall("log", lambda e: ~e["kind"].isin("delta", "edit", "regenerate") & e["msg"].isNull())
-    message = lambda e, text: F.struct(e["msg"].alias("msg"), e["role"].alias("role"), text.alias("text"))
-
-    def step(state: Column, e: Column) -> Column:
-        known = e["msg"].isNotNull() & F.exists(state, lambda m: m["msg"] == e["msg"])
-        changed = F.transform(state, lambda m: F.when(
-            m["msg"] == e["msg"],
-            F.struct(m["msg"].alias("msg"), m["role"].alias("role"),
-                     F.when(e["kind"] == "delta", F.concat(m["text"], e["text"])).otherwise(e["text"]).alias("text"))).otherwise(m))
-        upto = F.array_position(F.transform(state, lambda m: F.coalesce(m["msg"], F.lit(""))), F.coalesce(e["msg"], F.lit(""))).cast("int")
-        return (F.when(known & (e["kind"] == "regenerate"), F.slice(changed, F.lit(1), upto))
-                .when(known & e["kind"].isin("delta", "edit"), changed)
-                .otherwise(F.concat(state, F.array(message(e, e["text"])))))
-
-    empty = F.expr("cast(array() as array<struct<msg:string,role:string,text:string>>)")
-    folded = F.aggregate("log", empty, step)
-    return logs.select("conv_id", F.when(plain, F.transform("log", lambda e: message(e, e["text"]))).otherwise(folded).alias("messages"))
+    again = F.exists("log", lambda e: e["kind"] == "regenerate")
+    logs = logs.withColumn("spans", F.when(again, _dropped(F.col("log"))).otherwise(F.expr("cast(array() as array<struct<s:int,r:int>>)")))
+    tagged = F.transform("log", lambda e, i: F.struct(
+        i.alias("p"), e["kind"].alias("kind"), e["msg"].alias("msg"), e["role"].alias("role"), e["text"].alias("text"),
+        F.exists("spans", lambda x: (x["s"] < i) & (i < x["r"])).alias("gone")))
+    flat = logs.select("conv_id", F.inline(tagged))
+    own = F.when(F.col("msg").isNull(), F.col("p")).alias("own")
+    groups = flat.groupBy("conv_id", "msg", own).agg(F.sort_array(F.collect_list(F.struct("p", "kind", "role", "text", "gone"))).alias("log"))
+    # a message starts at its first event outside the dropped spans; what came before went with them
+    groups = groups.withColumn("first", F.get(F.filter("log", lambda e: ~e["gone"]), F.lit(0))).where(F.col("first").isNotNull())
+    since = F.filter("log", lambda e: (e["p"] == F.col("first.p")) | ((e["p"] > F.col("first.p")) & e["kind"].isin(*CHANGES)))
+    base = F.array_max(F.transform(F.filter("since", lambda e: (e["p"] == F.col("first.p")) | (e["kind"] != "delta")), lambda e: e["p"]))
+    text = F.array_join(F.transform(F.filter("since", lambda e: e["p"] >= F.col("base")), lambda e: e["text"]), "")
+    more = F.filter("log", lambda e: (e["p"] > F.col("first.p")) & ~e["kind"].isin(*CHANGES) & ~e["gone"])
+    message = lambda e, text: F.struct(e["p"].alias("p"), F.col("msg").alias("msg"), e["role"].alias("role"), text.alias("text"))
+    parts = groups.withColumn("since", since).withColumn("base", base).select("conv_id", F.concat(
+        F.array(message(F.col("first"), text)), F.transform(more, lambda e: message(e, e["text"]))).alias("part"))
+    whole = parts.groupBy("conv_id").agg(F.sort_array(F.flatten(F.collect_list("part"))).alias("all"))
+    return whole.select("conv_id", F.transform("all", lambda m: F.struct(m["msg"].alias("msg"), m["role"].alias("role"), m["text"].alias("text"))).alias("messages"))
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -140,9 +168,9 @@ f AS (
   SELECT *, '{START}' || regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '{_CONTROL_SQL}', '\1\\\2\3', 'g') || chr(10)
        || regexp_replace(text, '{_CONTROL_SQL}', '\1\\\2\3', 'g') || '{END.strip()}' || chr(10) AS piece FROM t)
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(length(piece))::BIGINT AS formatted_chars
 FROM f GROUP BY conv_id
 """

@@ -306,6 +306,17 @@ def test_chat_folds_events(spark):
     assert out[None] == [("", "")]
 
 
+def test_chat_folds_random_logs(spark):
+    rng = random.Random(8)
+    logs = {c: [(i, rng.choice(["message", "delta", "delta", "edit", "regenerate" if c % 2 else "delta", "odd", None]), rng.choice(["a", "b", "c", "d", None]),
+                 rng.choice(["user", "assistant", None]), rng.choice(["x", "yy", "", None, f"t{i}"])) for i in range(rng.randrange(1, 30))] for c in range(300)}
+    logs[-1] = [(i, "delta", "a" if i % 400 else f"m{i}", "assistant", f"{i} ") for i in range(4000)]
+    rows = [(c, *e) for c, log in logs.items() for e in log]
+    rng.shuffle(rows)
+    out = chat.fold_events(spark.createDataFrame(rows, "conv_id long, seq long, kind string, msg string, role string, text string")).collect()
+    assert {r.conv_id: [(m.role, m.text) for m in r.messages] for r in out} == {c: _fold(log) for c, log in logs.items()}
+
+
 def test_chat_round_trip_of_hostile_texts(spark):
     bits = ["<|turn|>", "<|end|>\n", "<|end|>", "</s>", "<s>", "[INST]", "[/INST]", "\\", "<\\|turn|>", "[\\\\INST]", "\n", "", " ", "<", "[", "É漢\U0001f600", "%0A", "%25"]
     rng = random.Random(4)
