@@ -115,7 +115,7 @@ def weight_column(p: dict) -> str | None:
 
 
 def make_estimator(model_name: str, is_classification: bool, params: dict, ctx: FitContext):
-    """A Spark ML estimator (or a small pipeline-free OneVsRest wrapper) for one candidate."""
+    """A Spark ML estimator, or one of this library, for one candidate."""
     p = {k: v for k, v in params.items() if k not in ENGINE_ONLY}
     base = {"featuresCol": ctx.features_col, "labelCol": ctx.label_col}
     w = weight_column(p)
@@ -143,7 +143,10 @@ def make_estimator(model_name: str, is_classification: bool, params: dict, ctx:
                               standardization=False, maxIter=100)
             if w:
                 svc.setWeightCol(w)
-            est = svc if ctx.n_classes <= 2 else C.OneVsRest(classifier=svc, **base)
+            est = svc
+            if ctx.n_classes > 2:
+                from tessera.operators.pairwise import PairwiseSVM
+                est = PairwiseSVM(svc, ctx.n_classes, **base)
             w = None
         elif model_name == "Decision Tree":
             est = C.DecisionTreeClassifier(**base, maxDepth=_depth(p.get("max_depth")), minInstancesPerNode=_leaf(p),

@@ -3,7 +3,7 @@
 Layout under ``<dir>/<name>``: ``model`` (Spark ML writer output) and
 ``metadata`` (one JSON row: model class, feature names, label classes,
 fitted preparation state, timestamp).  Models of plain numbers (linear SVR, softmax
-boosting) and kernel feature maps lie in the metadata, a nearest-neighbour model's
+boosting, pairwise SVM) and kernel feature maps lie in the metadata, a nearest-neighbour model's
 training rows as Parquet under ``model``.
 """
 
@@ -50,6 +50,9 @@ def save_model(result, base_dir: str, model_name: str) -> str:
     elif kind == "SoftmaxBoostingModel":
         meta["model_class"] = "softmax_boosting"
         meta["boosting"] = m.state()
+    elif kind == "PairwiseSVMModel":
+        meta["model_class"] = "pairwise_svm"
+        meta["pairwise"] = m.state()
     else:  # driver-held linear model (SVR): coefficients in the metadata
         meta["model_class"] = "linear"
         meta["coefficients"] = [float(v) for v in m.coefficients.toArray()]
@@ -94,6 +97,9 @@ def load_model(spark: SparkSession, path: str) -> LoadedModel:
     elif meta["model_class"] == "softmax_boosting":
         from tessera.operators.boosting import SoftmaxBoostingModel
         model = SoftmaxBoostingModel.from_state(meta["boosting"])
+    elif meta["model_class"] == "pairwise_svm":
+        from tessera.operators.pairwise import PairwiseSVMModel
+        model = PairwiseSVMModel(**meta["pairwise"])
     else:
         mod, cls = meta["model_class"].rsplit(".", 1)
         model = getattr(importlib.import_module(mod), cls).load(os.path.join(path, "model"))
