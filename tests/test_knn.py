@@ -105,3 +105,31 @@ def test_classifier_gives_probabilities(spark):
             w = np.ones(4) if weights == "uniform" else (d[near] == 0).astype(float) if (d[near] == 0).any() else 1 / d[near]
             want = np.array([w[labels[near] == c].sum() for c in range(3)]) / w.sum()
             assert np.allclose(row.probability.toArray(), want) and row.prediction == want.argmax()
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_a_block_gives_k_rows_a_query_not_a_row_a_pair(p):
+    """500 queries against 4000 rows of 64 coordinates, many of them equal, in one block; ids in no order."""
+    import pyarrow as pa
+
+    from tessera.operators import knn
+    rng = np.random.default_rng(1)
+    vectors = lambda m: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), m.ravel())
+    rows, asked = rng.integers(0, 2, (4000, 64)).astype(float), rng.integers(0, 2, (500, 64)).astype(float)
+    rows[:300] = asked[0]
+    ids = rng.permutation(4000)
+    got = knn._block_nearest(5, p, ("tl",))(
+        pa.table({"_qid": np.arange(500), "_qv": vectors(asked), "_r": pa.array([None] * 500, pa.float64())}),
+        pa.table({"_id": ids, "_tv": vectors(rows), "tl": ids % 3})).to_pandas()
+    assert len(got) == 500 * 5 and (got.tl == got._id % 3).all()
+    for i in (0, 1, 250, 499):
+        d = (np.abs(rows - asked[i]) ** p).sum(axis=1) ** (1 / p)
+        want = sorted(zip(d, ids))[:5]
+        mine = got[got._qid == i]
+        assert list(mine._id) == [w[1] for w in want] and np.allclose(mine.dist, [w[0] for w in want])
+
+
+def test_rows_without_a_whole_vector_are_left_out(spark):
+    train = spark.createDataFrame([(1, [0.0, 1.0]), (2, [3.0, 1.0]), (3, None), (4, [0.0, None])], "id long, vec array<double>")
+    q = spark.createDataFrame([(7, [0.0, 0.0]), (8, None), (9, [None, 0.0])], "qid long, vec array<double>")
+    assert [(r.qid, r.id) for r in nearest_neighbors(train, q, 5).orderBy("rank").collect()] == [(7, 1), (7, 2)]
