@@ -133,3 +133,25 @@ def test_rows_without_a_whole_vector_are_left_out(spark):
     train = spark.createDataFrame([(1, [0.0, 1.0]), (2, [3.0, 1.0]), (3, None), (4, [0.0, None])], "id long, vec array<double>")
     q = spark.createDataFrame([(7, [0.0, 0.0]), (8, None), (9, [None, 0.0])], "qid long, vec array<double>")
     assert [(r.qid, r.id) for r in nearest_neighbors(train, q, 5).orderBy("rank").collect()] == [(7, 1), (7, 2)]
+
+
+@pytest.mark.parametrize("masks", [64, 1])
+def test_knn_impute_searches_equal_rows_once(spark, monkeypatch, masks):
+    """Donors and rows with gaps in many copies, an outlier that stretches the range, a column of two values."""
+    from tessera.operators import knn
+    monkeypatch.setattr(knn, "MOST_MASKS", masks)
+    rng = np.random.default_rng(13)
+    X = np.column_stack([rng.integers(0, 12, 300), rng.integers(0, 2, 300), rng.integers(0, 2, 300)]).astype(float)
+    X[:100, 1] = np.nan
+    X[50:140, 2] = np.nan
+    X[290:, 0] = np.nan
+    X[200, 0] = 1e6
+    keys = rng.permutation(300)
+    asked = []
+    whole = knn._nan_knn
+    monkeypatch.setattr(knn, "_nan_knn", lambda donors, receivers, *a: asked.append(receivers.count()) or whole(donors, receivers, *a))
+    got = knn.knn_impute(spark.createDataFrame(pd.DataFrame(X, columns=["x", "y", "z"]).assign(k=keys)), "k", ["x", "y", "z"], k=5).toPandas()
+    exp = pd.DataFrame(_brute_knn_impute(X, keys, 5)).assign(k=keys).sort_values("k")
+    assert np.allclose(got.sort_values("k")[["x", "y", "z"]].to_numpy(), exp[[0, 1, 2]].to_numpy())
+    gaps = pd.DataFrame(X)[np.isnan(X).any(axis=1)].drop_duplicates()
+    assert asked == [int(gaps.isna().sum().sum())]
