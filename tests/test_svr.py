@@ -40,3 +40,21 @@ def test_unfinished_fit_raises(spark):
     x = np.arange(20.0)[:, None]
     with pytest.raises(RuntimeError, match="did not converge"):
         LinearSVR(maxIter=1).fit(_frame(spark, x, np.sin(x[:, 0]) * 30))
+
+
+def test_a_step_is_one_pass_and_memory_one_block(spark):
+    """56 features (the cubic map of six): curvature is summed by matrices, so rows are not widened to 57 x 57 numbers each."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 56))
+    y = x @ rng.normal(size=56) + 0.05 * rng.normal(size=6000)
+    passes, whole = [], LinearSVR._sums
+    est = LinearSVR(C=1.0, epsilon=0.1)
+    est._sums = lambda *a: passes.append(1) or whole(est, *a)
+    m = est.fit(_frame(spark, x, y))
+    assert np.abs(y - x @ m.coefficients.toArray() - m.intercept).max() < 0.3 and 4 < len(passes) < 80
+
+
+def test_rows_without_a_target_are_left_out(spark):
+    df = _frame(spark, np.arange(60.0)[:, None], 2 * np.arange(60.0)).selectExpr("features", "CASE WHEN label % 3 > 0 THEN label END AS label")
+    m = LinearSVR().fit(df)
+    assert m.coefficients[0] == pytest.approx(2.0, abs=0.05)
