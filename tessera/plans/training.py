@@ -17,6 +17,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,20 +77,26 @@ class FeatureMap:
     def state(self) -> dict:
         return dict(self.__dict__)
 
-    def components(self, x) -> list:
+    def components(self, x: np.ndarray) -> np.ndarray:
+        """The mapped rows of a matrix of features, one coordinate after the other."""
+        out = []
         if self.kernel == "poly":
-            out = []
             for powers in itertools.combinations_with_replacement(range(self.n_features), POLY_DEGREE):
                 orders = math.factorial(POLY_DEGREE) / math.prod(math.factorial(powers.count(j)) for j in set(powers))
-                out.append(math.prod((x[j] for j in powers), start=F.lit(math.sqrt(orders * self.gamma ** POLY_DEGREE))))
-            return out
-        scale = math.sqrt(2.0 / len(self.weights))
-        return [F.cos(sum((x[j] * w[j] for j in range(self.n_features)), F.lit(b))) * scale
-                for w, b in zip(self.weights, self.offsets)]
+                out.append(math.prod((x[:, j] for j in powers), start=math.sqrt(orders * self.gamma ** POLY_DEGREE)))
+        else:
+            scale = math.sqrt(2.0 / len(self.weights))
+            out = [np.cos(sum((x[:, j] * w[j] for j in range(self.n_features)), np.full(len(x), b))) * scale
+                   for w, b in zip(self.weights, self.offsets)]
+        return np.column_stack(out)
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        arr = df.withColumn("_fa", vector_to_array("features"))  # opened once per row
-        return arr.withColumn("features", array_to_vector(F.array(*self.components(F.col("_fa"))))).drop("_fa")
+        @F.arrow_udf("array<double>")
+        def mapped(v: pa.Array) -> pa.Array:
+            m = self.components(v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), self.n_features))
+            return pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), m.ravel())
+
+        return df.withColumn("features", array_to_vector(mapped(vector_to_array("features"))))
 
 
 def kernel_map(kernel: str, gamma, n_features: int, feature_var: float, seed: int) -> FeatureMap | None:
