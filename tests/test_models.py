@@ -182,3 +182,29 @@ def test_scores_by_name(spark):
     for name, task in (("r2", True), ("f1", False), ("other", True)):
         with pytest.raises(ValueError, match="scoring"):
             TR.check_scoring(name, task)
+
+
+def test_kernel_maps_are_matrices_not_an_expression_a_coordinate(spark):
+    """100 written-out cosines make one method too long to be compiled: the map of a row was interpreted."""
+    from pyspark.ml.linalg import Vectors
+    x = np.random.default_rng(2).normal(size=(40, 3))
+    df = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x)], ["i", "features"])
+    for kernel in ("rbf", "poly"):
+        fmap = TR.kernel_map(kernel, 0.2, 3, 1.0, 7)
+        out = fmap(df)
+        assert "COS(" not in out._jdf.queryExecution().toString() and out.columns == ["i", "features"]
+        z = np.array([r.features.toArray() for r in out.orderBy("i").collect()])
+        if kernel == "poly":
+            assert np.allclose(z @ z.T, (0.2 * x @ x.T) ** 3)
+        else:
+            w, b = np.array(fmap.weights), np.array(fmap.offsets)
+            assert np.allclose(z, np.cos(x @ w.T + b) * np.sqrt(2 / len(b)))
+
+
+def test_linear_machines_run_few_tasks_a_pass(spark):
+    """A solver's pass over few rows needs one task a core, not one a shuffle partition."""
+    few = spark.range(1000).repartition(64)
+    cores = spark.sparkContext.defaultParallelism
+    assert TR.for_passes(few, 1000).rdd.getNumPartitions() == cores
+    assert TR.for_passes(few, cores * TR.PASS_ROWS + 1).rdd.getNumPartitions() == cores + 1
+    assert TR.for_passes(few, 10 ** 12).rdd.getNumPartitions() == 64
