@@ -18,6 +18,7 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.cells import few_cells, leaf_share
 from tessera.session import shared_dir
 
 #: Rounds between two checkpoints of the scores.
@@ -38,6 +39,14 @@ def read_tree(model) -> dict:
     return walk(model._call_java("rootNode"))
 
 
+def on_values(tree: dict, thresholds: list) -> dict:
+    """A tree over bins (``cells``) as the same tree over the features' values."""
+    if "leaf" in tree:
+        return tree
+    return {"feature": tree["feature"], "threshold": float(thresholds[tree["feature"]][int(tree["threshold"])]),
+            "left": on_values(tree["left"], thresholds), "right": on_values(tree["right"], thresholds)}
+
+
 def tree_sql(tree: dict, x: str, leaf=lambda i: str(i)) -> str:
     """One tree as SQL text over the array column ``x``; ``leaf`` writes a leaf by its number."""
     if "leaf" in tree:
@@ -124,6 +133,7 @@ class SoftmaxBoosting:
     ``learning_rate * (K - 1) / K * sum(r) / sum(|r| (1 - |r|))`` over its residuals r, 0 where the denominator vanishes.
     Rows with a null label are left out; without rows the model answers class 0 with equal probabilities.
     ``subsample`` below 1 grows each round's trees on a random share of the rows; the steps use all rows.
+    Where the rows have few different bins (``cells``), each round works on the counted cells; otherwise on the rows.
     The scores are checkpointed every ``CHECKPOINT_EVERY`` rounds and computed from there, so the plan never grows and
     lost executors cost the scores of a few trees.
     """
@@ -143,7 +153,12 @@ class SoftmaxBoosting:
         if not total:
             return SoftmaxBoostingModel([0.0] * K, [], [], self.features_col)
         start = [float(np.log(counts[k] / total)) if counts.get(k) else -float(np.log(total + 1)) for k in range(K)]
-        base = rows.withColumn("raw", F.array(*[F.lit(s) for s in start])).persist(StorageLevel.MEMORY_AND_DISK)
+        counted = few_cells(rows, total, ["y"], self.seed) if self.subsample >= 1 else None  # a share of the rows is drawn by row
+        base = rows.withColumn("n", F.lit(1.0)) if counted is None else counted[0].select("features", "y", "n")
+        # weights are given to the trees for cells only, whose least leaf is a share of the rows' number
+        least = {"minInstancesPerNode": self.min_leaf} if counted is None else {
+            "weightCol": "n", "minWeightFractionPerNode": leaf_share(self.min_leaf, total)}
+        base = base.withColumn("raw", F.array(*[F.lit(s) for s in start])).persist(StorageLevel.MEMORY_AND_DISK)
         rounds, gains = [], 0.0
         with ThreadPoolExecutor(max_workers=K) as pool:
             for i in range(self.n_estimators):
@@ -154,24 +169,27 @@ class SoftmaxBoosting:
                     base.unpersist()
                     base = after
                 p = self._scored(base, since).withColumn("p", softmax(F.col("raw")))
-                res = p.select("features", *[((F.col("y") == k).cast("double") - F.col("p")[k]).alias(f"r{k}") for k in range(K)])
+                res = p.select("features", "n", *[((F.col("y") == k).cast("double") - F.col("p")[k]).alias(f"r{k}") for k in range(K)])
                 res = res.persist(StorageLevel.MEMORY_AND_DISK)
                 grow = res.sample(self.subsample, self.seed + i) if self.subsample < 1 else res
                 fitted = list(pool.map(lambda k, g=grow: DecisionTreeRegressor(
-                    featuresCol="features", labelCol=f"r{k}", maxDepth=self.max_depth, minInstancesPerNode=self.min_leaf,
+                    featuresCol="features", labelCol=f"r{k}", maxDepth=self.max_depth, **least,
                     maxMemoryInMB=512, seed=self.seed).fit(g), range(K)))
                 trees = [read_tree(m) for m in fitted]
                 gains = gains + sum(m.featureImportances.toArray() for m in fitted)
                 # all leaves of the round in one aggregate of classes x leaves rows
                 met = res.withColumn("x", vector_to_array("features")).select(F.inline(F.array(*[
-                    F.struct(F.lit(k).alias("k"), F.expr(tree_sql(t, "x")).alias("leaf"), F.col(f"r{k}").alias("r")) for k, t in enumerate(trees)])))
+                    F.struct(F.lit(k).alias("k"), F.expr(tree_sql(t, "x")).alias("leaf"), F.col(f"r{k}").alias("r"), "n") for k, t in enumerate(trees)])))
                 size = F.abs("r")
                 sums = {(s.k, s.leaf): (s.num, s.den) for s in met.groupBy("k", "leaf").agg(
-                    F.sum("r").alias("num"), F.sum(size * (1 - size)).alias("den")).collect()}
+                    F.sum(F.col("n") * F.col("r")).alias("num"), F.sum(F.col("n") * size * (1 - size)).alias("den")).collect()}
                 res.unpersist()
                 rounds.append([(tree, [self._step(*sums.get((k, j), (0.0, 0.0))) for j in range((fitted[k].numNodes + 1) // 2)])
                                for k, tree in enumerate(trees)])
         base.unpersist()
+        if counted is not None:
+            counted[0].unpersist()
+            rounds = [[(on_values(tree, counted[1]), steps) for tree, steps in r] for r in rounds]
         whole = float(np.sum(gains))
         importances = [float(g / whole) for g in gains] if whole > 0 else [0.0] * len(np.atleast_1d(gains))
         return SoftmaxBoostingModel(start, rounds, importances, self.features_col)
@@ -185,4 +203,4 @@ class SoftmaxBoosting:
             return base
         more = SoftmaxBoostingModel([0.0] * self.classes, since, [], "features").raw("x")
         return base.withColumn("x", vector_to_array("features")).withColumn("d", more).select(
-            "features", "y", F.zip_with("raw", "d", lambda a, b: a + b).alias("raw"))
+            "features", "y", "n", F.zip_with("raw", "d", lambda a, b: a + b).alias("raw"))
