@@ -22,14 +22,19 @@ CLASSIFICATION_METRICS = [("accuracy", "Accuracy"), ("precision", "Precision"),
 REGRESSION_METRICS = [("mse", "MSE"), ("rmse", "RMSE"), ("mae", "MAE"), ("r2", "R² Score")]
 
 
-def binary_metrics(df: DataFrame, label: str, pred: str, positive=1) -> DataFrame:
+def _rows_if(cond: Column, weight: str | None) -> Column:
+    """The count of rows that meet a condition, each standing for ``weight`` rows where that is given."""
+    return F.count_if(cond) if weight is None else F.coalesce(F.sum(F.when(cond, F.col(weight))), F.lit(0.0))
+
+
+def binary_metrics(df: DataFrame, label: str, pred: str, positive=1, weight: str | None = None) -> DataFrame:
     """accuracy, precision, recall, f1 for one positive label (0 on a zero denominator)."""
     y, p = F.col(label), F.col(pred)
     pos = F.lit(positive)
-    one = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(y == p).alias("ok"),
-                 F.count_if((y == pos) & (p == pos)).alias("tp"),
-                 F.count_if((y != pos) & (p == pos)).alias("fp"),
-                 F.count_if((y == pos) & (p != pos)).alias("fn"))
+    one = df.agg(_rows_if(F.lit(True), weight).alias("n"), _rows_if(y == p, weight).alias("ok"),
+                 _rows_if((y == pos) & (p == pos), weight).alias("tp"),
+                 _rows_if((y != pos) & (p == pos), weight).alias("fp"),
+                 _rows_if((y == pos) & (p != pos), weight).alias("fn"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return one.select(ratio_or_zero(F.col("ok"), F.col("n")).alias("accuracy"),
                       ratio_or_zero(tp, tp + fp).alias("precision"),
@@ -37,9 +42,10 @@ def binary_metrics(df: DataFrame, label: str, pred: str, positive=1) -> DataFram
                       ratio_or_zero(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-def class_counts(df: DataFrame, label: str, pred: str) -> DataFrame:
+def class_counts(df: DataFrame, label: str, pred: str, weight: str | None = None) -> DataFrame:
     """(cls, support, predicted, tp) over the union of labels seen in either column."""
-    pairs = df.groupBy(F.col(label).alias("_y"), F.col(pred).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight).cast("bigint")
+    pairs = df.groupBy(F.col(label).alias("_y"), F.col(pred).alias("_p")).agg(n.alias("_n"))
     per = pairs.select(F.inline(F.array(
         F.struct(F.col("_y").alias("cls"), F.col("_n").alias("support"), F.lit(0).cast("bigint").alias("predicted"),
                  F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(0).alias("tp")),
@@ -48,9 +54,9 @@ def class_counts(df: DataFrame, label: str, pred: str) -> DataFrame:
     return per.groupBy("cls").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
 
 
-def weighted_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
+def weighted_metrics(df: DataFrame, label: str, pred: str, weight: str | None = None) -> DataFrame:
     """accuracy and support-weighted precision / recall / f1 (multiclass average)."""
-    cc = class_counts(df, label, pred)
+    cc = class_counts(df, label, pred, weight)
     s, p, tp = F.col("support"), F.col("predicted"), F.col("tp")
     per = cc.select(s, tp, ratio_or_zero(tp, p).alias("prec"), ratio_or_zero(tp, s).alias("rec"),
                     ratio_or_zero(2 * tp, s + p).alias("f1c"))

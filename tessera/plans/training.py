@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import evaluate as E
+from tessera.operators.cells import bins_of, few_cells, fit_forest, leaf_share
 from tessera.operators.prepare import FittedPrep, LabelEncoding, PrepConfig, fit_label, fit_prep
 from tessera.operators.split import key_hash, test_threshold, with_stratified_folds
 from tessera.plans import estimators as M
@@ -33,6 +34,8 @@ RFF_COMPONENTS = 100
 POLY_DEGREE = 3
 #: Rows of a task in a solver that passes over them hundreds of times.
 PASS_ROWS = 500_000
+#: Classifiers of trees that are fitted to counted cells where these are few.
+CELL_MODELS = ("Random Forest", "Gradient Boosting")
 
 
 @dataclass
@@ -71,7 +74,8 @@ class FeatureMap:
     """Features standing in for an SVM kernel, as plain numbers that are saved with a model.
 
     ``poly``: all monomials of degree 3, weighted so that their inner product is (gamma <x, y>)^3 exactly.
-    ``rbf``: random Fourier features, whose inner product estimates exp(-gamma |x - y|^2)."""
+    ``rbf``: random Fourier features, whose inner product estimates exp(-gamma |x - y|^2).
+    ``bins``: no kernel, each feature's bin between thresholds (``weights``) for trees fitted to counted cells."""
 
     def __init__(self, kernel: str, n_features: int, gamma: float, weights=None, offsets=None):
         self.kernel, self.n_features, self.gamma, self.weights, self.offsets = kernel, n_features, gamma, weights, offsets
@@ -82,6 +86,8 @@ class FeatureMap:
     def components(self, x: np.ndarray) -> np.ndarray:
         """The mapped rows of a matrix of features, one coordinate after the other."""
         out = []
+        if self.kernel == "bins":
+            return bins_of(x, self.weights).astype(float)
         if self.kernel == "poly":
             for powers in itertools.combinations_with_replacement(range(self.n_features), POLY_DEGREE):
                 orders = math.factorial(POLY_DEGREE) / math.prod(math.factorial(powers.count(j)) for j in set(powers))
@@ -158,15 +164,15 @@ def check_scoring(scoring: str | None, is_classification: bool) -> str:
     return name
 
 
-def score_by_name(pred: DataFrame, scoring: str) -> float:
-    """One score of predictions (label, prediction).  precision, recall and f1 are those of class 1, the _weighted ones averages over classes."""
+def score_by_name(pred: DataFrame, scoring: str, weight: str | None = None) -> float:
+    """One score of predictions (label, prediction); ``weight`` names the column of the rows that a row stands for.  precision, recall and f1 are those of class 1, the _weighted ones averages over classes."""
     task, column, sign = SCORING[scoring]
     if not task:
         found = E.regression_metrics(pred, "label", "prediction")
     elif scoring.endswith("_weighted") or scoring == "accuracy":
-        found = E.weighted_metrics(pred, "label", "prediction")
+        found = E.weighted_metrics(pred, "label", "prediction", weight)
     else:
-        found = E.binary_metrics(pred, "label", "prediction", 1.0)
+        found = E.binary_metrics(pred, "label", "prediction", 1.0, weight)
     return sign * (found.first()[column] or 0.0)
 
 
@@ -223,18 +229,22 @@ def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
         random_state = int.from_bytes(os.urandom(3), "big")
     # the projected training columns are read by every fitting pass below: scan / join them once
     needed = list(dict.fromkeys([*keys, *numeric, *categorical, target]))
-    source = df.select(*needed).where(F.col(target).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    # ... with each row's side of the split, whose hash is dear
+    h = key_hash(keys, random_state)
+    source = (df.select(*needed).where(F.col(target).isNotNull()).withColumn("_is_test", h < F.lit(test_threshold(test_size)))
+              .persist(StorageLevel.MEMORY_AND_DISK))
     label = fit_label(source, target)
     task_cls = label.task == "classification"
     if is_classification is None:
         is_classification = task_cls
     scoring = check_scoring(scoring, is_classification)
+    searching = (use_grid_search or use_randomized_search)
     base = source
-    h = key_hash(keys, random_state)
-    base = base.withColumn("_is_test", h < F.lit(test_threshold(test_size)))
-    if is_classification and (use_grid_search or use_randomized_search):
+    if not searching:
+        base = base.withColumn("_fold", F.lit(0))
+    elif is_classification:
         # stratified folds for classifiers (rank within label by hash, bucketed - no single-task window)
-        base = with_stratified_folds(base, keys, target, cv, random_state + 1, output="_fold")
+        base = with_stratified_folds(base, keys, target, cv, random_state + 1, output="_fold").persist(StorageLevel.MEMORY_AND_DISK)
     else:
         base = base.withColumn("_fold", F.pmod(key_hash(keys, random_state + 1), F.lit(cv)).cast("int"))
     if prep_config is not None and prep_config.numeric_imputer == "knn" and numeric:
@@ -246,7 +256,7 @@ def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
         prep_config = prep_config.update(numeric_imputer="mean")
     fit_rows = base.where(~F.col("_is_test")) if fit_on == "train" else base
     prep = fit_prep(fit_rows, numeric, categorical, prep_config)
-    base = base.withColumn("label", label.code(base))
+    folded, base = base, base.withColumn("label", label.code(base))
     data = prep.assemble(base, keep=[*keys, "_is_test", "_fold", "label"])
     n_classes = len(label.classes) if task_cls else 0
     # iterative fits run one task per cached partition: even partitions, at least one per core
@@ -256,17 +266,46 @@ def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     test = data.where(F.col("_is_test"))
     data.count()  # data is now cached in full; the projected source is no longer needed
     folds = fold_stats(train, is_classification)
+    folded.unpersist()
     source.unpersist()
     names = prep.feature_names
     fvar = 1.0
     if model_name in ("Support Vector Machine", "SVR"):
         fvar = train.select(F.explode(vector_to_array("features")).alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
 
+    counted = {}
+
+    def count(without=None):
+        """The counted cells (label, _held: of the fold left out) for a search's or the last fit; None: fit rows."""
+        if model_name in CELL_MODELS and is_classification and (model_name == "Random Forest" or n_classes == 2):
+            rest = train if without is None else train.where(F.col("_fold") != without)
+            held = F.lit(False) if without is None else F.col("_fold") == without
+            counted[without] = few_cells(train.withColumn("_held", held), folds[without][0], ["label", "_held"], random_state, rest)
+
+    def fit_cells(est, cand, without):
+        """A tree model of the counted cells and its map of features to bins; None where the rows are to be fitted."""
+        if not counted.get(without):
+            return None
+        n, _, weights = folds[without]
+        cells, thresholds = counted[without]
+        cells = cells.where(~F.col("_held"))
+        fmap = FeatureMap("bins", len(names), 0.0, thresholds)
+        if model_name == "Random Forest":
+            factor = weights[F.col("label")] if M.weight_column(cand) else None
+            if factor is not None and est.getMinInstancesPerNode() > 1:
+                return None  # a leaf's rows are not known from such weights
+            return fit_forest(est, cells, factor), fmap
+        est = est.copy().setWeightCol("n").setMinWeightFractionPerNode(leaf_share(est.getMinInstancesPerNode(), n)).setMinInstancesPerNode(1)
+        return est.fit(cells), fmap
+
     def fit(cand, rows, without=None):
         n, sd, weights = folds[without]
         context = M.FitContext(n_rows=n, n_classes=max(n_classes, 2), label_std=sd or 1.0,
                                n_features=len(names), feature_var=fvar, seed=random_state)
         est = M.make_estimator(model_name, is_classification, cand, context)
+        found = fit_cells(est, cand, without)
+        if found is not None:
+            return found
         if weights is not None:
             rows = rows.withColumn("_w_balanced", weights[F.col("label")])
         fmap = (kernel_map(cand.get("kernel", "rbf"), cand.get("gamma", "scale"), len(names), fvar, random_state)
@@ -278,16 +317,19 @@ def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
 
     cv_results = None
     best = dict(params or {})
-    searching = (use_grid_search or use_randomized_search)
     if searching:
         pg = M.grid(model_name, is_classification, custom_params)
         cands = (M.sample_candidates(pg, n_iter, random_state) if use_randomized_search else M.candidates(pg))
         def run(job):
             ci, f = job
             model, fmap = fit(cands[ci], train.where(F.col("_fold") != f), f)
+            if fmap is not None and fmap.kernel == "bins":  # a cell's rows have one prediction
+                return ci, f, score_by_name(model.transform(counted[f][0].where("_held")), scoring, "n")
             hold = train.where(F.col("_fold") == f)
             return ci, f, score_by_name(model.transform(fmap(hold) if fmap else hold), scoring)
 
+        for f in range(cv):
+            count(f)
         jobs = [(ci, f) for ci in range(len(cands)) for f in range(cv)]
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
             scores = list(pool.map(run, jobs))
@@ -298,7 +340,11 @@ def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
         best_i = int(np.argmax(means))
         best = cands[best_i]
         cv_results = cv_results_frame(df.sparkSession, cands, table)
+    count()
     model, fmap = fit(best, train)
+    for found in counted.values():
+        if found:
+            found[0].unpersist()
     if model_name == "Support Vector Machine" and n_classes == 2:
         few = for_passes(train, folds[None][0])
         model = PlattScaled.fit(model, fmap(few) if fmap else few)
