@@ -240,23 +240,22 @@ def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     scoring = check_scoring(scoring, is_classification)
     searching = (use_grid_search or use_randomized_search)
     base = source
-    if not searching:
-        base = base.withColumn("_fold", F.lit(0))
-    elif is_classification:
+    if is_classification and searching:
         # stratified folds for classifiers (rank within label by hash, bucketed - no single-task window)
-        base = with_stratified_folds(base, keys, target, cv, random_state + 1, output="_fold").persist(StorageLevel.MEMORY_AND_DISK)
+        base = with_stratified_folds(base, keys, target, cv, random_state + 1, output="_fold")
     else:
         base = base.withColumn("_fold", F.pmod(key_hash(keys, random_state + 1), F.lit(cv)).cast("int"))
+    unfolded = source  # the preparation does not read the folds
     if prep_config is not None and prep_config.numeric_imputer == "knn" and numeric:
         # k nearest donors over the whole table (the donors' own split does not matter to the rule)
         from tessera.operators.knn import knn_impute
         keyed = base.withColumn("_rowkey", F.concat_ws("|", *[F.col(c).cast("string") for c in keys]))
         filled = knn_impute(keyed, "_rowkey", list(numeric), k=prep_config.knn_neighbors)
-        base = keyed.drop(*numeric).join(filled, "_rowkey").drop("_rowkey")
+        base = unfolded = keyed.drop(*numeric).join(filled, "_rowkey").drop("_rowkey")
         prep_config = prep_config.update(numeric_imputer="mean")
-    fit_rows = base.where(~F.col("_is_test")) if fit_on == "train" else base
+    fit_rows = unfolded.where(~F.col("_is_test")) if fit_on == "train" else unfolded
     prep = fit_prep(fit_rows, numeric, categorical, prep_config)
-    folded, base = base, base.withColumn("label", label.code(base))
+    base = base.withColumn("label", label.code(base))
     data = prep.assemble(base, keep=[*keys, "_is_test", "_fold", "label"])
     n_classes = len(label.classes) if task_cls else 0
     # iterative fits run one task per cached partition: even partitions, at least one per core
@@ -266,7 +265,6 @@ def train_model(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     test = data.where(F.col("_is_test"))
     data.count()  # data is now cached in full; the projected source is no longer needed
     folds = fold_stats(train, is_classification)
-    folded.unpersist()
     source.unpersist()
     names = prep.feature_names
     fvar = 1.0
